@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from tessera.llm.common import held_out, only
 
@@ -200,7 +201,7 @@ def training_sample(labelled: DataFrame) -> list[tuple[str, str]]:
 def predict_language(docs: DataFrame, samples: list[tuple[str, str]], keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns of `keep`, then lang_pred and score, for each row of docs (which needs a column text)."""
     kept = [docs.schema[c] for c in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string, score double"])
+    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     key = tuple(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +227,8 @@ def predict_language(docs: DataFrame, samples: list[tuple[str, str]], keep: tupl
             names = [*(f.name for f in kept), "lang_pred", "score"]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
 
-    return docs.select(*[F.col(c) for c in keep], F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    columns = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)]
+    return docs.select(*columns, F.col("text").cast("string").alias("parsed_text")).mapInArrow(run, schema)
 
 
 def language_id(docs: DataFrame, folds: int = 4, fold: int = 2) -> DataFrame:
