@@ -1,0 +1,81 @@
+"""Small fixed tables for what the driver's tables never hold: replies of a verifier, decisions, scored answers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+LEAVE = "All full-time staff receive 25 days of paid annual leave per calendar year. Up to 5 unused days may be carried over."
+TRAVEL = "Meals up to 60 USD per day are refunded. Receipts are due within 30 days."
+
+#: qid, raw reply
+REPLIES = (
+    (1, '{"claims":[{"claim":"It is 25 days","supported":true,"source":1,"quote":"25 days of paid annual leave","reason":"stated"}]}'),
+    (2, '```json\n{"claims":[{"claim":"It is 25 days","supported":true,"source":1,"quote":"All full-time ... calendar year","reason":""},{"claim":"It is 99 days","supported":false,"source":null,"quote":"","reason":"absent"}]}\n```'),
+    (3, 'Sure: {"claims":[{"claim":"It is 30 days","supported":true,"source":1,"quote":"30 days of paid annual leave","reason":"seen"}]} Done.'),
+    (4, '{"claims":[{"claim":"It is 25 days","supported":true,"source":99,"quote":"25 days","reason":""}]}'),
+    (5, "not json"),
+    (6, '{"claims":[]}'),
+    (7, '{"answer":1}'),
+    (8, "{broken"),
+    (9, '{"claims":[{"claim":null,"supported":true,"source":1,"quote":"25 days"},"words",{"claim":"Text true","supported":"true","source":1,"quote":"25 days"}]}'),
+    (10, '{"claims":[{"claim":"Source true","supported":true,"source":true,"quote":"25 days"},{"claim":"Source 2.0","supported":true,"source":2.5,"quote":"60 USD"}]}'),
+    (11, '{"claims":[{"claim":"Meals","supported":true,"source":2,"quote":"up to 60 usd per DAY"},{"claim":"Short","supported":true,"source":1,"quote":"5 days of paid annual leave"},{"claim":"Meals too","supported":true,"source":2,"quote":"Receipts are due"}]}'),
+    (12, '{"claims":["only words"]}'),
+)
+
+#: qid, passed, draft, verified, verify_error, k, n
+CASES = (
+    (1, True, "It is 25 days [1].", True, None, 1, 1),
+    (2, True, "Some.", True, None, 1, 2),
+    (3, True, "None.", True, None, 0, 1),
+    (4, False, None, True, None, None, None),
+    (5, True, " not found. ", True, None, None, None),
+    (6, True, "Draft.", True, "no claims", None, None),
+    (7, True, "Draft.", False, None, None, None),
+    (8, True, "Not found in 2019", True, None, 1, 1),
+    (9, None, "Draft.", True, None, 1, 1),
+    (10, True, "", True, None, None, None),
+)
+
+#: config, type, q, expect, kind, status, answer
+RESULTS = (
+    ("llm", "answerable", "q1", ["25"], None, "grounded", "It is 25 days [1]."),
+    ("llm", "answerable", "q2", ["3"], None, "grounded", "Up to three days per week"),
+    ("llm", "answerable", "q3", ["2 hours"], None, "partial", "Within two  hours"),
+    ("llm", "answerable", "q4", ["9"], None, "not_found", "Not found in the document."),
+    ("llm", "unanswerable", "q5", None, "off-topic", "not_found", "Not found in the document."),
+    ("llm", "unanswerable", "q6", None, "near-miss", "grounded", "It is 5."),
+    ("none", "answerable", "q1", ["25"], None, "unchecked", "It is 24 days."),
+    ("none", "answerable", "q2", ["3", "week"], None, "unchecked", "three days a WEEK"),
+    ("none", "unanswerable", "q5", None, "off-topic", "unchecked", "Yes."),
+    ("nli", "answerable", "q1", ["25"], None, "ungrounded", "25"),
+    ("only", "unanswerable", "q5", None, "off-topic", "unverified", "Yes."),
+)
+
+
+def replies(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(REPLIES, "qid long, raw string")
+
+
+def retrieved(spark: SparkSession) -> DataFrame:
+    """Two chunks for every reply."""
+    rows = [(q, r, p, t) for q, _ in REPLIES for r, p, t in ((1, 1, LEAVE), (2, 3, TRAVEL))]
+    return spark.createDataFrame(rows, "qid long, rank int, page long, text string")
+
+
+def cases(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CASES, "qid long, passed boolean, draft string, verified boolean, verify_error string, k long, n long")
+
+
+def results(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(RESULTS, "config string, type string, q string, expect array<string>, kind string, status string, answer string")
+
+
+def question_spec(spark: SparkSession) -> DataFrame:
+    from tessera.sources.files import QUESTION_SET
+
+    rows = [
+        ("handbook.pdf", "note", [("How many days?", ["25"]), ("Who?", ["a", "b"])], [("Which colour?", "off-topic")]),
+        ("empty.pdf", None, [], [("Why?", "near-miss")]),
+    ]
+    return spark.createDataFrame(rows, QUESTION_SET)
