@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.tables import stored, work_dir  # noqa: F401  used by the operators from here
+
 #: Bytes A-Z to lower case, every byte outside [0-9a-z] and the UTF-8 bytes of non-ASCII characters to a space:
 #: after it, ``split()`` gives the words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of the lower-cased text.
 PLAIN_WORDS = bytes(
@@ -21,26 +20,6 @@ def plain_words(text: bytes) -> list[bytes]:
     return text.translate(PLAIN_WORDS).split()
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which the cluster shares; set here only where it is unset.
-
-    Its tables are needed as long as the DataFrame that was made from them; a scheduler may delete the folder
-    of a finished job.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Cut the lineage with a written table: lost executors cost no more than a second read."""
-    path = f"{folder}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system behind a folder's address, as Python workers reach it."""
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
