@@ -1,0 +1,79 @@
+import json
+import subprocess
+import sys
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from tessera.config import Settings
+from tessera.operators import evaluation
+from tessera.plans import fixtures, registry
+from tessera.sources import files
+
+ROOT = Path(__file__).resolve().parent.parent
+SMALL = Path("/root/testdata/sf0.001")
+
+
+def test_settings(monkeypatch):
+    monkeypatch.setenv("TESSERA_TOP_K", "7")
+    monkeypatch.setenv("TESSERA_FALLBACK_MODELS", "a,b")
+    monkeypatch.setenv("TESSERA_MIN_SIMILARITY", "0.3")
+    s = Settings.from_env()
+    assert (s.top_k, s.fallback_models, s.min_similarity, s.chunk_tokens) == (7, ("a", "b"), 0.3, 350)
+
+
+def test_question_sets(spark, tmp_path):
+    spec = {"document": "d.pdf", "answerable": [{"q": "a?", "expect": ["1"]}], "unanswerable": [{"q": "b?", "kind": "off-topic"}]}
+    (tmp_path / "q.json").write_text(json.dumps(spec, indent=1))
+    rows = files.question_set(spark, str(tmp_path / "q.json")).collect()
+    assert [(r.type, r.q, r.expect, r.kind) for r in rows] == [("answerable", "a?", ["1"], None), ("unanswerable", "b?", None, "off-topic")]
+
+
+def test_pages_of_blocks(spark):
+    rows = [("a.pdf", 1, ["Title", "Body of it ends."]), ("a.pdf", 2, ["", "  "]), ("a.pdf", 3, ["x"])]
+    pages = files.pages_of_blocks(spark.createDataFrame(rows, "source string, page long, blocks array<string>")).collect()
+    assert [(p.page, p.text) for p in pages] == [(1, "Title\n\nBody of it ends."), (3, "x")]
+
+
+def test_results_are_written(spark, tmp_path):
+    detail = evaluation.eval_rows(fixtures.results(spark))
+    summary = evaluation.eval_summary(detail)
+    files.write_results(summary, detail, str(tmp_path))
+    assert spark.read.json(f"{tmp_path}/summary").count() == 4
+    lines = {r.config: r.line for r in files.markdown_lines(summary).collect()}
+    assert lines["llm"] == "| llm | 75% | 50% | 50% | 100% |" and lines["only"] == "| only | n/a | 0% | 100% | n/a |"
+
+
+def test_chunk_tables_can_be_reopened(spark, tmp_path):
+    rows = spark.createDataFrame([("x:0", "t", 1, "s", 0)], "id string, text string, page long, source string, index long")
+    files.write_chunks(rows, f"{tmp_path}/c")
+    assert files.open_chunks(spark, f"{tmp_path}/c").collect() == rows.collect()
+
+
+CHEAP = [n for n in registry.oracle_sql() if n not in ("generator_prompts", "verifier_prompts", "chunk_stats", "document_registry", "build_context")]
+
+
+@pytest.mark.skipif(not SMALL.exists(), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", CHEAP)
+def test_queries_against_sql(spark, name):
+    db = duckdb.connect()
+    for path in SMALL.glob("*.parquet"):
+        db.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    want = db.execute(registry.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    found = registry.queries()[name](spark, str(SMALL))
+    assert sorted(found.columns) == sorted(names)
+    norm = lambda v: round(float(v), 9) if isinstance(v, int | float) and not isinstance(v, bool) else v
+    got = sorted((tuple(norm(r[c]) for c in names) for r in found.collect()), key=repr)
+    assert got == sorted((tuple(map(norm, r)) for r in want.fetchall()), key=repr)
+
+
+def test_the_entry_works_without_the_llm_folders(tmp_path):
+    """As after deleting corpus_pipeline.py, tessera/llm and tests/llm."""
+    import shutil
+
+    shutil.copytree(ROOT / "tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'topk_sparse' in q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "HOME": "/tmp"}, timeout=120)
