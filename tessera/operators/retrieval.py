@@ -35,11 +35,12 @@ def blocks(rows: DataFrame, key: str, size: int) -> Iterator[list]:
 
 
 def best_of(scores: np.ndarray, k: int) -> np.ndarray:
-    """For each row (question) the columns that can be among its best k: all ties with the k-th are kept."""
+    """For each row (question) its best k columns; of equal scores the first columns."""
     if scores.shape[1] <= k:
         return np.ones(scores.shape, bool)
-    kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-    return scores >= kth[:, None]
+    kth = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k, None]
+    above, equal = scores > kth, scores == kth
+    return above | (equal & (equal.cumsum(axis=1) <= k - above.sum(axis=1, keepdims=True)))
 
 
 def ranked(candidates: DataFrame, qid: str, key: str, k: int) -> DataFrame:
@@ -58,7 +59,7 @@ def scored(rows: DataFrame, key: str, vectors, questions: list[tuple], qid: str,
         held_score: list = []
         for batch in batches:
             for at in range(0, len(batch), ROWS):
-                part = batch.iloc[at : at + ROWS]
+                part = batch.iloc[at : at + ROWS].sort_values(key)
                 s = np.round(score(vectors(part)), DIGITS)  # questions x rows
                 q, r = np.nonzero(best_of(s, k))
                 held_q.append(q)

@@ -103,3 +103,8 @@ def test_context(spark):
     rows = spark.createDataFrame([(1, 2, 7, "s", "two"), (1, 1, 3, "s", "one")], "qid long, rank int, page long, source string, text string")
     assert retrieval.context(rows, "qid").first().context == "[1] (page 3, s)\none\n\n[2] (page 7, s)\ntwo"
     assert retrieval.context(rows, "qid", headed=False).first().context == "[1]\none\n\n[2]\ntwo"
+
+
+def test_ties_are_cut_to_k_in_every_batch():
+    scores = np.array([[0.0, 0.0, 0.0, 0.0], [1.0, 0.0, 2.0, 1.0]])
+    assert retrieval.best_of(scores, 2).tolist() == [[True, True, False, False], [True, False, True, False]]
