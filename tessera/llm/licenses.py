@@ -4,7 +4,7 @@ A text becomes its words (A-Z lower-cased, `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]
 rule need not care for line ends or punctuation. Rules are regular expressions made from the tables below: for each
 license its names, versions and web addresses, in the phrasings of tags, notices, names and mentions. A rule runs only
 where its keyword stands, and no rule runs on texts without one of a few stems. Every rule has a priority (0 is the
-strongest). A detection goes if its interval of words lies in one of equal or higher priority that is longer, or
+strongest). A detection goes if its interval of words lies in a kept one of equal or higher priority, or if it
 overlaps one of higher priority; what stays gives labels, intervals and a score. Base phrases always stay.
 
 Defined results: null, empty and wordless texts have no labels and score 0; equal intervals of equal priority keep

@@ -25,8 +25,8 @@ from tessera.llm.common import stored, work_dir
 DIMENSIONS = ("source", "lang", "topic")
 #: Targets where none are given: observed shares to this power, so that small categories gain.
 POWER = 0.85
-ROUNDS = 60
-TOLERANCE = 1e-9
+ROUNDS = 200
+TOLERANCE = 1e-8
 DRIVER_CELLS = 200_000
 NONE = "(none)"
 SEED = 20_240_601
