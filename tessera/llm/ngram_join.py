@@ -41,15 +41,15 @@ from tessera.llm.components import components
 
 WORDS = 5
 NUM = 75
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 BLOCK_DOCS = 60_000
-SEGMENT_TOKENS = 3_000_000
+SEGMENT_TOKENS = 1_500_000
 STAR_KEYS = 6
 MOST_MATCHES = 8
 VERIFY_COST = 4.0
 CHUNK = 64
 #: Bytes of text hashed at once.
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 U = np.uint64
 _tables: dict[str, np.ndarray] = {}
