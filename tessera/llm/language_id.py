@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from tessera.llm.common import held_out, only
+from tessera.llm.common import gathered, held_out, only, release
 
 #: Training bound: letters for each language, from at most so many documents, which count whole.
 TRAIN_LETTERS = 40_000
@@ -209,7 +209,7 @@ def predict_language(docs: DataFrame, samples: list[tuple[str, str]], keep: tupl
             _models.clear()
             _models[key] = CrossParser(samples)
         model = _models[key]
-        for batch in batches:
+        for batch in gathered(batches, CHUNK):
             texts = [t or "" for t in batch.column(len(kept)).to_pylist()]
             langs: list[str] = []
             scores: list[float] = []
@@ -226,6 +226,7 @@ def predict_language(docs: DataFrame, samples: list[tuple[str, str]], keep: tupl
             arrays = [batch.column(i) for i in range(len(kept))]
             names = [*(f.name for f in kept), "lang_pred", "score"]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
+        release()
 
     columns = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)]
     return docs.select(*columns, F.col("text").cast("string").alias("parsed_text")).mapInArrow(run, schema)

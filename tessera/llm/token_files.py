@@ -28,7 +28,7 @@ from tokenizers import Tokenizer
 from tessera.llm.common import as_bytes, only, open_fs, shuffle_partitions, stored, work_dir
 
 #: A worker forgets its words beyond this many.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 600_000
 NO_ID = -(2**63)
 _encoders: dict[str, "WordEncoder"] = {}
 
