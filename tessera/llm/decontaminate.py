@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, plain_words
+from tessera.llm.common import as_bytes, plain_words, release
 
 WINDOW = 10
 BLOCK = 3
@@ -184,6 +184,7 @@ def searching(share: list[tuple[str | None, bytes]], window: int, text: int, wid
             arrays = [batch.column(i) for i in range(width)]
             arrays += [pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(arrays, batch.schema.names)
+        release()
 
     return run
 
@@ -209,3 +210,22 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" if c != "text" else "text" for i, c in enumerate(names)])
     return marked(plain, benchmark).where(F.size("spans") == 0).drop("n_words", "spans", "items").toDF(*names)
+
+
+ORACLE = r"""
+WITH fold AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+pats AS (SELECT DISTINCT item_id, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS g
+  FROM (SELECT item_id, w, least(10, len(w)) AS m, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)),
+starts AS (SELECT doc_id, m, i, array_to_string(list_slice(w, i, i + m - 1), ' ') AS g
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM fold CROSS JOIN (SELECT DISTINCT m FROM pats))),
+found AS (SELECT doc_id, m, i, item_id FROM starts JOIN pats USING (m, g)),
+hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM found) GROUP BY doc_id),
+names AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS l
+  FROM found GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM fold LEFT JOIN hit USING (doc_id) LEFT JOIN names USING (doc_id)
+"""

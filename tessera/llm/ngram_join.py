@@ -7,7 +7,8 @@ Two texts link when the Jaccard similarity of their sets of `WORDS`-word shingle
    with the hashes that occur in two documents or more. Only those can be in any intersection, so a document goes
    on only if they make up 75 % of its set. Copies within a block are sent once.
 2. Classes. Documents with one and the same set are one class from here on.
-3. Stars. Each class is compared with one centre for each of `STAR_KEYS` min-hash keys. The links found join most of
+3. Stars. Each class is compared with two centres for each of `STAR_KEYS` min-hash keys: the class with the fewest
+   hashes of its own, and any one. The links found join most of
    a group of near copies with as many comparisons as members; they only spare work, and decide nothing alone.
 4. Prefixes. Under one global order (frequency, then hash), two linked sets of sizes n share at least l hashes of
    their first n - ceil(0.75 n) + l, for every l. Each document picks the l of 1..`MOST_MATCHES` whose prefix has
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, only, shuffle_partitions, stored, work_dir
+from tessera.llm.common import as_bytes, only, release, shuffle_partitions, stored, work_dir
 from tessera.llm.components import components
 
 WORDS = 5
@@ -47,6 +48,7 @@ SEGMENT_TOKENS = 1_500_000
 STAR_KEYS = 6
 MOST_MATCHES = 8
 VERIFY_COST = 4.0
+RARE = 32
 CHUNK = 64
 #: Bytes of text hashed at once.
 PIECE = 1 << 20
@@ -230,6 +232,7 @@ def cut_blocks(segments: int):
                     yield from flush()
         if ids:
             yield from flush()
+        release()
 
     return run
 
@@ -265,9 +268,9 @@ def count_segment(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, ANSWER_SCHEMA, strict=True)], schema=ANSWER_SCHEMA)
 
 
-DOCS = "doc_id long, n long, sig binary, m int, matches int, sorted_set binary, prefix array<long>, stars array<long>"
+DOCS = "doc_id long, n long, sig binary, m int, rare long, matches int, sorted_set binary, prefix array<long>, stars array<long>"
 DOC_SCHEMA = pa.schema(
-    [("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("m", pa.int32()), ("matches", pa.int32()),
+    [("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("m", pa.int32()), ("rare", pa.int64()), ("matches", pa.int32()),
      ("sorted_set", pa.binary()), ("prefix", pa.list_(pa.int64())), ("stars", pa.list_(pa.int64()))]
 )
 SEEDS = mixed(np.arange(1, STAR_KEYS + 1, dtype=U) * U(0x9E3779B97F4A7C15))
@@ -286,6 +289,15 @@ def matches_of(n: int, df: np.ndarray) -> tuple[int, int]:
     return best[1], best[2]
 
 
+def rare_bits(keys: np.ndarray, df: np.ndarray) -> int:
+    """64 bits: those that the hashes in fewer than `RARE` documents fall on.
+
+    A hash is rare in every set that holds it. So each bit that only one of two sets has is a hash that they don't share.
+    """
+    places = mixed(keys[df < RARE]) >> U(58)
+    return int(np.bitwise_or.reduce(U(1) << places, initial=U(0)).astype(np.int64))
+
+
 def finish_block(table: pa.Table) -> pa.Table:
     """The block's documents; those that may link carry their shared hashes, prefix and star keys."""
     by: dict[int, list[dict]] = {0: [], 1: [], 2: [], 3: []}
@@ -320,9 +332,9 @@ def finish_block(table: pa.Table) -> pa.Table:
             own = keys[a:b]
             l, size = matches_of(n, freq[a:b])  # noqa: E741
             stars = [int((mixed(own ^ s).min() >> U(4)) * U(8) + U(k)) for k, s in enumerate(SEEDS)]
-            row += (l, pack48(np.sort(own)), own[:size].astype(np.int64).tolist(), stars)
+            row += (rare_bits(own, freq[a:b]), l, pack48(np.sort(own)), own[:size].astype(np.int64).tolist(), stars)
         else:
-            row += (None, None, None, None)
+            row += (None, None, None, None, None)
         out.append(row)
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), DOC_SCHEMA, strict=True)], schema=DOC_SCHEMA)
 
@@ -341,6 +353,14 @@ def linked(n: int, m: int, common: int) -> bool:
     return 100 * common >= NUM * (n + m - common)
 
 
+def can_link(n: int, x: int, m: int, y: int) -> bool:
+    """Whether sets of sizes n and m, of which x and y hashes occur elsewhere at all, can share enough.
+
+    A link needs 100 / NUM + 1 times the intersection to reach n + m, and only the x and y hashes can be shared.
+    """
+    return (100 + NUM) * min(x, y) >= NUM * (n + m) and 100 * min(n, m) >= NUM * max(n, m)
+
+
 def common_hashes(x: np.ndarray, y: np.ndarray) -> int:
     if len(x) > len(y):
         x, y = y, x
@@ -355,7 +375,7 @@ def verify_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, n, x, m, y = (batch.column(i).to_pylist() for i in range(6))
         keep, last, held = [], None, None
         for i in range(len(a)):
-            if 100 * min(n[i], m[i]) < NUM * max(n[i], m[i]):
+            if not can_link(n[i], len(x[i]) // 6, m[i], len(y[i]) // 6):
                 continue
             if b[i] != last:
                 last, held = b[i], unpack48(y[i])
@@ -373,17 +393,18 @@ def verify_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for r in left:
                 x, n = unpack48(r["sorted_set"]), r["n"]
                 for sig, m, y in ys:
-                    if 100 * min(n, m) >= NUM * max(n, m) and linked(n, m, common_hashes(x, y)):
+                    if can_link(n, len(x), m, len(y)) and linked(n, m, common_hashes(x, y)):
                         out_a.append(r["sig"])
                         out_b.append(sig)
         yield pa.RecordBatch.from_pydict({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
 
 
 def star_links(classes: DataFrame) -> DataFrame:
-    """Step 3: linked (a, b), where b is the centre of one of a's star keys."""
+    """Step 3: linked (a, b), where b is a centre of one of a's star keys."""
     keys = classes.select("sig", (F.col("m") / F.col("n")).alias("shared"), F.explode("stars").alias("key"))
-    centres = keys.groupBy("key").agg(F.max(F.struct("shared", "sig")).alias("c"), F.count("*").alias("members"))
-    centres = centres.where("members > 1").select("key", F.col("c.sig").alias("b"))
+    purest, any_one = F.max(F.struct("shared", "sig")), F.max(F.struct(F.xxhash64("sig").alias("h"), "sig"))
+    centres = keys.groupBy("key").agg(purest.alias("c"), any_one.alias("d"), F.count("*").alias("members"))
+    centres = centres.where("members > 1").select("key", F.explode(F.array_distinct(F.array("c.sig", "d.sig"))).alias("b"))
     pairs = keys.join(centres, "key").where("sig <> b").select(F.col("sig").alias("a"), "b").distinct()
     left = classes.select(F.col("sig").alias("a"), "n", F.col("sorted_set").alias("x"))
     right = classes.select(F.col("sig").alias("b"), F.col("n").alias("o"), F.col("sorted_set").alias("y"))
@@ -392,32 +413,43 @@ def star_links(classes: DataFrame) -> DataFrame:
 
 
 def candidate_components(classes: DataFrame) -> DataFrame:
-    """Step 4: pairs of components that share enough prefix hashes."""
-    postings = classes.select("comp", "matches", F.explode("prefix").alias("hash"))
-    postings = postings.groupBy("hash", "comp").agg(F.min("matches").alias("l"))
+    """Step 4: pairs of components that share enough prefix hashes.
+
+    A linked pair meets under each of its shared hashes, and there the bound of `can_link` must hold for the members
+    with the most shared hashes and the smallest sets, less the rare hashes that all members of one component have and
+    no member of the other; so a text that is too much its own meets nothing.
+    """
+    reach = (100 + NUM) * F.col("m") - NUM * F.col("n")  # the largest NUM * size of a partner
+    postings = classes.select("comp", "matches", "n", "rare", reach.alias("reach"), F.explode("prefix").alias("hash"))
+    postings = postings.groupBy("hash", "comp").agg(
+        F.min("matches").alias("l"), F.max("reach").alias("reach"), (NUM * F.min("n")).alias("size"), F.bit_and("rare").alias("all"), F.bit_or("rare").alias("any")
+    )
     several = postings.groupBy("hash").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("hash")
     postings = postings.join(several, "hash")
-    one = postings.select("hash", F.col("comp").alias("p"), F.col("l").alias("lp"))
-    two = postings.select("hash", F.col("comp").alias("q"), F.col("l").alias("lq"))
-    pairs = one.join(two, "hash").where("p < q").groupBy("p", "q")
-    shared = pairs.agg(F.count("*").alias("shared"), F.min("lp").alias("lp"), F.min("lq").alias("lq"))
-    return shared.where(F.col("shared") >= F.least("lp", "lq")).select("p", "q")
+    of = lambda c: postings.select("hash", F.col("comp").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("l", "reach", "size", "all", "any")])
+    enough = lambda a, b: f"reach_{a} - {100 + NUM} * bit_count(all_{a} & ~any_{b}) >= size_{b}"
+    pairs = of("p").join(of("q"), "hash").where(f"p < q and {enough('p', 'q')} and {enough('q', 'p')}")
+    shared = pairs.groupBy("p", "q").agg(F.count("*").alias("shared"), F.min("l_p").alias("l_p"), F.min("l_q").alias("l_q"))
+    return shared.where(F.col("shared") >= F.least("l_p", "l_q")).select("p", "q")
 
 
 def cross_links(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Step 5: linked (a, b) across the pairs of components, the smaller of which travels."""
-    sizes = classes.groupBy("comp").agg(F.count("*").alias("size"))
-    of = lambda c: sizes.select(F.col("comp").alias(c), F.col("size").alias(f"size_{c}"))
+    """Step 5: linked (a, b) across the pairs of components, chunk by chunk; the smaller component travels."""
+    sizes = classes.groupBy("comp").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    of = lambda c: sizes.select(F.col("comp").alias(c), F.col("chunks").alias(f"chunks_{c}"))
     pairs = pairs.join(of("p"), "p").join(of("q"), "q")
-    swap = F.col("size_p") > F.col("size_q")
-    pairs = pairs.select(F.when(swap, F.col("q")).otherwise(F.col("p")).alias("p"), F.when(swap, F.col("p")).otherwise(F.col("q")).alias("q"))
+    swap = F.col("chunks_p") > F.col("chunks_q")
+    pick = lambda a, b: [F.when(swap, F.col(f"{x}{b}")).otherwise(F.col(f"{x}{a}")).alias(f"{x}{a}") for x in ("", "chunks_")]
+    pairs = pairs.select(*pick("p", "q"), *pick("q", "p"))
     wanted = pairs.select(F.col("p").alias("comp")).union(pairs.select(F.col("q").alias("comp"))).distinct()
-    chunks = classes.join(wanted, "comp").join(sizes, "comp")
-    chunks = chunks.withColumn("chunk", F.pmod(F.xxhash64("sig"), F.ceil(F.col("size") / CHUNK)))
-    chunks = chunks.groupBy("comp", "chunk").agg(F.collect_list(F.struct("sig", "n", "sorted_set")).alias("rows"))
-    left = chunks.select(F.col("comp").alias("p"), F.col("rows").alias("x"))
-    right = chunks.select(F.col("comp").alias("q"), F.col("rows").alias("y"))
-    return pairs.join(left, "p").join(right, "q").select("x", "y").mapInArrow(verify_chunks, "a binary, b binary")
+    members = classes.join(wanted, "comp").join(sizes, "comp")
+    members = members.withColumn("chunk", F.pmod(F.xxhash64("sig"), F.col("chunks")))
+    members = members.groupBy("comp", "chunk").agg(F.collect_list(F.struct("sig", "n", "sorted_set")).alias("rows"))
+    left = members.select(F.col("comp").alias("p"), F.col("chunk").alias("i"), F.col("rows").alias("x"))
+    right = members.select(F.col("comp").alias("q"), F.col("chunk").alias("j"), F.col("rows").alias("y"))
+    number = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    pairs = pairs.withColumn("i", number("chunks_p")).withColumn("j", number("chunks_q")).select("p", "i", "q", "j")
+    return pairs.join(left, ["p", "i"]).join(right, ["q", "j"]).select("x", "y").mapInArrow(verify_chunks, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
@@ -425,7 +457,7 @@ def near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or work_dir(docs.sparkSession, "ngram-join")
     rows = stored(described(docs), folder, "documents")
     classes = rows.where("sorted_set is not null").groupBy("sig").agg(
-        F.first(F.struct("n", "m", "matches", "sorted_set", "prefix", "stars")).alias("r")
+        F.first(F.struct("n", "m", "rare", "matches", "sorted_set", "prefix", "stars")).alias("r")
     ).select("sig", "r.*")
     classes = stored(classes, folder, "classes")
     stars = stored(components(star_links(classes), folder, "stars").select(F.col("v").alias("sig"), "label"), folder, "starred")
@@ -445,3 +477,17 @@ def near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
     return rows.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(named, "sig", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) END) AS s FROM w),
+t AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS m, b.n AS n, count(*) AS c FROM t a JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p WHERE 100 * c >= 75 * (m + n - c)),
+b AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, b.y FROM r JOIN b ON r.other = b.x)
+SELECT doc_id, len(s) AS n_shingles, (SELECT min(other) FROM r WHERE r.doc_id = s.doc_id) AS component_id FROM s
+"""

@@ -79,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op9_warc": warc.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op6_ngram_join": ngram_join.ORACLE, "op8_decontaminate": decontaminate.ORACLE, "op9_warc": warc.ORACLE}
