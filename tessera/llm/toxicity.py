@@ -2,7 +2,7 @@
 
 Training. Labels are given per document, so labelled tokens come first: word features (the word, its first 3 to 7 and
 last 3 to 5 letters) are counted in toxic and clean documents, and a greedy cover picks those that occur nearly
-in toxic documents alone until every toxic document that can be is covered. Words with a picked feature in toxic
+in toxic documents alone, and too often for chance, until every toxic document that can be is covered. Words with a picked feature in toxic
 documents are tagged toxic, all others clean. On these the CRF (two tags, the same features, tag transitions) is
 fitted by gradient steps on the exact log-likelihood. A logistic curve over the documents' largest marginal and
 expected number of toxic words turns marginals into a score.
@@ -26,25 +26,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from tessera.llm.common import held_out
+from tessera.llm.common import gathered, held_out
 
 TRAIN_DOCS = 1500
 TRAIN_CHARS = 20_000
 FEATURE_BITS = 20
 PICKED_FEATURES = 400
-LEAST_PRECISION = 0.9
+LEAST_PRECISION = 0.98
+#: Chance, over all features, that one is picked which says nothing about toxicity.
+LEAST_SURE = 0.05
+#: Features beside the cover must be in so large a part of the toxic documents.
+LEAST_SHARE = 0.02
 STEPS = 40
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 500_000
+#: Bytes of text tagged at once, all documents in step.
+CHUNK = 12_000_000
 WORDS = re.compile(r"[^\W_]+")
 N_FEATURES = 1 << FEATURE_BITS
 _caches: dict[str, dict[str, float]] = {}
 
 
 def features(word: str) -> list[int]:
-    """Hashed features of a word; always 9, where short words repeat the whole word."""
-    raw = [word, *(f"{word[:k]}<" if len(word) >= k else word for k in range(3, 8))]
+    """Hashed features of a word; always 10, where short words repeat the whole word and one stands for any word."""
+    raw = [word, "", *(f"{word[:k]}<" if len(word) >= k else word for k in range(3, 8))]
     raw += [f">{word[-k:]}" if len(word) >= k else word for k in range(3, 6)]
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) & (N_FEATURES - 1) for x in raw]
 
@@ -121,7 +126,9 @@ def pick_features(rows: list[np.ndarray], toxic: np.ndarray) -> set[int]:
         (a if y else b)[row] += 1
     n_toxic, n_clean = toxic.sum(), (~toxic).sum()
     share = (a / n_toxic) / np.maximum(1e-12, a / n_toxic + b / n_clean)
-    good = (a >= min(3, n_toxic)) & (share >= LEAST_PRECISION) & (b <= 0.02 * n_clean)
+    rate = n_toxic / (n_toxic + n_clean)
+    by_chance = binomial(a, b) + a * np.log(rate) + b * np.log(1 - rate)
+    good = (share >= LEAST_PRECISION) & (by_chance < -np.log(max(1, np.count_nonzero(a + b)) / LEAST_SURE))
     where: dict[int, list[int]] = {}
     for i in np.flatnonzero(toxic).tolist():
         for f in rows[i][good[rows[i]]].tolist():
@@ -146,8 +153,15 @@ def pick_features(rows: list[np.ndarray], toxic: np.ndarray) -> set[int]:
             if gain[f] > 1 and f not in picked:
                 gain[f] = min(gain[f], sum(i not in covered for i in where[f])) if len(where[f]) < 50 else gain[f]
         ranked = sorted((f for f in ranked if f not in picked and gain[f] > 1), key=lambda f: (-gain[f], f))
-    # features that say the same as a picked one tag the same words: all good features of nearly the same documents
-    return picked | {f for f, d in where.items() if len(d) >= 3 and b[f] == 0 and len(d) >= 0.02 * n_toxic}
+    # features as frequent that no clean document has tag too: the picked ones stand for them
+    return picked | {f for f, d in where.items() if b[f] == 0 and len(d) >= LEAST_SHARE * n_toxic}
+
+
+def binomial(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Logarithms of the binomial coefficients (a + b over a)."""
+    sums = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, int((a + b).max()) + 2)))])
+    n, k = (a + b).astype(int), a.astype(int)
+    return sums[n] - sums[k] - sums[n - k]
 
 
 class Tagger:
@@ -215,7 +229,7 @@ def fit(texts: list[str], labels: list[int]) -> Tagger:
     docs = [WORDS.findall(t.lower()) for t in texts]
     number: dict[str, int] = {}
     ids = [np.array([number.setdefault(w, len(number)) for w in d], np.int64) for d in docs]
-    table = np.array([features(w) for w in number] or [[0] * 9])
+    table = np.array([features(w) for w in number] or [[0] * 10])
     picked = pick_features([np.unique(table[np.unique(i)]) if len(i) else np.empty(0, np.int64) for i in ids], toxic)
     marked = np.isin(table, np.fromiter(picked, np.int64, len(picked))).any(axis=1)
     clean = np.flatnonzero(~toxic)[: max(1, 2 * int(toxic.sum()))]
@@ -253,10 +267,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int, fold: int) ->
     """The bounded sample: ids from the labels alone, then the texts of those ids."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"), folds, fold))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    most = F.when(F.col("toxic") > 0, TRAIN_DOCS).otherwise(3 * TRAIN_DOCS)
-    known = known.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 3 * TRAIN_DOCS).where(F.col("place") <= most)
-    chosen = {r.doc_id: int(r.toxic > 0) for r in known.select("doc_id", "toxic").collect()}
+    chosen: dict[int, int] = {}
+    for toxic, most in ((1, TRAIN_DOCS), (0, 3 * TRAIN_DOCS)):
+        rows = known.where((F.col("toxic") > 0) == F.lit(bool(toxic))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        chosen |= {r.doc_id: toxic for r in rows.select("doc_id").collect()}
     if not chosen:
         return [], []
     spark = docs.sparkSession
@@ -273,12 +287,12 @@ SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 def scoring(tagger: Tagger):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, CHUNK):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             scores, spans, at = [], [], 0
             while at < len(texts):
                 docs, size, begin = [], 0, at
-                while at < len(texts) and (not docs or size < 8_000_000):
+                while at < len(texts) and (not docs or size < CHUNK):
                     docs.append(WORDS.findall(texts[at].lower()))
                     size += len(texts[at])
                     at += 1
