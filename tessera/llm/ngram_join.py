@@ -7,9 +7,9 @@ Two texts link when the Jaccard similarity of their sets of `WORDS`-word shingle
    with the hashes that occur in two documents or more. Only those can be in any intersection, so a document goes
    on only if they make up 75 % of its set. Copies within a block are sent once.
 2. Classes. Documents with one and the same set are one class from here on.
-3. Stars. Each class is compared with two centres for each of `STAR_KEYS` min-hash keys: the class with the fewest
-   hashes of its own, and any one. The links found join most of
-   a group of near copies with as many comparisons as members; they only spare work, and decide nothing alone.
+3. Stars. Each class is compared with one centre for each of `STAR_KEYS` min-hash keys, the class with the fewest
+   hashes of its own. The links found join most of a group of near copies with as many comparisons as members; they
+   only spare work, and decide nothing alone.
 4. Prefixes. Under one global order (frequency, then hash), two linked sets of sizes n share at least l hashes of
    their first n - ceil(0.75 n) + l, for every l. Each document picks the l of 1..`MOST_MATCHES` whose prefix has
    the least estimated cost (postings to scan plus candidates to verify, where candidates fall with l) and pairs
@@ -400,11 +400,10 @@ def verify_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def star_links(classes: DataFrame) -> DataFrame:
-    """Step 3: linked (a, b), where b is a centre of one of a's star keys."""
+    """Step 3: linked (a, b), where b is the centre of one of a's star keys."""
     keys = classes.select("sig", (F.col("m") / F.col("n")).alias("shared"), F.explode("stars").alias("key"))
-    purest, any_one = F.max(F.struct("shared", "sig")), F.max(F.struct(F.xxhash64("sig").alias("h"), "sig"))
-    centres = keys.groupBy("key").agg(purest.alias("c"), any_one.alias("d"), F.count("*").alias("members"))
-    centres = centres.where("members > 1").select("key", F.explode(F.array_distinct(F.array("c.sig", "d.sig"))).alias("b"))
+    centres = keys.groupBy("key").agg(F.max(F.struct("shared", "sig")).alias("c"), F.count("*").alias("members"))
+    centres = centres.where("members > 1").select("key", F.col("c.sig").alias("b"))
     pairs = keys.join(centres, "key").where("sig <> b").select(F.col("sig").alias("a"), "b").distinct()
     left = classes.select(F.col("sig").alias("a"), "n", F.col("sorted_set").alias("x"))
     right = classes.select(F.col("sig").alias("b"), F.col("n").alias("o"), F.col("sorted_set").alias("y"))
