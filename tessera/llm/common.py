@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -49,6 +49,20 @@ def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         yield pa.concat_batches(held)
 
 
+_turn: dict[str, Callable[[], None]] = {}
+
+
+def take_turn(name: str, drop: Callable[[], None]) -> None:
+    """Called as a task begins: what another operator has kept in this worker is dropped, as its turn is over."""
+    if name not in _turn:
+        for forget in _turn.values():
+            forget()
+        if _turn:
+            _turn.clear()
+            release()
+        _turn[name] = drop
+
+
 def release() -> None:
     """Give freed memory back to the system: Python workers outlive their tasks, and others need it then."""
     pa.default_memory_pool().release_unused()

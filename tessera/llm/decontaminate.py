@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, plain_words, release
+from tessera.llm.common import as_bytes, plain_words, release, take_turn
 
 WINDOW = 10
 BLOCK = 3
@@ -168,6 +168,7 @@ def searching(share: list[tuple[str | None, bytes]], window: int, text: int, wid
     name = hashlib.sha256(repr(key).encode()).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("decontamination", _searchers.clear)
         if name not in _searchers:
             while len(_searchers) >= 2:
                 _searchers.pop(next(iter(_searchers)))

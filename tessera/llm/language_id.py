@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from tessera.llm.common import gathered, held_out, only, release
+from tessera.llm.common import gathered, held_out, only, release, take_turn
 
 #: Training bound: letters for each language, from at most so many documents, which count whole.
 TRAIN_LETTERS = 40_000
@@ -205,6 +205,7 @@ def predict_language(docs: DataFrame, samples: list[tuple[str, str]], keep: tupl
     key = tuple(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("language ID", _models.clear)
         if key not in _models:
             _models.clear()
             _models[key] = CrossParser(samples)

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, only, release, shuffle_partitions, stored, work_dir
+from tessera.llm.common import as_bytes, only, release, shuffle_partitions, stored, take_turn, work_dir
 from tessera.llm.components import components
 
 WORDS = 5
@@ -203,6 +203,7 @@ def block_rows(blk: int, segments: int, ids: list, sizes: list[int], signs: list
 
 def cut_blocks(segments: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("n-gram join", _tables.clear)
         serial = TaskContext.get().partitionId() << 24
         ids: list = []
         sizes: list[int] = []

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.common import as_bytes, only, open_fs, shuffle_partitions, stored, work_dir
+from tessera.llm.common import as_bytes, only, open_fs, release, shuffle_partitions, stored, take_turn, work_dir
 
 #: A worker forgets its words beyond this many.
 CACHED_WORDS = 600_000
@@ -137,6 +137,7 @@ def write_parts(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("token files", _encoders.clear)
         fs, top = open_fs(folder)
         task = TaskContext.get()
         part, stem = task.partitionId(), f"{top}/part-{task.partitionId():06d}-{task.taskAttemptId()}"
@@ -155,6 +156,7 @@ def write_parts(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
         if out is None:
             return
         out.close()
+        release()
         offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         for kind, what in (("off", offsets.astype("<u8")), ("doc", np.concatenate(ids).astype("<i8"))):
             with fs.open_output_stream(f"{stem}.{kind}") as f:

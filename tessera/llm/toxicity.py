@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import gathered, held_out
+from tessera.llm.common import gathered, held_out, take_turn
 
 TRAIN_DOCS = 1500
 TRAIN_CHARS = 20_000
@@ -287,6 +287,7 @@ SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 def scoring(tagger: Tagger):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("toxicity", _caches.clear)
         for batch in gathered(batches, CHUNK):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             scores, spans, at = [], [], 0
