@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -61,3 +62,56 @@ def test_whole_table(spark, docs, rows, no_docs):
     assert sorted((tuple(r)[:6] for r in found), key=repr) == want
     assert all(0 <= r.score <= 1 for r in found)
     assert licenses.license_scan(no_docs).collect() == []
+
+
+@pytest.mark.parametrize(("text", "label"), [
+    ("see https://creativecommons.org/publicdomain/zero/1.0/", "cc0"),
+    ("see mozilla.org/MPL/2.0", "mpl"),
+    ("see scripts.sil.org/OFL", "ofl"),
+    ("see www.wtfpl.net", "wtfpl"),
+    ("do what the fuck you want to public license", "wtfpl"),
+    ("CC0 1.0 Universal", "cc0-1.0"),
+    ("Boost Software 1.0", "boost-1.0"),
+    ("Eclipse Public 2.0", "epl-2.0"),
+    ("GNU Library General Public 2", "lgpl-2.0"),
+    ("distributed under MPL 2.0", "mpl-2.0"),
+])
+def test_rules_without_the_usual_words(text, label):
+    assert label in licenses.described(1, text.encode())[6].split(",")
+
+
+def drawn(rng, parsed):
+    """A string that the parsed expression matches."""
+    out = ""
+    for op, x in parsed:
+        match str(op):
+            case "LITERAL":
+                out += chr(x)
+            case "IN":
+                out += str(rng.randint(0, 9)) if str(x[0][0]) == "CATEGORY" else chr(rng.choice(x)[1])
+            case "BRANCH":
+                out += drawn(rng, rng.choice(x[1]))
+            case "SUBPATTERN":
+                out += drawn(rng, x[3])
+            case "MAX_REPEAT":
+                out += drawn(rng, x[2]) * rng.randint(x[0], x[1])
+            case "ASSERT":
+                pass
+            case _:
+                raise ValueError(op)
+    return out
+
+
+def test_scan_finds_what_running_all_rules_finds():
+    rng = random.Random(5)
+    for rule in licenses.rules():
+        for _ in range(4):
+            text = f"so it is{drawn(rng, re._parser.parse(rule.pattern.pattern.decode()))} as they say"
+            line = f" {text} ".encode()
+            assert rule.pattern.search(line), text
+            every = []
+            for order, r in enumerate(licenses.rules()):
+                for m in r.pattern.finditer(line):
+                    start = line.count(b" ", 0, m.start())
+                    every.append(licenses.Detection(r.priority, start, start + line.count(b" ", m.start() + 1, m.end() + 1), order, r.label))
+            assert licenses.scan(text.encode())[2] == licenses.resolved(every), text
