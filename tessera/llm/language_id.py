@@ -4,7 +4,9 @@ For each language a suffix automaton holds a bounded sample of its labelled text
 longest phrases that occur in that text: the automaton is followed letter by letter, and where no transition goes
 on, a phrase ends and the next begins. The language whose text needs the fewest phrases, normalised by the length of
 that text (phrases * log2(training letters) / letters), wins. Texts are parsed whole, in blocks of `BLOCK` letters
-(a phrase ends at a block's end), so that numpy follows thousands of blocks at once.
+(a phrase ends at a block's end), so that numpy follows thousands of blocks at once. Every letter of the training texts
+has its own code. Transitions are a table of states and the language's own letters, or, where letters are many (such as
+Han), a sorted list.
 
 Before both training and parsing, letters are lower-cased and each run of other characters is one space.
 
@@ -33,6 +35,8 @@ MAX_LANGUAGES = 256
 BLOCK = 256
 #: Code points worked on at once.
 CHUNK = 3_000_000
+#: Bytes that the tables of all languages may take; a language whose table is above its share has a sorted list.
+TABLE_BYTES = 1 << 28
 _models: dict[tuple, "CrossParser"] = {}
 
 
@@ -70,11 +74,10 @@ class Letters:
     """Code point -> code: 0 for what is no letter, 1.. for known letters, then one for all others."""
 
     def __init__(self, texts: list[str]):
-        known = sorted({c for t in texts for c in t.lower() if c.isalpha()})[:250]
+        known = sorted({c for t in texts for c in t.lower() if c.isalpha()})
         self.unknown = len(known) + 1
-        self.pad = self.unknown + 1
         number = {c: n + 1 for n, c in enumerate(known)}
-        self.table = np.zeros(0x110000, np.uint8)
+        self.table = np.zeros(0x110000, np.min_scalar_type(self.unknown))
         for i in range(0x110000):
             c = chr(i)
             if c.isalpha():
@@ -92,31 +95,66 @@ class Letters:
         return codes[keep], before[starts]
 
 
+class Parser:
+    """One language's automaton. Codes become its own: 0 for what its text does not hold, 1.. for the others."""
+
+    def __init__(self, codes: np.ndarray, size: int, share: int):
+        known, text = np.unique(codes, return_inverse=True)
+        self.own = np.zeros(size, np.int64)
+        self.own[known] = np.arange(1, len(known) + 1)
+        self.bits = np.log2(max(2, len(codes)))
+        moves = suffix_automaton((text + 1).tolist())
+        self.width = width = len(known) + 1
+        self.dense = 4 * len(moves) * width <= share
+        self.root = np.zeros(width, np.int64)
+        for c, to in moves[0].items():
+            self.root[c] = to
+        if self.dense:
+            table = np.empty((len(moves), width), np.uint32)
+            table[:] = self.root * width | 1 << 31  # a phrase begins, unless a transition goes on
+            for state, row in enumerate(moves):
+                if state:
+                    for c, to in row.items():
+                        table[state, c] = to * width
+            self.table = table.ravel()
+        else:
+            found = sorted((state * width + c, to) for state, row in enumerate(moves) if state for c, to in row.items())
+            self.keys = np.array([k for k, _ in found] + [np.iinfo(np.int64).max], np.int64)
+            self.to = np.array([to for _, to in found], np.int64)
+
+    def count(self, steps: list[np.ndarray]) -> np.ndarray:
+        """Phrases of each block; steps are the codes at the first place of all blocks, at the second, and so on."""
+        count = np.zeros(len(steps[0]) if steps else 0, np.uint32)
+        state = np.zeros(len(count), np.int64)
+        for codes in steps:
+            m = len(codes)
+            c = self.own.take(codes)
+            if self.dense:
+                got = self.table.take(state[:m] + c)
+                count[:m] += got >> np.uint32(31)
+                state[:m] = got & np.uint32(0x7FFFFFFF)
+                continue
+            now, begun = self.root.take(c), np.ones(m, np.uint32)
+            inner = np.flatnonzero((state[:m] != 0) & (c != 0))
+            key = state[inner] * self.width + c[inner]
+            place = np.searchsorted(self.keys, key)
+            hit = self.keys[place] == key
+            now[inner[hit]] = self.to[place[hit]]
+            begun[inner[hit]] = 0
+            count[:m] += begun
+            state[:m] = now
+        return count
+
+
 class CrossParser:
     def __init__(self, samples: list[tuple[str, str]]):
         self.languages = [lang for lang, _ in samples]
         self.letters = Letters([t for _, t in samples])
-        width = self.letters.pad + 1
-        tables, self.roots, self.bits, base = [], [], [], 0
+        self.parsers = []
         for _, text in samples:
             codes, _ = self.letters.codes(points_of([text])[0], np.array([0, len(text)]))
-            moves = suffix_automaton(codes.tolist())
-            table = np.zeros((len(moves), width), np.uint32)
-            for c, to in moves[0].items():
-                table[:, c] = base + to * width
-            table[:, : self.letters.pad] |= np.uint32(1 << 31)  # a phrase begins, unless a transition goes on
-            missing = [c for c in range(self.letters.pad) if c not in moves[0]]
-            table[:, missing] = base | (1 << 31)
-            for state, row in enumerate(moves):
-                if state:
-                    for c, to in row.items():
-                        table[state, c] = base + to * width
-            table[:, self.letters.pad] = base + np.arange(len(moves), dtype=np.uint32) * width
-            tables.append(table.ravel())
-            self.roots.append(base)
-            self.bits.append(np.log2(max(2, len(codes))))
-            base += table.size
-        self.table = np.concatenate(tables) if tables else np.empty(0, np.uint32)
+            self.parsers.append(Parser(codes, self.letters.unknown + 1, TABLE_BYTES // len(samples)))
+        self.bits = [p.bits for p in self.parsers]
 
     def phrases(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Phrases of each text (rows) in each language (columns)."""
@@ -129,19 +167,9 @@ class CrossParser:
         order = np.argsort(begin - end, kind="stable")  # longest first: short blocks leave early
         begin, end, owner = begin[order], end[order], owner[order]
         length = end - begin
-        n, k = len(owner), len(self.languages)
-        state = np.repeat(np.array(self.roots, np.uint32)[:, None], n, axis=1)
-        count = np.zeros((k, n), np.uint32)
         alive = np.searchsorted(-length, -np.arange(1, BLOCK + 1), side="right")
-        for t in range(BLOCK):
-            m = alive[t]
-            if not m:
-                break
-            at = state[:, :m] + codes[begin[:m] + t]
-            got = self.table.take(at)
-            count[:, :m] += got >> np.uint32(31)
-            state[:, :m] = got & np.uint32(0x7FFFFFFF)
-        return np.stack([np.bincount(owner, count[j], len(sizes)) for j in range(k)], axis=1)
+        steps = [codes[begin[:m] + t] for t, m in enumerate(alive.tolist()) if m]
+        return np.stack([np.bincount(owner, p.count(steps), len(sizes)) for p in self.parsers], axis=1)
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         points, starts = points_of(texts)

@@ -1,5 +1,8 @@
+import random
 import zlib
 
+import pytest
+
 from tessera.llm import language_id
 
 
@@ -54,3 +57,35 @@ def test_no_labels_and_empty_table(spark, no_docs):
     assert language_id.language_id(no_docs).collect() == []
     rows = spark.createDataFrame([(1, "words", None), (2, None, "en")], "doc_id long, text string, lang string")
     assert {r.lang_pred for r in language_id.language_id(rows).collect()} == {"und"}
+
+
+def plain_phrases(text, sample):
+    n = at = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in sample:
+            size += 1
+        at += size
+        n += 1
+    return n
+
+
+def scripts():
+    """Two languages of the same many letters, in another order, after a Latin and a Cyrillic one."""
+    rng = random.Random(3)
+    han, hangul = [chr(c) for c in range(0x4E00, 0x4E00 + 600)], [chr(c) for c in range(0xAC00, 0xAC00 + 600)]
+    words = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(300))
+    return [("en", words("abcdefghij")), ("ko", words(hangul)), ("ru", words("абвгдежзик")), ("zh", words(han))]
+
+
+@pytest.mark.parametrize("table_bytes", [0, 1 << 19, 1 << 28])
+def test_letters_of_many_scripts_have_codes_of_their_own(monkeypatch, table_bytes):
+    monkeypatch.setattr(language_id, "TABLE_BYTES", table_bytes, raising=False)
+    samples = scripts()
+    parser = language_id.CrossParser(samples)
+    texts = [*(t[10 + i : 200 + i] for i, (_, t) in enumerate(samples)), "abc 一丁 가각 где αβγ"]
+    points, starts = language_id.points_of(texts)
+    codes, starts = parser.letters.codes(points, starts)
+    assert parser.phrases(codes, starts).tolist() == [[plain_phrases(t.lstrip(), s) for _, s in samples] for t in texts]
+    shuffled = [" ".join(random.Random(4).sample(t.split(), 40)) for _, t in samples]
+    assert parser.predict(shuffled)[0] == [lang for lang, _ in samples]
