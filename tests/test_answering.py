@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import render
 from tessera.operators import decision, evaluation, generation, retrieval, verification
-from tessera.plans import fixtures, oracles
+from tessera.plans import fixtures, oracles, queries
 
 
 def test_retries_and_fallback_models():
@@ -160,3 +160,11 @@ def test_badges_and_captions(spark):
     df = spark.createDataFrame([("partial", 1, 2, {"verify": 0.5})], "s string, k int, n int, t map<string,double>")
     r = df.select(render.badge(F.col("s"), F.col("k"), F.col("n")).alias("b"), render.timings(F.col("t")).alias("t"), render.share(F.lit(0.5), F.lit(4)).alias("p")).first()
     assert (r.b.level, r.b.label, r.t, r.p) == ("warning", "Partially grounded - 1/2 claims supported. Check the flagged claims.", "verify 0.50s", "2/4")
+
+
+def test_highlight_covers_every_document(spark, tmp_path):
+    texts = ["One is <here>. Two is here. Three is here. Four is here.", "Alone.", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 0), (2, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = {r.doc_id: r.html for r in queries.highlight(spark, str(tmp_path)).collect()}
+    assert found == {0: "One is &lt;here&gt;. <mark>Two is here</mark>. <mark>Three is here</mark>. Four is here.", 1: "Alone.", 2: "", 3: None}
