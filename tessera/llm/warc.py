@@ -32,12 +32,15 @@ from tessera.llm.common import open_fs, shuffle_partitions, stored, work_dir
 DEDUP_BYTES = 1000
 FILE_BYTES = 64_000_000
 SPLIT_BYTES = 4_000_000
-#: Longest header that is read, in bytes.
+#: Bytes read behind a split for its last headers; where one is longer, the file is read on to its end.
 HEADER_BYTES = 1 << 16
 MAGIC = b"WARC/1.1\r\n"
 #: Groups of equal payloads that are sent to all tasks at most (28 bytes each); more are met in a shuffled join.
 BROADCAST_GROUPS = 500_000
 HEADER = re.compile(rb"([A-Za-z][A-Za-z0-9-]*): ([^\r\n]*)\r\n")
+#: All whole lines of a header, and what may become one (or the blank line) with more bytes.
+LINES = re.compile(rb"(?:[A-Za-z][A-Za-z0-9-]*+: [^\r\n]*+\r\n)*+")
+OPEN = re.compile(rb"(?:\r|[A-Za-z][A-Za-z0-9-]*+(?::(?: [^\r\n]*+\r?)?)?)?\Z")
 
 
 def with_record_types(pages: DataFrame) -> DataFrame:
@@ -117,15 +120,14 @@ CANDIDATE_SCHEMA = pa.schema(
 )
 
 
-def header_at(head: bytes) -> tuple[dict[bytes, bytes], int] | None:
-    """Fields and length of the header at the start of these bytes; None where there is no whole header."""
-    end = head.find(b"\r\n\r\n")
-    if not head.startswith(MAGIC) or end < 0:
+def header_at(raw: bytes, at: int, stop: int) -> tuple[dict[bytes, bytes], int] | None:
+    """Fields and end of the header at this place, whose lines end at `stop`; None where there is no whole header."""
+    if raw[stop : stop + 2] != b"\r\n":
         return None
-    fields = dict(HEADER.findall(head[len(MAGIC) : end + 2]))
+    fields = dict(HEADER.findall(raw, at + len(MAGIC), stop))
     if not fields.get(b"Content-Length", b"").isdigit() or b"WARC-Type" not in fields:
         return None
-    return fields, end + 4
+    return fields, stop + 2
 
 
 def split_candidates(file, size: int, begin: int, end: int) -> tuple[list[int], list[int], list[dict | None]]:
@@ -134,11 +136,16 @@ def split_candidates(file, size: int, begin: int, end: int) -> tuple[list[int],
     offsets, successors, records = [], [], []
     at = raw.find(MAGIC)
     while 0 <= at < end - begin:
-        found = header_at(raw[at : at + HEADER_BYTES])
+        stop, more = LINES.match(raw, at + len(MAGIC)).end(), HEADER_BYTES
+        while begin + len(raw) < size and OPEN.match(raw, stop):
+            file.seek(begin + len(raw))
+            raw += file.read(min(more, size - begin - len(raw)))
+            stop, more = LINES.match(raw, stop).end(), 2 * more
+        found = header_at(raw, at, stop)
         if found:
             fields, length = found
             body = int(fields[b"Content-Length"])
-            start = begin + at + length
+            start = begin + length
             if start + body + 4 <= size:
                 offsets.append(begin + at)
                 successors.append(start + body + 4)

@@ -56,3 +56,11 @@ def test_a_damaged_payload_is_an_error(spark, tmp_path):
 
 def test_empty_table(spark):
     assert warc.warc_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+@pytest.mark.parametrize("split_bytes", [warc.SPLIT_BYTES, 100_000, 1_000])
+def test_a_url_longer_than_the_window(spark, split_bytes):
+    rows = [*pages(), (4000, "data:" + "u" * 300_000, "x" * 2000), (4001, "v" * 70_000 + "WARC/1.1", ""), (4002, "w", "WARC/1.1\r\n" * 300 + "a" * 200_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    found = warc.warc_round_trip(df, None, 500_000, split_bytes).collect()
+    assert Counter(tuple(r) for r in found) == expected(rows)
