@@ -4,7 +4,8 @@ Rules name a host (with all its subdomains) and the start of a path; the longest
 the host decides. Links between hosts are counted into a weighted graph (a host's links to itself included, and one
 more, so that no host is a dead end). Trust is personalised PageRank from the hosts of pages that a rule allows,
 weighted by their number; distrust is the same over reversed edges from the hosts of blocked pages. A host is blocked
-when distrust makes up more than `THRESHOLD` of both. Hosts that neither reaches are allowed.
+when distrust makes up more than `THRESHOLD` of both. Ranks are carried on until none changes and no further host is
+reached, so over paths of any length (as far as a rank is above `LEAST`). Hosts that neither reaches are allowed.
 
 Defined results: a null url or one without `://` has an empty host and path, no rule, and is allowed; empty hosts are
 in no link; null html has no links; rows are judged one by one; an empty table gives no rows; other columns are ignored.
@@ -12,6 +13,8 @@ in no link; null html has no links; rows are judged one by one; an empty table g
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +29,11 @@ RULES = (
     ("block", "com", "/de/"),
 )
 DAMPING = 0.85
+#: Rounds at least; after them, rounds go on until a table of ranks agrees with the one before.
 ROUNDS = 20
 ROUNDS_PER_TABLE = 5
+#: Change of a rank that counts, relative to it, and the least one that floating-point numbers tell apart safely.
+TOLERANCE, LEAST = 1e-6, 1e-300
 THRESHOLD = 0.5
 #: Hosts whose verdicts are sent to all tasks at most; more are met in a shuffled join.
 BROADCAST_HOSTS = 200_000
@@ -90,23 +96,31 @@ def propagated(edges: DataFrame, seeds: DataFrame, folder: str, rounds: int = RO
         "host", F.explode(F.create_map(F.lit("trust"), part("allowed", totals.a), F.lit("distrust"), part("blocked", totals.b))).alias("kind", "seed")
     )
     start = stored(start, folder, "seeds")
-    rank = start.withColumn("rank", F.col("seed"))
-    for k in range(1, rounds + 1):
+    rank = before = start.withColumn("rank", F.col("seed"))
+    for k in count(1):
         moved = shares.join(rank.select("kind", F.col("host").alias("src"), "rank"), ["kind", "src"])
         got = moved.groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         rank = start.join(got, ["kind", "host"], "left").select(
             "kind", "host", "seed", (F.lit(1 - DAMPING) * F.col("seed") + F.lit(DAMPING) * F.coalesce("got", F.lit(0.0))).alias("rank")
         )
-        if k % ROUNDS_PER_TABLE == 0 or k == rounds:
+        if k % ROUNDS_PER_TABLE == 0:
             rank = stored(rank, folder, f"rank-{k}")
+            if k >= rounds and settled(before, rank):
+                break
+            before = rank
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0))
     return rank.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))
 
 
+def settled(before: DataFrame, rank: DataFrame) -> bool:
+    both = rank.join(before.select("kind", "host", F.col("rank").alias("was")), ["kind", "host"])
+    return both.where(F.abs(F.col("rank") - F.col("was")) > F.greatest(F.lit(TOLERANCE) * F.col("rank"), F.lit(LEAST))).isEmpty()
+
+
 def host_verdicts(pages: DataFrame, rules, folder: str) -> DataFrame:
     """host, trust, distrust, verdict."""
-    count = lambda v: F.sum(F.when(F.col("verdict") == v, 1).otherwise(0))
-    seeds = judged(pages, rules).where("host <> ''").groupBy("host").agg(count("allow").alias("allowed"), count("block").alias("blocked"))
+    pages_of = lambda v: F.sum(F.when(F.col("verdict") == v, 1).otherwise(0))
+    seeds = judged(pages, rules).where("host <> ''").groupBy("host").agg(pages_of("allow").alias("allowed"), pages_of("block").alias("blocked"))
     seeds = stored(seeds, folder, "judged-hosts")
     edges = stored(host_edges(pages), folder, "edges")
     found = propagated(edges, seeds, folder)

@@ -108,3 +108,12 @@ def test_ranks_sum_to_one(spark):
 
 def test_empty_table(spark):
     assert url_filter.url_verdicts(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_distrust_reaches_hosts_over_many_links(spark):
+    n = 33
+    rows = [(i, f"http://h{i}.net/", LINK.format(f"http://h{i + 1}.net/" if i + 1 < n else "http://bad.com/de/")) for i in range(n)]
+    rows += [(n, "http://bad.com/de/", ""), (n + 1, "http://good.org/", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.verdict for r in url_filter.url_verdicts(df).collect()}
+    assert found == {i: "block" for i in range(n + 1)} | {n + 1: "allow"}
