@@ -18,6 +18,7 @@ doc_id are predicted like others; with no labelled text everything is `und`; oth
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +27,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from tessera.llm.common import gathered, held_out, only, release, take_turn
+from tessera.llm.common import gathered, held_out, only, release, stored, take_turn, work_dir
 
 #: Training bound: letters for each language, from at most so many documents, which count whole.
 TRAIN_LETTERS = 40_000
 TRAIN_DOCS = 200
-MAX_LANGUAGES = 256
+#: Languages that a worker holds at once; more are parsed in several passes over the table.
+PASS_LANGUAGES = 24
+#: Ids of training documents that are literals of a filter at most; more are joined.
+LITERALS = 10_000
 BLOCK = 256
 #: Code points worked on at once.
 CHUNK = 3_000_000
@@ -171,24 +175,25 @@ class CrossParser:
         steps = [codes[begin[:m] + t] for t, m in enumerate(alive.tolist()) if m]
         return np.stack([np.bincount(owner, p.count(steps), len(sizes)) for p in self.parsers], axis=1)
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def nearest(self, texts: list[str]) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+        """Each text's language (None without a letter), its rate and the second least (infinite without another)."""
         points, starts = points_of(texts)
         codes, starts = self.letters.codes(points, starts)
         has = np.diff(np.concatenate([[0], np.cumsum(codes != 0)])[starts]) > 0
-        if not self.languages:
-            return ["und"] * len(texts), [0.0] * len(texts)
         size = np.maximum(1, np.diff(starts))
         rate = self.phrases(codes, starts) * np.array(self.bits) / size[:, None]
         best = rate.argmin(axis=1)
         least = rate[np.arange(len(texts)), best]
         rate[np.arange(len(texts)), best] = np.inf
-        second = rate.min(axis=1)
+        return [self.languages[b] if h else None for b, h in zip(best, has, strict=True)], least, rate.min(axis=1)
+
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+        if not self.languages:
+            return ["und"] * len(texts), [0.0] * len(texts)
+        found, least, second = self.nearest(texts)
         with np.errstate(invalid="ignore"):
             score = np.where(np.isinf(second), 1.0, second / np.maximum(least + second, 1e-9))
-        return (
-            [self.languages[b] if h else "und" for b, h in zip(best, has, strict=True)],
-            np.where(has, score, 0.0).tolist(),
-        )
+        return ["und" if x is None else x for x in found], np.where([x is not None for x in found], score, 0.0).tolist()
 
 
 def points_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -213,23 +218,26 @@ def training_sample(labelled: DataFrame) -> list[tuple[str, str]]:
     chosen: list[int] = []
     used: dict[str, int] = {}
     for r in sorted(few.collect(), key=lambda r: (r.lang, r.place)):
-        if r.lang not in used and len(used) >= MAX_LANGUAGES:
-            continue
         if used.setdefault(r.lang, 0) + r.length <= TRAIN_LETTERS or not used[r.lang]:
             used[r.lang] += r.length
             chosen.append(r.doc_id)
     if not chosen:
         return []
     texts: dict[str, list[str]] = {}
-    for r in sorted(rows.where(F.col("doc_id").isin(chosen)).collect(), key=lambda r: (r.lang, r.doc_id, r.text)):
+    picked = rows.where(F.col("doc_id").isin(chosen))
+    if len(chosen) > LITERALS:
+        ids = labelled.sparkSession.createDataFrame([(i,) for i in sorted(set(chosen))], "doc_id long")
+        picked = rows.join(F.broadcast(ids), "doc_id", "left_semi")
+    for r in sorted(picked.collect(), key=lambda r: (r.lang, r.doc_id, r.text)):
         texts.setdefault(r.lang, []).append(r.text)
     return [(lang, " ".join(t)[: 2 * TRAIN_LETTERS]) for lang, t in sorted(texts.items())]
 
 
-def predict_language(docs: DataFrame, samples: list[tuple[str, str]], keep: tuple[str, ...] = ()) -> DataFrame:
-    """The columns of `keep`, then lang_pred and score, for each row of docs (which needs a column text)."""
-    kept = [docs.schema[c] for c in keep]
-    schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+def parsed(rows: DataFrame, samples: list[tuple[str, str]], names: list[str], what: str) -> DataFrame:
+    """All columns of rows but the last, the text; then what CrossParser.predict or CrossParser.nearest gives."""
+    kept = rows.schema.fields[:-1]
+    kinds = [T.StringType(), *[T.DoubleType()] * (len(names) - 1)]
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in kept), *map(T.StructField, names, kinds)])
     key = tuple(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,25 +248,40 @@ def predict_language(docs: DataFrame, samples: list[tuple[str, str]], keep: tupl
         model = _models[key]
         for batch in gathered(batches, CHUNK):
             texts = [t or "" for t in batch.column(len(kept)).to_pylist()]
-            langs: list[str] = []
-            scores: list[float] = []
+            out: list[list] = [[] for _ in names]
             at = 0
             while at < len(texts):
                 end, size = at, 0
                 while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
                     size += len(texts[end])
                     end += 1
-                a, b = model.predict(texts[at:end])
-                langs += a
-                scores += b
+                for held, more in zip(out, getattr(model, what)(texts[at:end]), strict=True):
+                    held += list(more)
                 at = end
             arrays = [batch.column(i) for i in range(len(kept))]
-            names = [*(f.name for f in kept), "lang_pred", "score"]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names)
+            found = [pa.array(x, pa.float64() if i else pa.string()) for i, x in enumerate(out)]
+            yield pa.RecordBatch.from_arrays([*arrays, *found], [*(f.name for f in kept), *names])
         release()
 
-    columns = [F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(keep)]
-    return docs.select(*columns, F.col("text").cast("string").alias("parsed_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
+
+
+def predict_language(docs: DataFrame, samples: list[tuple[str, str]], keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of `keep`, then lang_pred and score, for each row of docs (which needs a column text)."""
+    own = [f"kept_{i}" for i in range(len(keep))]
+    columns = [F.col(f"`{c}`").alias(n) for c, n in zip(keep, own, strict=True)]
+    rows = docs.select(*columns, F.col("text").cast("string").alias("parsed_text"))
+    if len(samples) <= PASS_LANGUAGES:
+        return parsed(rows, samples, ["lang_pred", "score"], "predict").toDF(*keep, "lang_pred", "score")
+    folder = work_dir(docs.sparkSession, "language-id")
+    rows = stored(rows.select("*", F.monotonically_increasing_id().alias("row")), folder, "rows")
+    groups = [samples[i : i + PASS_LANGUAGES] for i in range(0, len(samples), PASS_LANGUAGES)]
+    passes = [stored(parsed(rows.select("row", "parsed_text"), g, ["lang", "least", "second"], "nearest"), folder, f"pass-{k}") for k, g in enumerate(groups)]
+    near = F.array_sort(F.flatten(F.collect_list(F.array("least", "second"))))
+    both = reduce(DataFrame.union, passes).groupBy("row").agg(F.min(F.struct("least", "lang"))["lang"].alias("lang_pred"), near.alias("near"))
+    score = F.col("near")[1] / F.greatest(F.col("near")[0] + F.col("near")[1], F.lit(1e-9))
+    score = F.when(F.col("lang_pred").isNull(), 0.0).otherwise(score).alias("score")
+    return rows.join(both, "row").select(*own, F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), score).toDF(*keep, "lang_pred", "score")
 
 
 def language_id(docs: DataFrame, folds: int = 4, fold: int = 2) -> DataFrame:

@@ -89,3 +89,21 @@ def test_letters_of_many_scripts_have_codes_of_their_own(monkeypatch, table_byte
     assert parser.phrases(codes, starts).tolist() == [[plain_phrases(t.lstrip(), s) for _, s in samples] for t in texts]
     shuffled = [" ".join(random.Random(4).sample(t.split(), 40)) for _, t in samples]
     assert parser.predict(shuffled)[0] == [lang for lang, _ in samples]
+
+
+def test_every_language_is_learned(spark, docs, monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(30)]
+        rows += [(2 * i, " ".join(words), f"l{i:03}"), (2 * i + 1, " ".join(rng.sample(words, 20)), f"l{i:03}")]
+    rows += [(1000, "..", "l000"), (1001, None, "l000")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language_id, "LITERALS", 100, raising=False)
+    monkeypatch.setattr(language_id, "PASS_LANGUAGES", 150, raising=False)
+    samples = language_id.training_sample(df.where("doc_id % 2 = 0"))
+    assert len(samples) == 300
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict_language(df, samples, ("doc_id",)).collect()}
+    whole = language_id.CrossParser(samples).predict([t or "" for _, t, _ in rows])
+    assert found == {r[0]: x for r, x in zip(rows, zip(*whole, strict=True), strict=True)}
+    assert all(found[i][0] == lang for i, _, lang in rows[:600]) and found[1000] == found[1001] == ("und", 0.0)
