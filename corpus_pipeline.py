@@ -28,15 +28,32 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links reach, the document with the least doc_id stays; rows without id stay."""
+    """Of each group that links reach, the document with the least doc_id stays; rows without id stay.
+
+    Where rows share a doc_id, each is judged by its own text: a row goes only if its group keeps another one.
+    """
     ship(spark)
     names = docs.columns
-    found = ngram_join.near_duplicates(docs)
-    found = common.stored(found, common.work_dir(spark, "near-duplicates"), "components")
+    folder = common.work_dir(spark, "near-duplicates")
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return drop_rows(docs, folder).toDF(*names)
+    found = common.stored(ngram_join.near_duplicates(docs), folder, "components")
     dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    kept = common.keep_ids(docs, dropped, "left_anti").select(*names)
-    return kept if repeated else kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    return common.keep_ids(docs, dropped, "left_anti").select(*names)
+
+
+def drop_rows(docs: DataFrame, folder: str) -> DataFrame:
+    """The same where ids are repeated: a written table has a number for each row, which stands in for the doc_id."""
+    own = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    rows = common.stored(docs.toDF(*own).withColumn("doc_id", F.monotonically_increasing_id()), folder, "rows")
+    found = common.stored(ngram_join.near_duplicates(rows), folder, "components")
+    named = rows.select("doc_id", F.col(own[docs.columns.index("doc_id")]).cast("long").alias("id"), F.sha2("text", 256).alias("digest"))
+    none = F.col("n_shingles") == 0  # a text without a word is in no group but that of its repetitions
+    group = [F.when(~none, F.col("component_id")).alias("a"), F.when(none, F.col("id")).alias("b"), F.when(none, F.col("digest")).alias("c")]
+    judged = named.where("id is not null").join(found, "doc_id").select("id", "doc_id", *group)
+    stay = judged.groupBy("a", "b", "c").agg(F.min(F.struct("id", "doc_id")).alias("first")).select(F.col("first.doc_id").alias("doc_id"))
+    dropped = common.stored(judged.select("doc_id").join(stay, "doc_id", "left_anti"), folder, "dropped")
+    return common.keep_ids(rows, dropped, "left_anti").select(*own)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

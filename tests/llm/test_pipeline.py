@@ -50,3 +50,16 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"file://{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, sentence(__import__("random").Random(1), "en", 20))], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").collect() == []
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    import random
+
+    rng = random.Random(11)
+    a, b, c, d = (sentence(rng, "en", 40) for _ in range(4))
+    near = " ".join([*a.split()[:-1], "changed"])
+    rows = [(1, a, "en", "s"), (2, near, "en", "s"), (2, b, "en", "s"), (3, c, "en", "s"), (3, d, "en", "s"), (3, d, "en", "s"), (4, "", "en", "s"), (4, None, "en", "s"), (4, "", "en", "s"), (None, a, "en", "s")]
+    docs = frame(spark, rows)
+    kept = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, a), (2, b), (3, c), (3, d), (4, ""), (4, None), (None, a)], key=repr)
