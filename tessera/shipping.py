@@ -10,16 +10,20 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
-#: Rows of an Arrow batch, where the session leaves it at Spark's default: texts are long, and a batch of 10,000 of
-#: them takes a Python worker and its executor tens of megabytes more than once.
-ARROW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+#: Set where the session leaves Spark's default (the first value): texts are long, so batches of that many rows take
+#: a Python worker and its executor tens of megabytes, more than once.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "2097152b"),
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"),
+}
 
 
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors once an application, as `--py-files` would."""
-    name, default, rows = ARROW_ROWS
-    if spark.conf.get(name) == default:
-        spark.conf.set(name, rows)
+    for name, (default, value) in BATCHES.items():
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, value)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
