@@ -38,7 +38,7 @@ PASS_LANGUAGES = 24
 LITERALS = 10_000
 BLOCK = 256
 #: Code points worked on at once.
-CHUNK = 3_000_000
+CHUNK = 750_000
 #: Bytes that the tables of all languages may take; a language whose table is above its share has a sorted list.
 TABLE_BYTES = 1 << 28
 _models: dict[tuple, "CrossParser"] = {}
