@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -84,6 +85,30 @@ def held_out(id_column, folds: int, fold: int):
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join whose sides Spark can split where a key is hot.
+
+    It splits only what it shuffles for the join itself, not what an aggregate has dealt out by the same keys before.
+    One more key, made from the others, has both sides shuffled.
+    """
+    add = lambda df: df.withColumn("split_by", F.xxhash64(*keys))
+    return add(left).join(add(right), [*keys, "split_by"], how).drop("split_by")
+
+
+def freed(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files that no plan needs any more: it does so as the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def deleted(spark: SparkSession, folder: str, *names: str) -> None:
+    """Delete work tables that what was written since makes needless."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in names:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(conf).delete(path, True)
+
+
 def keep_ids(docs: DataFrame, ids: DataFrame, how: str, bound: int = 2_000_000) -> DataFrame:
     """Semi or anti join on doc_id. Up to `bound` ids (8 bytes each) are counted and broadcast; more are shuffled."""
     few = ids.limit(bound + 1).count() <= bound

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import split_join, stored
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -17,13 +17,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of u is joined to the least of u and its neighbours."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return split_join(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """u (the larger end) and its smaller neighbours are joined to the least of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    others = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    others = split_join(edges, least, ["u"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -31,7 +31,7 @@ def components(edges: DataFrame, folder: str, name: str, most_rounds: int = 60)
     """(v, label) for every end of an edge: label is the least end that it can reach.
 
     Edges are the first two columns, of any orderable type. A vertex with many neighbours is pre-aggregated to its
-    least one and met again in joins, never gathered. Rounds grow with the logarithm of the size; each is written.
+    least one and met again in joins that can be split, never gathered. Rounds grow with the logarithm of the size; each is written.
     """
     a, b = edges.columns[:2]
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()

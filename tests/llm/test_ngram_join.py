@@ -66,7 +66,7 @@ def test_a_group_of_near_copies(spark):
 def test_prefixes_alone_give_the_same(spark, monkeypatch):
     """Without star links every link must come through the adaptive prefixes."""
     rows = near_copies(60, 5)
-    monkeypatch.setattr(ngram_join, "star_links", lambda classes: classes.sparkSession.createDataFrame([], "a binary, b binary"))
+    monkeypatch.setattr(ngram_join, "star_links", lambda classes: classes.sparkSession.createDataFrame([], "a long, b long"))
     assert found(frame(spark, rows).repartition(4)) == expected(rows)
 
 
@@ -83,6 +83,44 @@ def test_small_blocks_and_segments(docs, rows, monkeypatch):
     assert found(docs) == expected(rows)
 
 
+def test_long_posting_lists_are_cut_into_slices(spark, monkeypatch):
+    """A passage in every document: its posting lists hold all of them, in slices of 4."""
+    monkeypatch.setattr(ngram_join, "LIST", 4)
+    monkeypatch.setattr(ngram_join, "star_links", lambda classes: classes.sparkSession.createDataFrame([], "a long, b long"))
+    rows = near_copies(60, 8)
+    assert found(frame(spark, rows).repartition(4)) == expected(rows)
+
+
+def test_links_of_centres_spare_most_comparisons(spark, tmp_path):
+    """A group of near copies is one component after the centres' links; those come from prefix posting lists."""
+    rng = random.Random(2)
+    base = sentence(rng, "en", 200).split()
+    rows = []
+    for i in range(120):
+        own = list(base)
+        own[rng.randrange(len(own))] = f"w{i % 11}"
+        rows.append((i, " ".join(own), "en", "src0"))
+    ngram_join.near_duplicates(frame(spark, rows), f"file://{tmp_path}").collect()
+    assert spark.read.parquet(f"file://{tmp_path}/starred").select("label").distinct().count() == 1
+
+
+def test_words_of_a_polynomials_zero_have_hashes_of_their_own(spark):
+    """Two words whose polynomial hashes modulo 2 ** 64 agree for any base, as the parity of set bits picks their letters."""
+    a = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    assert len(set(ngram_join.word_hashes([a.encode(), b.encode()]).tolist())) == 2
+    rows = [(i, f"{w} {tail}", "en", "s") for i, (w, tail) in enumerate([(a, "x"), (b, "x"), (a, "y z"), (b, "y z"), (a, "x")])]
+    assert found(frame(spark, rows)) == expected(rows)
+
+
+def test_texts_in_pieces(spark, monkeypatch, docs, rows):
+    monkeypatch.setattr(ngram_join, "PIECE_BYTES", 300)
+    monkeypatch.setattr(ngram_join, "KNOWN_WORDS", 50)
+    texts = [(r[1] or "").encode() for r in rows]
+    whole = [len(shingles(r[1])) for r in rows]
+    assert [len(s) for s in ngram_join.shingle_sets(texts)] == whole
+
+
 def test_prefix_lengths_choose_more_matches_for_frequent_hashes():
     import numpy as np
 
