@@ -27,11 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, only, shuffle_partitions, stored, work_dir
+from tessera.llm.common import as_bytes, only, release, shuffle_partitions, split_join, stored, work_dir
 
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 MEMTABLE_BYTES = 64_000_000
 MEMBERS = 4096
+#: Rows of the input for each segment of the digest space, which a task merges at once.
+SEGMENT_ROWS = 200_000
 #: References that are sent to all tasks at most; more are met in a shuffled join.
 BROADCAST_ROWS = 200_000
 NO_ID = -(2**63)
@@ -127,6 +129,7 @@ def flush_runs(segments: int, digest_bits: int, memtable_bytes: int):
                     table = Memtable(serial, segments, digest_bits)
         if table.rows:
             yield from table.flush()
+        release()
 
     return run
 
@@ -157,12 +160,13 @@ def compact(table: pa.Table) -> pa.Table:
             ref = min(found)
             out += [(digest, f[2], f[3], ref[2], ref[3]) for f in found]
     columns = zip(*out, strict=True) if out else [[] for _ in HIT_SCHEMA]
+    release()
     return pa.table([pa.array(c, f.type) for c, f in zip(columns, HIT_SCHEMA, strict=True)], schema=HIT_SCHEMA)
 
 
 def merge_index(docs: DataFrame, folder: str, digest_bits: int = 64, memtable_bytes: int = MEMTABLE_BYTES) -> tuple[DataFrame, DataFrame]:
     """The flushed runs, and (digest, run, variant, class) of every entry that shares its digest with others."""
-    segments = shuffle_partitions(docs.sparkSession)
+    segments = max(shuffle_partitions(docs.sparkSession), docs.count() // SEGMENT_ROWS)
     runs = only(docs).mapInArrow(flush_runs(segments, digest_bits, memtable_bytes), RUNS)
     runs = stored(runs, folder, "runs")
     heads = runs.where("part = 0 or filter is not null")
@@ -177,7 +181,7 @@ def merge_index(docs: DataFrame, folder: str, digest_bits: int = 64, memtable_by
         compared = left.join(bodies, ["digest", "run", "variant"])
         refs = left.where("run = ref_run and variant = ref_variant").select("digest", "run", "variant")
         refs = refs.join(bodies.drop("least_id"), ["digest", "run", "variant"]).select("digest", F.col("body").alias("ref_body"))
-        compared = compared.join(refs, "digest").select("digest", "run", "variant", "least_id", (F.col("body") == F.col("ref_body")).alias("same"))
+        compared = split_join(compared, refs, ["digest"]).select("digest", "run", "variant", "least_id", (F.col("body") == F.col("ref_body")).alias("same"))
         compared = stored(compared, folder, f"verified-{round_}")
         same = compared.where("same").select("digest", "run", "variant", F.lit(round_).alias("class"))
         found = same if found is None else found.union(same)
@@ -186,7 +190,7 @@ def merge_index(docs: DataFrame, folder: str, digest_bits: int = 64, memtable_by
             return runs, found
         least = F.min(F.struct(F.col("least_id").isNull(), "least_id", "run", "variant")).alias("r")
         refs = others.groupBy("digest").agg(least).select("digest", F.col("r.run").alias("ref_run"), F.col("r.variant").alias("ref_variant"))
-        left = others.select("digest", "run", "variant").join(refs, "digest")
+        left = split_join(others.select("digest", "run", "variant"), refs, ["digest"])
         round_ += 1
 
 
@@ -197,7 +201,7 @@ def exact_duplicates(docs: DataFrame, folder: str | None = None, **settings) ->
     members = runs.where("digest is not null").select("run", "digest", "variant", "part", "sha", "n", "best", "ids", "places")
     members = members.join(classes, ["digest", "run", "variant"], "left").withColumn("class", F.coalesce("class", F.lit(0)))
     index = members.where("part = 0").groupBy("digest", "class").agg(F.max("best").alias("top"), F.sum("n").alias("group_size"))
-    rows = members.select("digest", "class", "run", "sha", "ids", "places").join(index, ["digest", "class"])
+    rows = split_join(members.select("digest", "class", "run", "sha", "ids", "places"), index, ["digest", "class"])
     member = F.explode(F.arrays_zip("ids", "places")).alias("m")
     rows = rows.select("run", "sha", "top", "group_size", member)
     none = F.lit(NO_ID)

@@ -39,5 +39,19 @@ def test_members_are_cut_into_rows(spark, monkeypatch):
     assert sorted(r.doc_id for r in found) == list(range(25))
 
 
+def test_segments_follow_the_rows(docs, rows, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "SEGMENT_ROWS", 10)
+    found = exact_dedup.exact_duplicates(docs).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in found) == expected(rows)
+
+
+def test_a_text_of_a_third_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MEMBERS", 10)
+    rows = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'one text' ELSE concat('text ', id) END AS text").repartition(8)
+    found = exact_dedup.exact_duplicates(rows)
+    assert found.where("group_size = 1000 AND keep_id = 0").count() == 1000 and found.where("kept").count() == 2001
+    assert "split_by" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_empty_table(no_docs):
     assert exact_dedup.exact_duplicates(no_docs).collect() == []
