@@ -5,7 +5,7 @@ the largest page_id; the others become revisit records that refer to it. Tasks w
 about `FILE_BYTES` each, under names of their own attempt, and report them in a manifest.
 
 Reading: files are cut into splits of `SPLIT_BYTES`. A task looks for the record magic in its split, reads each
-candidate's header and emits the candidate's offset and its successor's, as the header's length says. Payloads can
+candidate's header, no payload, and emits the candidate's offset and its successor's, as the header's length says. Payloads can
 hold the magic, so a candidate proves nothing: only what the chain of successors from the file's start reaches is a
 record. Within a split chains are followed at once, to the first offset behind the split; across splits pointer
 jumping doubles the distance each round, so a file of n splits needs about log2(n) rounds. A chain that does not end
@@ -34,6 +34,8 @@ FILE_BYTES = 64_000_000
 SPLIT_BYTES = 4_000_000
 #: Bytes read behind a split for its last headers; where one is longer, the file is read on to its end.
 HEADER_BYTES = 1 << 16
+#: Bytes of a payload digested at once.
+PAYLOAD_BYTES = 1 << 22
 MAGIC = b"WARC/1.1\r\n"
 #: Groups of equal payloads that are sent to all tasks at most (28 bytes each); more are met in a shuffled join.
 BROADCAST_GROUPS = 500_000
@@ -109,15 +111,14 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
     return with_record_types(pages).mapInArrow(run, "file string, size long, records long")
 
 
-RECORD = "struct<page_id:long,payload_bytes:long,payload_digest:string,record_type:string,refers_to:long>"
-RECORD_TYPE = pa.struct(
+RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+RECORD_SCHEMA = pa.schema(
     [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
 )
-CANDIDATES = f"file string, split long, size long, offsets array<long>, successors array<long>, exits array<long>, records array<{RECORD}>"
+CANDIDATES = "file string, split long, size long, offsets array<long>, successors array<long>, exits array<long>"
 CANDIDATE_SCHEMA = pa.schema(
-    [("file", pa.string()), ("split", pa.int64()), ("size", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("offsets", "successors", "exits")),
-     ("records", pa.list_(RECORD_TYPE))]
-)
+    [("file", pa.string()), ("split", pa.int64()), ("size", pa.int64()), *((c, pa.list_(pa.int64())) for c in ("offsets", "successors", "exits"))]
+)
 
 
 def header_at(raw: bytes, at: int, stop: int) -> tuple[dict[bytes, bytes], int] | None:
@@ -130,46 +131,60 @@ def header_at(raw: bytes, at: int, stop: int) -> tuple[dict[bytes, bytes], int]
     return fields, stop + 2
 
 
-def split_candidates(file, size: int, begin: int, end: int) -> tuple[list[int], list[int], list[dict | None]]:
+def header_in(file, raw: bytes, begin: int, at: int, size: int) -> tuple[bytes, tuple[dict[bytes, bytes], int] | None]:
+    """What `header_at` finds at a place of `raw`, which starts at `begin` of the file and is read on while lines go on."""
+    stop, more = LINES.match(raw, at + len(MAGIC)).end(), HEADER_BYTES
+    while begin + len(raw) < size and OPEN.match(raw, stop):
+        file.seek(begin + len(raw))
+        raw += file.read(min(more, size - begin - len(raw)))
+        stop, more = LINES.match(raw, stop).end(), 2 * more
+    return raw, header_at(raw, at, stop)
+
+
+def split_candidates(file, size: int, begin: int, end: int) -> tuple[list[int], list[int]]:
+    """Offsets and successors of all places that look like a record; payloads are not read on."""
     file.seek(begin)
     raw = file.read(min(size, end + HEADER_BYTES) - begin)
-    offsets, successors, records = [], [], []
+    offsets, successors = [], []
     at = raw.find(MAGIC)
     while 0 <= at < end - begin:
-        stop, more = LINES.match(raw, at + len(MAGIC)).end(), HEADER_BYTES
-        while begin + len(raw) < size and OPEN.match(raw, stop):
-            file.seek(begin + len(raw))
-            raw += file.read(min(more, size - begin - len(raw)))
-            stop, more = LINES.match(raw, stop).end(), 2 * more
-        found = header_at(raw, at, stop)
+        raw, found = header_in(file, raw, begin, at, size)
         if found:
-            fields, length = found
-            body = int(fields[b"Content-Length"])
-            start = begin + length
-            if start + body + 4 <= size:
+            successor = begin + found[1] + int(found[0][b"Content-Length"]) + 4
+            if successor <= size:
                 offsets.append(begin + at)
-                successors.append(start + body + 4)
-                records.append(parsed(fields, file, raw, begin, start, body))
+                successors.append(successor)
         at = raw.find(MAGIC, at + 1)
-    return offsets, successors, records
+    return offsets, successors
 
 
-def parsed(fields: dict[bytes, bytes], file, raw: bytes, begin: int, start: int, body: int) -> dict | None:
-    """The record of a header; None for records that are no page. The digest of a response is taken from its bytes."""
+def page_of(file, at: int, successor: int, size: int) -> dict | None:
+    """The record at an offset that the chain reaches; None for records that are no page. A payload must have its digest."""
+    file.seek(at)
+    raw, found = header_in(file, file.read(min(HEADER_BYTES, successor - at)), at, 0, size)
+    if found is None:
+        raise ValueError(f"no header at {at}")
+    fields, start = found
     kind = fields[b"WARC-Type"].decode("utf-8", "replace")
     if kind not in ("response", "revisit"):
         return None
     number = lambda k: int(v) if re.fullmatch(rb"-?\d{1,19}", v := fields.get(k, b"")) else None
     digest, n = fields.get(b"WARC-Payload-Digest", b"").decode("utf-8", "replace").removeprefix("sha1:"), number(b"X-Payload-Length")
     if kind == "response":
-        if start + body <= begin + len(raw):
-            payload = raw[start - begin : start - begin + body]
-        else:
-            file.seek(start)
-            payload = file.read(body)
-        told, digest, n = digest, hashlib.sha1(payload).hexdigest(), body
+        n = int(fields[b"Content-Length"])
+        told, seen = digest, hashlib.sha1(raw[start : start + n])
+        left = n - max(0, len(raw) - start)
+        if left > 0:
+            file.seek(at + len(raw))
+        while left > 0:
+            part = file.read(min(left, PAYLOAD_BYTES))
+            if not part:
+                break
+            seen.update(part)
+            left -= len(part)
+        digest = seen.hexdigest()
         if told != digest:
-            kind = "damaged"
+            raise ValueError(f"the payload at {at} does not have its digest")
     return {"page_id": number(b"X-Page-Id"), "payload_bytes": n, "payload_digest": digest, "record_type": kind, "refers_to": number(b"X-Refers-To")}
 
 
@@ -179,7 +194,7 @@ def find_candidates(folder: str, split_bytes: int):
         for r in (r for b in batches for r in b.to_pylist()):
             begin, end = r["split"] * split_bytes, min(r["size"], (r["split"] + 1) * split_bytes)
             with fs.open_input_file(f"{top}/{r['file']}") as f:
-                offsets, successors, records = split_candidates(f, r["size"], begin, end)
+                offsets, successors = split_candidates(f, r["size"], begin, end)
             place = {o: i for i, o in enumerate(offsets)}
             exits = list(successors)
             for i in range(len(offsets) - 1, -1, -1):  # from the back: a successor's exit is known
@@ -187,7 +202,7 @@ def find_candidates(folder: str, split_bytes: int):
                 if nxt < end:
                     exits[i] = exits[place[nxt]] if nxt in place else -1
             yield pa.RecordBatch.from_arrays(
-                [pa.array([v], t.type) for v, t in zip((r["file"], r["split"], r["size"], offsets, successors, exits, records), CANDIDATE_SCHEMA, strict=True)],
+                [pa.array([v], t.type) for v, t in zip((r["file"], r["split"], r["size"], offsets, successors, exits), CANDIDATE_SCHEMA, strict=True)],
                 schema=CANDIDATE_SCHEMA,
             )
 
@@ -213,21 +228,23 @@ def chain_entries(candidates: DataFrame, folder: str) -> DataFrame:
         jumps = stored(jumps, folder, f"jumps-{k}")
 
 
-def reachable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of candidates with the split's entry: the records on the chain."""
-    for batch in batches:
-        out = []
-        for r in batch.to_pylist():
-            place = {o: i for i, o in enumerate(r["offsets"])}
-            at = r["entry"]
-            while at in place:
-                i = place[at]
-                if r["records"][i] is not None:
-                    if r["records"][i]["record_type"] == "damaged":
-                        raise ValueError(f"{r['file']}: the payload at {at} does not have its digest")
-                    out.append(r["records"][i])
-                at = r["successors"][i]
-        yield pa.RecordBatch.from_struct_array(pa.array(out, RECORD_TYPE))
+def reachable(folder: str):
+    """Rows of candidates with the split's entry: the records on the chain, whose payloads are read and digested here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = open_fs(folder)
+        for batch in batches:
+            for r in batch.to_pylist():
+                following = dict(zip(r["offsets"], r["successors"], strict=True))
+                out, at = [], r["entry"]
+                with fs.open_input_file(f"{top}/{r['file']}") as f:
+                    while at in following:
+                        if page := page_of(f, at, following[at], r["size"]):
+                            out.append(page)
+                        at = following[at]
+                yield pa.RecordBatch.from_pylist(out, RECORD_SCHEMA)
+
+    return run
 
 
 def read_archives(manifest: DataFrame, archives: str, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -243,9 +260,7 @@ def read_archives(manifest: DataFrame, archives: str, folder: str, split_bytes:
         raise ValueError(f"no chain of records reaches the end of {', '.join(r.file for r in broken)}")
     entries = reached.select("file", (F.col("at") / split_bytes).cast("long").alias("split"), F.col("at").alias("entry"))
     entries = entries.groupBy("file", "split").agg(F.min("entry").alias("entry"))
-    return candidates.join(entries, ["file", "split"]).select("file", "entry", "offsets", "successors", "records").mapInArrow(
-        reachable, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    )
+    return candidates.join(entries, ["file", "split"]).select("file", "size", "entry", "offsets", "successors").mapInArrow(reachable(archives), RECORDS)
 
 
 def warc_round_trip(pages: DataFrame, folder: str | None = None, file_bytes: int = FILE_BYTES, split_bytes: int = SPLIT_BYTES) -> DataFrame:
