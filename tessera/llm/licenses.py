@@ -1,8 +1,9 @@
 """License scan by ordered signature rules.
 
 A text becomes its words (A-Z lower-cased, `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`) with one space around each, so a
-rule need not care for line ends or punctuation. Rules are regular expressions made from the tables below: for each
-license its names, versions and web addresses, in the phrasings of tags, notices, names and mentions. A rule runs only
+rule need not care for line ends or punctuation. Rules are regular expressions: the hand-written signatures of texts,
+headers and notices in `license_signatures`, and, made from the tables below, for each license its names, versions
+and web addresses in the phrasings of tags, notices, names and mentions. A rule runs only
 where words stand that each of its matches must hold; these are derived from the expressions. Every rule has a priority
 (0 is the strongest). A detection goes if its interval of words lies in a kept one of equal or higher priority, or if it
 overlaps one of higher priority; what stays gives labels, intervals and a score. Base phrases always stay.
@@ -14,14 +15,18 @@ the rule that comes first; rows are judged one by one; other columns are ignored
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import groupby
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm.common import PLAIN_WORDS, as_bytes, only
+from tessera.llm.license_signatures import signatures
 
 #: Fixed phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -84,9 +89,6 @@ SINGLE = (
     ("all-rights-reserved", r"all rights reserved"),
     ("proprietary", r"(?:proprietary and confidential|proprietary license)"),
     ("copyright", r"copyright (?:c )?(?:19|20)\d\d"),
-    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", r"permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd", r"redistribution and use in source and binary forms"),
     ("no-warranty", r"(?:without|absolutely no) warranty(?: of any kind)?"),
     ("warranty-disclaimer", r"provided as is without warranty"),
     ("commercial", r"commercial use (?:is )?(?:prohibited|not permitted|forbidden)"),
@@ -149,7 +151,7 @@ def key_words(expression: str) -> frozenset[bytes]:
 
 @cache
 def rules() -> tuple[Rule, ...]:
-    """All rules, the strongest first: tag, notice with version, name with version, notice, name, address, mention."""
+    """All rules, the strongest first: tag, text or notice, name with version, name or address, mention."""
     out = []
     word = r"licen[cs]e"
     notice = r"(?:re)?(?:licen[cs]ed|released|distributed|available|published) under (?:the )?(?:terms of (?:the )?)?"
@@ -178,6 +180,7 @@ def rules() -> tuple[Rule, ...]:
             Rule(label, 3, (key_words(address),), compiled(rf"(?:www )?{address}")),
             Rule(label, 4, (licensed, shorts), compiled(rf"{word}d? (?:is |under |by )?(?:the )?(?:{short})")),
         ]
+    out += [Rule(label, 1, (key_words(expression),), compiled(expression)) for label, expression in signatures()]
     out += [Rule(label, 2, (key_words(expression),), compiled(expression)) for label, expression in SINGLE]
     return tuple(sorted(out, key=lambda r: r.priority))
 
@@ -191,13 +194,31 @@ class Detection(NamedTuple):
 
 
 def resolved(found: list[Detection]) -> list[Detection]:
-    """Stronger and longer first; what lies in a kept interval, or overlaps a stronger one, goes."""
+    """Stronger and longer first; what lies in a kept interval, or overlaps a stronger one, goes.
+
+    Kept intervals of one priority hold none of each other, so in the order of their starts their ends rise too; what
+    stronger ones cover is kept as disjoint intervals. Both are searched by halves.
+    """
     kept: list[Detection] = []
-    for d in sorted(found, key=lambda d: (d.priority, d.start - d.end, d.order, d.start)):
-        inside = any(k.start <= d.start and d.end <= k.end for k in kept)
-        overlaps = any(k.priority < d.priority and d.start < k.end and k.start < d.end for k in kept)
-        if not inside and not overlaps:
+    covered: list[tuple[int, int]] = []
+    for _, group in groupby(sorted(found, key=lambda d: (d.priority, d.start - d.end, d.order, d.start)), key=lambda d: d.priority):
+        own: list[tuple[int, int]] = []
+        for d in group:
+            at = bisect_left(covered, (d.end,)) - 1
+            if at >= 0 and covered[at][1] > d.start:
+                continue
+            at = bisect_right(own, (d.start, float("inf"))) - 1
+            if at >= 0 and own[at][1] >= d.end:
+                continue
+            own.insert(at + 1, (d.start, d.end))
             kept.append(d)
+        merged: list[tuple[int, int]] = []
+        for start, end in sorted(covered + own):
+            if merged and start <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
+            else:
+                merged.append((start, end))
+        covered = merged
     return sorted(kept, key=lambda d: (d.start, d.end))
 
 
@@ -223,15 +244,15 @@ def scan(text: bytes) -> tuple[int, list[tuple[str, int]], list[Detection]]:
     if not here:
         return len(words), [], []
     line = b" " + b" ".join(words) + b" "
-    base = [(label, line.count(b" ", 0, m.start() + 1) - 1) for p, phrase, label in BASE_PATTERNS if phrase in line for m in p.finditer(line)]
+    before = np.cumsum([0, *map(len, words)]) + np.arange(len(words) + 1)  # the space before each word, and the last one
+    place = lambda at: int(np.searchsorted(before, at))
+    base = [(label, place(m.start())) for p, phrase, label in BASE_PATTERNS if phrase in line for m in p.finditer(line)]
     found = []
     for order in sorted({i for w in here for i in places.get(w, ())}):
         r = rules()[order]
         if any(k.isdisjoint(here) for k in r.keys):
             continue
-        for m in r.pattern.finditer(line):
-            start = line.count(b" ", 0, m.start() + 1) - 1
-            found.append(Detection(r.priority, start, start + line.count(b" ", m.start() + 1, m.end() + 1), order, r.label))
+        found += [Detection(r.priority, place(m.start()), place(m.end()), order, r.label) for m in r.pattern.finditer(line)]
     return len(words), base, resolved(found)
 
 

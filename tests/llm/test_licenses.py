@@ -115,3 +115,44 @@ def test_scan_finds_what_running_all_rules_finds():
                     start = line.count(b" ", 0, m.start())
                     every.append(licenses.Detection(r.priority, start, start + line.count(b" ", m.start() + 1, m.end() + 1), order, r.label))
             assert licenses.scan(text.encode())[2] == licenses.resolved(every), text
+
+
+def plainly_resolved(found):
+    kept = []
+    for d in sorted(found, key=lambda d: (d.priority, d.start - d.end, d.order, d.start)):
+        inside = any(k.start <= d.start and d.end <= k.end for k in kept)
+        if not inside and not any(k.priority < d.priority and d.start < k.end and k.start < d.end for k in kept):
+            kept.append(d)
+    return sorted(kept, key=lambda d: (d.start, d.end))
+
+
+def test_resolution_against_comparing_all():
+    rng = random.Random(8)
+    for _ in range(400):
+        found = []
+        for order in range(rng.randint(0, 25)):
+            start = rng.randint(0, 30)
+            found.append(licenses.Detection(rng.randint(0, 3), start, start + rng.randint(1, 9), order, str(order)))
+        assert licenses.resolved(found) == plainly_resolved(found)
+
+
+def test_a_text_with_very_many_detections():
+    import time
+
+    text = b"mit license, apache license 2.0; " * 25_000
+    began = time.process_time()
+    n, base, found = licenses.scan(text)
+    assert (n, len(base)) == (150_000, 50_000) and len(found) == 50_000
+    assert time.process_time() - began < 10
+
+
+@pytest.mark.parametrize(("text", "label"), [
+    ("GNU Library General Public License version 2", "lgpl-2.0"),
+    ("http://www.mozilla.org/MPL/", "mpl"),
+    ("w3.org/Consortium/Legal", "w3c"),
+    ("You may obtain a copy of the License only here. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS", "apache-2.0"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl-2.0"),
+    ("The Software shall be used for Good, not Evil.", "json"),
+])
+def test_signatures_of_texts(text, label):
+    assert label in licenses.described(1, text.encode())[6].split(",")
