@@ -6,8 +6,9 @@ length share a searcher. Its shift table, by the hash of a block of up to three
 lies from the nearest place where a string could end; a shift of 0 leads to a bucket, by the suffix block's hash, of
 strings to compare word by word. Words outside the benchmark's vocabulary can be in no block, so they skip furthest.
 
-A benchmark above `BENCHMARK_BYTES` is searched in as many passes, each over all documents with its share of the
-items; spans found are kept with the row from pass to pass. The benchmark never meets the documents in a join.
+A benchmark above `BENCHMARK_BYTES` is searched in as many passes, each a job of its own over all documents with its
+share of the items, so that neither the driver nor a worker ever holds more than one share; what the passes find is
+written and put together by row. The benchmark never meets the documents in a join.
 
 Defined results: null or empty texts have no words; items without words are skipped, items without id mark words but
 are not listed; repeated items count once by id; repeated rows are answered one by one; an empty benchmark hits
@@ -18,17 +19,21 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import as_bytes, plain_words, release, take_turn
+from tessera.llm.common import as_bytes, plain_words, release, stored, take_turn, work_dir
 
 WINDOW = 10
 BLOCK = 3
-BENCHMARK_BYTES = 32_000_000
+#: Bytes of benchmark text that a worker searches for at once; its tables take some ten times as much.
+BENCHMARK_BYTES = 8_000_000
+#: The shift table has at most two to this power of entries.
+MOST_BITS = 25
 #: Words searched at once.
 CHUNK_WORDS = 1_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -46,22 +51,21 @@ def block_hash(words: np.ndarray, size: int, bits: int) -> np.ndarray:
 
 
 class Searcher:
-    """All strings of one length m."""
+    """All strings of one length m: the places of `flat`, the benchmark's words one item after the other, in starts."""
 
-    def __init__(self, strings: list[tuple[int, ...]], m: int):
-        self.m, self.size = m, min(BLOCK, m)
-        self.bits = max(10, int(len(strings) * m).bit_length() + 3)
+    def __init__(self, flat: np.ndarray, starts: np.ndarray, m: int):
+        self.flat, self.m, self.size = flat, m, min(BLOCK, m)
+        self.bits = min(MOST_BITS, max(10, len(starts).bit_length() + 5))
         self.shift = np.full(1 << self.bits, m - self.size + 1, np.uint8 if m < 200 else np.int32)
-        self.buckets: dict[int, list[tuple[int, ...]]] = {}
-        table = np.array(strings, np.int32)
-        for end in range(self.size, m + 1):
-            hashes = np.array([block_hash(row[end - self.size : end], self.size, self.bits)[0] for row in table])
-            np.minimum.at(self.shift, hashes, m - end)
-        for string, h in zip(strings, hashes.tolist(), strict=True):
-            self.buckets.setdefault(h, []).append(string)
-
-    def find(self, words: np.ndarray) -> Iterator[tuple[int, tuple[int, ...]]]:
-        """(start, string) of every occurrence. The walk jumps by the shift table and stops only at shift 0."""
+        hashes = block_hash(flat, self.size, self.bits)
+        for end in range(self.size, m + 1):  # the nearest end is written last
+            self.shift[hashes[starts + end - self.size]] = m - end
+        suffix = hashes[starts + m - self.size]
+        order = np.argsort(suffix, kind="stable")
+        self.suffix, self.starts = suffix[order], starts[order]
+
+    def find(self, words: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """(place, starts) of every occurrence. The walk jumps by the shift table and compares only at shift 0."""
         if len(words) < self.m:
             return
         hashes = block_hash(words, self.size, self.bits)
@@ -69,7 +73,6 @@ class Searcher:
         stops = np.flatnonzero(shifts == 0)
         if not len(stops):
             return
-        last = self.size - 1
         at = self.m - self.size  # of the block's first word
         n = len(hashes)
         nearest = np.searchsorted(stops, at)
@@ -80,29 +83,45 @@ class Searcher:
                 if at > stops[nearest]:
                     nearest = np.searchsorted(stops, at)
                 continue
-            start = at + last + 1 - self.m
-            here = tuple(words[start : start + self.m].tolist())
-            for string in self.buckets.get(int(hashes[at]), ()):
-                if string == here:
-                    yield start, string
+            place = at + self.size - self.m
+            here = words[place : place + self.m]
+            bucket = self.starts[slice(*np.searchsorted(self.suffix, [hashes[at], hashes[at] + 1]))]
+            if len(bucket):
+                same = (self.flat[bucket[:, None] + np.arange(self.m)] == here).all(axis=1)
+                if same.any():
+                    yield place, bucket[same].tolist()
             at += 1
             nearest = np.searchsorted(stops, at)
 
 
 class Search:
-    """Vocabulary, searchers by length, and the items of each string."""
+    """Vocabulary, searchers by length, and the item of each place."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        self.items: dict[tuple[int, ...], set[str]] = {}
+        flat: list[np.ndarray] = []
+        by_length: dict[int, list[np.ndarray]] = {}
+        ends, self.names, at = [], [], 0
+        seen: set[tuple[str | None, bytes]] = set()
         for item, text in items:
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in plain_words(text)]
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                self.items.setdefault(tuple(words[i : i + window]), set()).update([] if item is None else [item])
-        by_length: dict[int, list[tuple[int, ...]]] = {}
-        for string in self.items:
-            by_length.setdefault(len(string), []).append(string)
-        self.searchers = [Searcher(strings, m) for m, strings in sorted(by_length.items())]
+            if (item, text) in seen:
+                continue
+            seen.add((item, text))
+            words = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in plain_words(text)], np.int32)
+            if not len(words):
+                continue
+            m = min(window, len(words))
+            by_length.setdefault(m, []).append(at + np.arange(len(words) - m + 1))
+            flat.append(words)
+            at += len(words)
+            ends.append(at)
+            self.names.append(item)
+        words = np.concatenate(flat) if flat else np.empty(0, np.int32)
+        self.ends = np.array(ends, np.int64)
+        self.searchers = [Searcher(words, np.concatenate(starts), m) for m, starts in sorted(by_length.items())]
+
+    def items_at(self, starts: list[int]) -> set[str]:
+        return {self.names[i] for i in np.searchsorted(self.ends, starts, side="right").tolist()} - {None}
 
     def scan(self, texts: list[bytes]) -> Iterator[tuple[int, list[int], set[str]]]:
         """For each text: words, starts and ends of marked spans (merged), items."""
@@ -121,11 +140,11 @@ class Search:
             spans: dict[int, list[tuple[int, int]]] = {}
             items: dict[int, set[str]] = {}
             for searcher in self.searchers:
-                for start, string in searcher.find(flat):
-                    doc = int(np.searchsorted(starts, start, side="right")) - 1
-                    begin = start - int(starts[doc])
+                for place, found in searcher.find(flat):
+                    doc = int(np.searchsorted(starts, place, side="right")) - 1
+                    begin = place - int(starts[doc])
                     spans.setdefault(doc, []).append((begin, begin + searcher.m))
-                    items.setdefault(doc, set()).update(self.items[string])
+                    items.setdefault(doc, set()).update(self.items_at(found))
             for doc, n in enumerate(sizes):
                 yield n, merged(spans.get(doc, [])), items.get(doc, set())
 
@@ -141,53 +160,67 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-def benchmark_shares(benchmark: DataFrame, bound: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    """The items in shares of about `bound` bytes, each small enough for the driver and every worker."""
+def benchmark_shares(benchmark: DataFrame, bound: int) -> tuple[int, Iterator[list[tuple[str | None, bytes]]]]:
+    """The number of shares of about `bound` bytes, and the items share by share."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     shares = total // bound + 1
-    for k in range(shares):
-        share = rows if shares == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(shares)) == k)
-        yield [(r.item, (r.text or "").encode()) for r in share.collect()]
+    pick = lambda k: rows if shares == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(shares)) == k)
+    return shares, ([(r.item, (r.text or "").encode()) for r in pick(k).collect()] for k in range(shares))
+
+
+FOUND = "n_words long, spans array<long>, items array<string>"
 
 
 def marked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bound: int = BENCHMARK_BYTES) -> DataFrame:
     """The rows of docs with n_words, spans (word starts and ends in turn) and items (sorted distinct item ids)."""
-    columns = docs.columns
-    out = docs.select(
-        *docs.columns, F.lit(None).cast("long").alias("n_words"), F.expr("array()").cast("array<long>").alias("spans"),
-        F.expr("array()").cast("array<string>").alias("items"),
-    )
-    for share in benchmark_shares(benchmark, bound):
-        out = out.mapInArrow(searching(share, window, columns.index("text"), len(columns)), out.schema)
-    return out
+    shares, items = benchmark_shares(benchmark, bound)
+    if shares == 1:
+        return passed(docs, next(items), window)
+    folder = work_dir(docs.sparkSession, "decontaminate")
+    rows = stored(docs.withColumn("marked_row", F.monotonically_increasing_id()), folder, "rows")
+    texts, passes = rows.select("marked_row", "text"), []
+    for k, share in enumerate(items):
+        found = passed(texts, share, window).drop("text")
+        passes.append(stored(found if k == 0 else found.where("size(items) > 0 or size(spans) > 0"), folder, f"pass-{k}"))
+    both = reduce(DataFrame.union, passes).groupBy("marked_row").agg(
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")
+    )
+    whole = both.mapInArrow(put_together, f"marked_row long, {FOUND}")
+    return rows.join(whole, "marked_row").select(*docs.columns, "n_words", "spans", "items")
+
+
+def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans and items of several passes as those of one."""
+    for batch in batches:
+        spans = [merged(list(zip(x[::2], x[1::2], strict=True))) for x in batch.column(2).to_pylist()]
+        items = [sorted(set(x)) for x in batch.column(3).to_pylist()]
+        arrays = [batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(arrays, batch.schema.names)
 
 
-def searching(share: list[tuple[str | None, bytes]], window: int, text: int, width: int):
-    key = (window, tuple(share))
-    name = hashlib.sha256(repr(key).encode()).hexdigest()
+def passed(docs: DataFrame, share: list[tuple[str | None, bytes]], window: int) -> DataFrame:
+    """One pass: the rows of docs, then FOUND."""
+    text, width = docs.columns.index("text"), len(docs.columns)
+    name = hashlib.sha256(repr((window, share)).encode()).hexdigest()
+    names = [*docs.columns, "n_words", "spans", "items"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn("decontamination", _searchers.clear)
         if name not in _searchers:
-            while len(_searchers) >= 2:
-                _searchers.pop(next(iter(_searchers)))
+            _searchers.clear()
             _searchers[name] = Search(share, window)
         search = _searchers[name]
         for batch in batches:
-            sizes, spans, items = [], [], []
-            old_spans, old_items = batch.column(width + 1).to_pylist(), batch.column(width + 2).to_pylist()
-            found = search.scan(as_bytes(batch.column(text)))
-            for (n, new, ids), was, had in zip(found, old_spans, old_items, strict=True):
-                sizes.append(n)
-                spans.append(merged([*zip(was[::2], was[1::2]), *zip(new[::2], new[1::2])]) if was else new)
-                items.append(sorted({*had, *ids}))
+            found = list(search.scan(as_bytes(batch.column(text))))
             arrays = [batch.column(i) for i in range(width)]
-            arrays += [pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, batch.schema.names)
+            arrays += [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.list_(pa.int64()))]
+            arrays.append(pa.array([sorted(f[2]) for f in found], pa.list_(pa.string())))
+            yield pa.RecordBatch.from_arrays(arrays, names)
         release()
 
-    return run
+    schema = docs.select("*", F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("array<long>").alias("spans"), F.lit(None).cast("array<string>").alias("items")).schema
+    return docs.mapInArrow(run, schema)
 
 
 def n_hit():

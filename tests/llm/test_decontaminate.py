@@ -74,7 +74,24 @@ def test_shifts_never_pass_an_occurrence():
     rng = np.random.default_rng(1)
     strings = [tuple(rng.integers(1, 4, 6).tolist()) for _ in range(30)]
     text = rng.integers(0, 4, 4000).astype(np.int32)
-    searcher = decontaminate.Searcher(strings, 6)
-    got = sorted(s for s, _ in searcher.find(text))
+    searcher = decontaminate.Searcher(np.array(strings, np.int32).ravel(), np.arange(30) * 6, 6)
+    got = sorted(s for s, found in searcher.find(text) for _ in found)
     want = sorted(k for k in range(len(text) - 5) for s in strings if tuple(text[k : k + 6].tolist()) == s)
     assert got == want
+
+
+def test_tables_are_built_from_arrays():
+    """A share of a megabyte, of which one window occurs."""
+    import random
+    import time
+
+    rng = random.Random(4)
+    items = [(str(i), " ".join(rng.choice("abcdefgh") * rng.randint(1, 5) + str(rng.randint(0, 99)) for _ in range(100)).encode()) for i in range(1800)]
+    assert sum(len(t) for _, t in items) > 900_000
+    began = time.process_time()
+    search = decontaminate.Search(items, 10)
+    words = items[777][1].split()
+    text = b"zz " * 50 + b" ".join(words[20:32]) + b" zz" * 50
+    (n, spans, found), = search.scan([text])
+    assert (n, spans, found) == (112, [50, 62], {"777"})
+    assert time.process_time() - began < 5
