@@ -3,10 +3,12 @@
 A part is three files: ``.ids`` (all ids, little-endian, 2 bytes each where the vocabulary allows, else 4),
 ``.off`` (n + 1 offsets into it, little-endian 64-bit, counted in ids) and ``.doc`` (n document ids, 64-bit).
 Documents stand in ascending doc_id order over all parts. A part's base (the ids in all parts before it) is the
-prefix sum over the manifest, so no task needs to know more than its own part.
+prefix sum over the manifest, so no task needs to know more than its own part. There is a part for every `PART_BYTES`
+of text; a doc_id, or no doc_id, that very many rows share is cut into several parts like any other range. Reading
+takes a part in pieces of `PIECE_DOCS` documents.
 
 Defined results: null and empty texts give the end id alone; repeated rows are all written, equal doc_ids in the
-order of their texts; rows without doc_id come first and are read back with a null doc_id; an empty table gives no
+order of the first 64 characters of their texts, then of a hash of these; rows without doc_id come first and are read back with a null doc_id; an empty table gives no
 parts and no rows; other columns are ignored.
 """
 
@@ -28,7 +30,10 @@ from tokenizers import Tokenizer
 from tessera.llm.common import as_bytes, only, open_fs, release, shuffle_partitions, stored, take_turn, work_dir
 
 #: A worker forgets its words beyond this many.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 200_000
+#: Bytes of text in a part, and documents of a part read at once.
+PART_BYTES = 256_000_000
+PIECE_DOCS = 20_000
 NO_ID = -(2**63)
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -129,19 +134,22 @@ def write_parts(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     Every attempt of a task writes under a name of its own and the manifest names the one that ended well, so a
     lost executor leaves at most an unreferenced file.
     """
-    spark = docs.sparkSession
-    ordered = (
-        only(docs)
-        .repartitionByRange(parts or shuffle_partitions(spark), F.col("doc_id"))
-        .sortWithinPartitions("doc_id", "text")
-    )
+    rows = only(docs)
+    if parts is None:
+        total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+        parts = max(shuffle_partitions(docs.sparkSession), total // PART_BYTES)
+    order = ["doc_id", "lead", "digest"]
+    rows = rows.select("*", F.substring("text", 1, 64).alias("lead"), F.xxhash64("text").alias("digest"))
+    rows = rows.withColumn("spread", F.monotonically_increasing_id())  # rows that agree in all else can change places
+    ordered = rows.repartitionByRange(parts, *order, "spread").sortWithinPartitions(*order, "text").select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn("token files", _encoders.clear)
         fs, top = open_fs(folder)
         task = TaskContext.get()
         part, stem = task.partitionId(), f"{top}/part-{task.partitionId():06d}-{task.taskAttemptId()}"
-        coder, sizes, ids, out = encoder(tokenizer_path), [], [], None
+        coder, ids, out = encoder(tokenizer_path), [], None
+        sizes: list[np.ndarray] = []
         end = coder.packed([end_id])
         for batch in batches:
             if not batch.num_rows:
@@ -149,20 +157,22 @@ def write_parts(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
             if out is None:
                 fs.create_dir(top, recursive=True)
                 out = fs.open_output_stream(f"{stem}.ids")
+            own = []
             for packed in coder.encode(as_bytes(batch.column(1))):
                 out.write(packed + end)
-                sizes.append(len(packed) // coder.dtype.itemsize + 1)
+                own.append(len(packed) // coder.dtype.itemsize + 1)
+            sizes.append(np.array(own, np.int64))
             ids.append(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False))
         if out is None:
             return
         out.close()
         release()
-        offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         for kind, what in (("off", offsets.astype("<u8")), ("doc", np.concatenate(ids).astype("<i8"))):
             with fs.open_output_stream(f"{stem}.{kind}") as f:
                 f.write(what.tobytes())
         yield pa.RecordBatch.from_pylist(
-            [{"part": part, "path": stem, "n_docs": len(sizes), "n_ids": int(offsets[-1]), "width": coder.dtype.itemsize}]
+            [{"part": part, "path": stem, "n_docs": len(offsets) - 1, "n_ids": int(offsets[-1]), "width": coder.dtype.itemsize}]
         )
 
     return ordered.mapInArrow(write, "part long, path string, n_docs long, n_ids long, width long")
@@ -176,15 +186,15 @@ def with_bases(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     return spark.createDataFrame([(*r, b) for r, b in zip(rows, bases, strict=False)], schema)
 
 
-def mapped(fs, path: str, dtype: str) -> np.ndarray:
-    """A file as an array, without reading it where the file system can map it."""
-    info = fs.get_file_info(path)
-    if not info.size:
+def mapped(fs, path: str, dtype: str, begin: int, end: int) -> np.ndarray:
+    """Entries begin to end of a file: mapped where the file system can do so, else those bytes read."""
+    size = np.dtype(dtype).itemsize
+    if begin >= end:
         return np.empty(0, dtype)
     if fs.type_name == "local":
-        return np.memmap(path, dtype=dtype, mode="r")
+        return np.memmap(path, dtype=dtype, mode="r", offset=begin * size, shape=(end - begin,))
     with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read_buffer(), dtype=dtype)
+        return np.frombuffer(f.read_at((end - begin) * size, begin * size), dtype=dtype)
 
 
 def read_parts(bases: DataFrame, folder: str) -> DataFrame:
@@ -193,16 +203,16 @@ def read_parts(bases: DataFrame, folder: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = open_fs(folder)
         for row in (r for b in batches for r in b.to_pylist()):
-            ids = mapped(fs, f"{row['path']}.ids", f"<u{row['width']}")
-            offsets = mapped(fs, f"{row['path']}.off", "<u8").astype(np.int64)
-            docs = mapped(fs, f"{row['path']}.doc", "<i8")
-            for at in range(0, len(docs), 20_000):
-                cut = offsets[at : at + 20_001]
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                own = np.asarray(docs[at : at + 20_000])
+            for at in range(0, row["n_docs"], PIECE_DOCS):
+                end = min(row["n_docs"], at + PIECE_DOCS)
+                cut = mapped(fs, f"{row['path']}.off", "<u8", at, end + 1).astype(np.int64)
+                docs = np.array(mapped(fs, f"{row['path']}.doc", "<i8", at, end))
+                first = int(cut[0])
+                ids = mapped(fs, f"{row['path']}.ids", f"<u{row['width']}", first, int(cut[-1]))
+                crc = [zlib.crc32(ids[a - first : b - first].astype("<u4")) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(own, pa.int64(), mask=own == NO_ID),
+                        pa.array(docs, pa.int64(), mask=docs == NO_ID),
                         pa.array(cut[:-1] + row["base"], pa.int64()),
                         pa.array(np.diff(cut), pa.int64()),
                         pa.array(crc, pa.int64()),

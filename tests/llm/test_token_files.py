@@ -52,3 +52,21 @@ def test_files_hold_flat_ids_and_offsets(spark, docs):
 
 def test_empty_table(no_docs):
     assert token_files.token_files(no_docs, WORDS).collect() == []
+
+
+def test_a_shared_id_is_cut_into_parts_and_read_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "PIECE_DOCS", 7)
+    monkeypatch.setattr(token_files, "PART_BYTES", 1_000)
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else 100 + i, "the same text" if i % 2 else f"text number {i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    folder = work_dir(spark, "test-tokens")
+    manifest = token_files.write_parts(docs, folder, WORDS, 2).collect()
+    assert len(manifest) > 4 and max(r.n_docs for r in manifest) < 300 and sum(r.n_docs for r in manifest) == 600
+    found = sorted((tuple(r) for r in token_files.token_files(docs, WORDS).collect()), key=lambda r: r[1])
+    tokenizer = Tokenizer.from_file(WORDS)
+    start, want = 0, []
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+        want.append((doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert found == want
