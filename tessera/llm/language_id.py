@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.common import gathered, held_out, only, release, stored, take_turn, work_dir
 
-#: Training bound: letters for each language, from at most so many documents, which count whole.
+#: Training bound: characters for each language, from at most so many documents; the last one is cut to it.
 TRAIN_LETTERS = 40_000
 TRAIN_DOCS = 200
 #: Languages that a worker holds at once; more are parsed in several passes over the table.
@@ -206,31 +206,32 @@ def training_sample(labelled: DataFrame) -> list[tuple[str, str]]:
     """(language, text) by language, from the columns doc_id, text, lang; bounded by the constants above.
 
     The first look reads ids, labels and lengths alone and keeps TRAIN_DOCS rows a language, in an order that a hash
-    of the ids gives; the second reads the chosen texts.
+    of the ids gives; the second reads the beginnings of the chosen texts. Of rows that repeat an id in a language the
+    first text in order counts, so neither their number nor a text's length reaches the driver.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "length")
-    few = (
-        rows.select("doc_id", "lang", F.length("text").alias("length"))
-        .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= TRAIN_DOCS)
-    )
-    chosen: list[int] = []
+    sizes = rows.select("doc_id", "lang", F.least(F.length("text"), F.lit(TRAIN_LETTERS)).alias("length"))
+    few = sizes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= TRAIN_DOCS)
+    chosen: dict[str, set[int]] = {}
     used: dict[str, int] = {}
     for r in sorted(few.collect(), key=lambda r: (r.lang, r.place)):
-        if used.setdefault(r.lang, 0) + r.length <= TRAIN_LETTERS or not used[r.lang]:
-            used[r.lang] += r.length
-            chosen.append(r.doc_id)
-    if not chosen:
+        if used.get(r.lang, 0) < TRAIN_LETTERS and r.doc_id not in chosen.get(r.lang, ()):
+            used[r.lang] = used.get(r.lang, 0) + r.length
+            chosen.setdefault(r.lang, set()).add(r.doc_id)
+    ids = sorted(set().union(*chosen.values()))
+    if not ids:
         return []
+    picked = rows.where(F.col("doc_id").isin(ids))
+    if len(ids) > LITERALS:
+        wanted = labelled.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
+        picked = rows.join(F.broadcast(wanted), "doc_id", "left_semi")
+    picked = picked.select("doc_id", "lang", F.substring("text", 1, TRAIN_LETTERS).alias("text")).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     texts: dict[str, list[str]] = {}
-    picked = rows.where(F.col("doc_id").isin(chosen))
-    if len(chosen) > LITERALS:
-        ids = labelled.sparkSession.createDataFrame([(i,) for i in sorted(set(chosen))], "doc_id long")
-        picked = rows.join(F.broadcast(ids), "doc_id", "left_semi")
-    for r in sorted(picked.collect(), key=lambda r: (r.lang, r.doc_id, r.text)):
-        texts.setdefault(r.lang, []).append(r.text)
-    return [(lang, " ".join(t)[: 2 * TRAIN_LETTERS]) for lang, t in sorted(texts.items())]
+    for r in sorted(picked.collect(), key=lambda r: (r.lang, r.doc_id)):
+        if r.doc_id in chosen.get(r.lang, ()):
+            texts.setdefault(r.lang, []).append(r.text)
+    return [(lang, " ".join(t)[:TRAIN_LETTERS]) for lang, t in sorted(texts.items())]
 
 
 def parsed(rows: DataFrame, samples: list[tuple[str, str]], names: list[str], what: str) -> DataFrame:

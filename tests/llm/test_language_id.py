@@ -107,3 +107,26 @@ def test_every_language_is_learned(spark, docs, monkeypatch):
     whole = language_id.CrossParser(samples).predict([t or "" for _, t, _ in rows])
     assert found == {r[0]: x for r, x in zip(rows, zip(*whole, strict=True), strict=True)}
     assert all(found[i][0] == lang for i, _, lang in rows[:600]) and found[1000] == found[1001] == ("und", 0.0)
+
+
+def test_repeated_ids_and_very_long_texts_stay_within_the_training_bound(spark):
+    rng = random.Random(12)
+    words = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(n))
+    rows = [(1, words("abcdef", 40), "aa")] * 3000 + [(1, words("abcdef", 40), "aa"), (2, words("uvwxyz", 60_000), "zz"), (4, words("uvwxyz", 50), "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    samples = dict(language_id.training_sample(df))
+    assert samples["aa"] == min(rows[0][1], rows[3000][1]) and 200 < len(samples["zz"]) <= language_id.TRAIN_LETTERS
+    assert language_id.CrossParser(sorted(samples.items())).predict([words("abcdef", 9), words("uvwxyz", 9)])[0] == ["aa", "zz"]
+
+
+def test_texts_beyond_one_block_and_ties():
+    """A phrase ends at a block's end; languages with equal rates go by name."""
+    rng = random.Random(6)
+    samples = [("b", "abcdefgh" * 40), ("a", "abcdefgh" * 40), ("c", "hgfedcba" * 40)]
+    parser = language_id.CrossParser(sorted(samples))
+    text = "".join(rng.choice("abcdefgh") for _ in range(1000)) + "abcdefgh" * 50
+    points, starts = language_id.points_of([text])
+    codes, starts = parser.letters.codes(points, starts)
+    blocks = [text[i : i + language_id.BLOCK] for i in range(0, len(text), language_id.BLOCK)]
+    assert parser.phrases(codes, starts)[0].tolist() == [sum(plain_phrases(b, s) for b in blocks) for _, s in sorted(samples)]
+    assert parser.predict([text])[0] == ["a"]
