@@ -6,13 +6,13 @@ one, so that no probability exceeds 1 and the expected tokens of the sample have
 if `tokens` asks for fewer). A document is drawn by a hash of its id, so the same documents are drawn wherever and
 however often the job runs.
 
-Cells are few (sources * languages * topics): up to `DRIVER_CELLS` of them are counted and raked on the driver; beyond
-that the same steps run as joins.
+Cells are few (sources * languages * topics): up to `DRIVER_CELLS` of them are raked on the driver; beyond that the same
+steps run as joins, with targets as tables, and nothing but totals reaches the driver.
 
 Defined results: null categories are one category of their own, `(none)`; null and empty texts have 0 tokens and take
 their cell's probability; a target for an absent category is left out and the others keep their proportions; rows
 that repeat an id are drawn or left together, rows without id by their text; if a marginal cannot be met (no tokens),
-the rest is raked all the same; other columns are kept by `sampled`.
+the rest is raked all the same; other columns, of any name, are kept by `sampled`.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, work_dir
+from tessera.llm.common import split_join, stored, work_dir
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Targets where none are given: observed shares to this power, so that small categories gain.
@@ -48,13 +48,16 @@ def tokens_of(text: Column) -> Column:
 
 
 def with_cells(docs: DataFrame) -> DataFrame:
-    """docs with the columns mix_source, mix_lang, mix_topic and mix_tokens added."""
-    text = F.col("text").cast("string")
-    topic = F.col("topic").cast("string") if "topic" in docs.columns else topic_of(F.coalesce(text, F.lit("")))
+    """The columns of docs as c0, c1 and so on, then doc_id, text, mix_source, mix_lang, mix_topic and mix_tokens."""
+    names = [c.lower() for c in docs.columns]
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    of = lambda name: F.col(f"c{names.index(name)}")
+    text = of("text").cast("string")
+    topic = of("topic").cast("string") if "topic" in names else topic_of(F.coalesce(text, F.lit("")))
     name = lambda c: F.coalesce(c, F.lit(NONE))
-    return docs.select(
-        "*", name(F.col("source").cast("string")).alias("mix_source"), name(F.col("lang").cast("string")).alias("mix_lang"),
-        name(topic).alias("mix_topic"), tokens_of(text).alias("mix_tokens"),
+    return rows.select(
+        "*", of("doc_id").cast("long").alias("doc_id"), text.alias("text"), name(of("source").cast("string")).alias("mix_source"),
+        name(of("lang").cast("string")).alias("mix_lang"), name(topic).alias("mix_topic"), tokens_of(text).alias("mix_tokens"),
     )
 
 
@@ -90,20 +93,34 @@ def rake(cells: list[tuple[str, str, str, float]], targets: dict[str, dict[str,
     return factors
 
 
-def rake_joined(cells: DataFrame, targets: dict[str, dict[str, float]], folder: str) -> DataFrame:
-    """The same as `rake`, as joins over a table of cells (source, lang, topic, tokens); adds factor."""
+def goals_joined(cells: DataFrame, targets: dict[str, dict[str, float]] | None) -> dict[str, DataFrame]:
+    """What `targets_of` gives, as a table (dimension, goal in tokens) of each dimension that has tokens."""
     spark = cells.sparkSession
-    now = cells.withColumn("factor", F.lit(1.0))
     total = cells.agg(F.sum("tokens").cast("double").alias("n")).first().n or 0.0
+    out = {}
+    for dimension in DIMENSIONS:
+        seen = cells.groupBy(dimension).agg(F.sum("tokens").alias("have")).where("have > 0")
+        given = (targets or {}).get(dimension)
+        if given:
+            asked = spark.createDataFrame([(c, float(x)) for c, x in given.items()], f"{dimension} string, raw double")
+            seen = seen.join(asked, dimension, "left").select(dimension, F.coalesce("raw", F.lit(0.0)).alias("raw"))
+        else:
+            seen = seen.select(dimension, F.pow("have", F.lit(POWER)).alias("raw"))
+        if raw := seen.agg(F.sum("raw").alias("n")).first().n:
+            out[dimension] = seen.select(dimension, (F.col("raw") * F.lit(total / raw)).alias("goal"))
+    return out
+
+
+def rake_joined(cells: DataFrame, goals: dict[str, DataFrame], folder: str) -> DataFrame:
+    """The same as `rake`, as joins over a table of cells (source, lang, topic, tokens); adds factor."""
+    goals = {d: stored(g, folder, f"goals-{d}") for d, g in goals.items()}
+    now = cells.withColumn("factor", F.lit(1.0))
     for k in range(ROUNDS):
         now = now.withColumn("before", F.col("factor"))
-        for dimension in DIMENSIONS:
-            if dimension not in targets:
-                continue
-            goal = spark.createDataFrame([(c, x * total) for c, x in targets[dimension].items()], f"{dimension} string, goal double")
+        for dimension, goal in goals.items():
             sums = now.groupBy(dimension).agg(F.sum(F.col("tokens") * F.col("factor")).alias("have")).join(goal, dimension, "left")
             sums = sums.select(dimension, F.when(F.col("have") > 0, F.coalesce("goal", F.lit(0.0)) / F.col("have")).otherwise(1.0).alias("scale"))
-            now = now.join(sums, dimension).withColumn("factor", F.col("factor") * F.col("scale")).drop("scale")
+            now = split_join(now, sums, [dimension]).withColumn("factor", F.col("factor") * F.col("scale")).drop("scale")
         now = stored(now.select("source", "lang", "topic", "tokens", "factor", "before"), folder, f"raked-{k}")
         change = now.agg(F.max(F.abs(F.col("factor") / F.greatest("before", F.lit(1e-300)) - 1)).alias("x")).first().x
         if change is None or change < TOLERANCE:
@@ -117,14 +134,16 @@ def probabilities(docs: DataFrame, targets=None, tokens: float | None = None, fo
     folder = folder or work_dir(spark, "mixing")
     cells = docs.groupBy(F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"))
     cells = stored(cells.agg(F.sum("mix_tokens").cast("double").alias("tokens")), folder, "cells")
-    sums = {d: {r[0]: r[1] for r in cells.groupBy(d).agg(F.sum("tokens")).collect()} for d in DIMENSIONS}
-    goals = targets_of(sums, targets)
-    if cells.count() <= driver_cells:
+    if cells.limit(driver_cells + 1).count() <= driver_cells:
         rows = sorted(tuple(r) for r in cells.select("source", "lang", "topic", "tokens").collect())
-        factors = rake(rows, goals)
+        sums: dict[str, dict[str, float]] = {d: {} for d in DIMENSIONS}
+        for r in rows:
+            for d, c in zip(DIMENSIONS, r, strict=False):
+                sums[d][c] = sums[d].get(c, 0.0) + r[3]
+        factors = rake(rows, targets_of(sums, targets))
         raked = spark.createDataFrame([(*r, f) for r, f in zip(rows, factors, strict=True)], "source string, lang string, topic string, tokens double, factor double")
     else:
-        raked = rake_joined(cells, goals, folder)
+        raked = rake_joined(cells, goals_joined(cells, targets), folder)
     most = raked.where("tokens > 0").agg(F.max("factor").alias("f"), F.sum(F.col("tokens") * F.col("factor")).alias("n")).first()
     unit = 1 / most.f if most.f else 1.0
     if tokens is not None and most.n:
@@ -158,4 +177,5 @@ def mixture(docs: DataFrame, **settings) -> DataFrame:
 
 def sampled(docs: DataFrame, **settings) -> DataFrame:
     """The drawn rows of docs, with their own columns."""
-    return with_probabilities(docs, **settings).where(drawn(F.col("mix_prob"))).select(*docs.columns)
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    return with_probabilities(docs, **settings).where(drawn(F.col("mix_prob"))).select(*own).toDF(*docs.columns)
