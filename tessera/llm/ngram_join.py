@@ -357,13 +357,14 @@ def finish_block(table: pa.Table) -> pa.Table:
     return found
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """Steps 1: a row for each document, in DOCS."""
+def described(docs: DataFrame, folder: str) -> DataFrame:
+    """Step 1: a row for each document, in DOCS. The answers are written, so that the first shuffle's files can go."""
     rows = only(docs)
     total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     segments = int(max(2, shuffle_partitions(docs.sparkSession), total / 6 / SEGMENT_TOKENS))
     sent = rows.mapInArrow(cut_blocks(segments), BLOCKS)
-    answered = sent.groupBy("part").applyInArrow(count_segment, ANSWERS)
+    answered = stored(sent.groupBy("part").applyInArrow(count_segment, ANSWERS), folder, "answers")
+    freed(docs.sparkSession)
     return answered.groupBy("blk").applyInArrow(finish_block, DOCS)
 
 
@@ -486,7 +487,8 @@ def near_duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach, the document's own included)."""
     spark = docs.sparkSession
     folder = folder or work_dir(spark, "ngram-join")
-    whole = stored(described(docs), folder, "documents")
+    whole = stored(described(docs, folder), folder, "documents")
+    deleted(spark, folder, "answers")
     freed(spark)
     classes = whole.where("sorted_set is not null").groupBy("sig").agg(F.first(F.struct("n", "m", "rare", "matches", "sorted_set", "prefix")).alias("r"))
     classes = stored(classes.select(F.monotonically_increasing_id().alias("c"), "sig", "r.*"), folder, "classes")
