@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import gathered, held_out, take_turn
+from tessera.llm.common import gathered, held_out, release, take_turn
 
 TRAIN_DOCS = 1500
 TRAIN_CHARS = 20_000
@@ -39,7 +39,7 @@ LEAST_SURE = 0.05
 #: Features beside the cover must be in so large a part of the toxic documents.
 LEAST_SHARE = 0.02
 STEPS = 40
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
 #: Bytes of text tagged at once, all documents in step.
 CHUNK = 12_000_000
 WORDS = re.compile(r"[^\W_]+")
@@ -226,12 +226,15 @@ def fit(texts: list[str], labels: list[int]) -> Tagger:
         share = float(toxic.mean()) if len(toxic) else 0.0
         at = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
         return Tagger(np.zeros(N_FEATURES), np.zeros((2, 2)), (0.0, 0.0, at))
-    docs = [WORDS.findall(t.lower()) for t in texts]
     number: dict[str, int] = {}
-    ids = [np.array([number.setdefault(w, len(number)) for w in d], np.int64) for d in docs]
-    table = np.array([features(w) for w in number] or [[0] * 10])
-    picked = pick_features([np.unique(table[np.unique(i)]) if len(i) else np.empty(0, np.int64) for i in ids], toxic)
-    marked = np.isin(table, np.fromiter(picked, np.int64, len(picked))).any(axis=1)
+    ids = []
+    for t in texts:
+        ids.append(np.array([number.setdefault(w, len(number)) for w in WORDS.findall(t.lower())], np.int32))
+    words = len(number)
+    table = np.array([features(w) for w in number] or [[0] * 10], np.int32)
+    del number
+    picked = pick_features([np.unique(table[np.unique(i)]) if len(i) else np.empty(0, np.int32) for i in ids], toxic)
+    marked = np.isin(table, np.fromiter(picked, np.int32, len(picked))).any(axis=1)
     clean = np.flatnonzero(~toxic)[: max(1, 2 * int(toxic.sum()))]
     used = np.concatenate([np.flatnonzero(toxic), clean])
     flat = np.concatenate([ids[i] for i in used])
@@ -244,7 +247,6 @@ def fit(texts: list[str], labels: list[int]) -> Tagger:
     seen = np.array([[(~tags[now - 1] & ~tags[now]).sum(), (~tags[now - 1] & tags[now]).sum()], [(tags[now - 1] & ~tags[now]).sum(), (tags[now - 1] & tags[now]).sum()]], float)
     weights, pairs = np.zeros(N_FEATURES), np.zeros((2, 2))
     square_w, square_p = np.full(N_FEATURES, 1e-6), np.full((2, 2), 1e-6)
-    words = len(number)
     gold = np.bincount(flat, tags, words)
     for _ in range(STEPS):  # Adagrad on the exact gradient
         emission = weights[table].sum(axis=1)
@@ -257,14 +259,18 @@ def fit(texts: list[str], labels: list[int]) -> Tagger:
         square_p += grad_p**2
         weights += 0.5 * grad / np.sqrt(square_w)
         pairs += 0.5 * grad_p / np.sqrt(square_p)
-    tagger = Tagger(weights, pairs, (0.0, 0.0, 0.0))
-    top, count, _ = tagger.evidence(docs)
-    a, b, c = logistic(np.column_stack([top, count]), toxic.astype(float)).tolist()
+    emission = weights.astype(np.float32)[table].sum(axis=1).astype(np.float64)
+    evidence = []
+    for at in range(0, len(ids), 500):  # a part of the documents at once
+        own = ids[at : at + 500]
+        lengths = np.array([len(i) for i in own])
+        evidence.append(np.column_stack(document_evidence(odds(emission[np.concatenate(own)], lengths, pairs), lengths)))
+    a, b, c = logistic(np.concatenate(evidence), toxic.astype(float)).tolist()
     return Tagger(weights, pairs, (a, b, c))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, folds: int, fold: int) -> tuple[list[str], list[int]]:
-    """The bounded sample: ids from the labels alone, then the texts of those ids."""
+    """The bounded sample: ids from the labels alone, then a text of each (the first in order, where rows share an id)."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"), folds, fold))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen: dict[int, int] = {}
@@ -276,7 +282,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int, fold: int) ->
     spark = docs.sparkSession
     ids = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(ids), "doc_id")
+    rows = rows.where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     found = sorted(rows.collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.text))
     return [r.text for r in found], [chosen[r.doc_id] for r in found]
 
@@ -308,6 +314,7 @@ def scoring(tagger: Tagger):
                 [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(spans, SPANS)],
                 names=["doc_id", "held_out", "score", "predicted", "spans"],
             )
+        release()
 
     return run
 

@@ -78,3 +78,46 @@ def test_one_kind_of_label_and_empty_tables(spark, no_docs):
     one = frame(spark, [(i, f"word{i} text", "en", "s") for i in range(12)])
     clean = spark.createDataFrame([(i, 1, 0) for i in range(12)], "doc_id long, quality long, toxic long")
     assert {r.predicted for r in toxicity.toxicity(one, clean).collect()} == {0}
+
+
+def test_document_scores_against_all_taggings(spark):
+    """The score column of the operator's own scoring, from marginals that are summed over all taggings."""
+    rng = np.random.default_rng(5)
+    weights, t = np.zeros(toxicity.N_FEATURES), rng.normal(size=(2, 2))
+    vocabulary = [f"word{i}" for i in range(12)]
+    for w in vocabulary:
+        weights[toxicity.features(w)] = rng.normal(size=10) * 0.4
+    tagger = toxicity.Tagger(weights, t, (0.3, 0.7, -0.4))
+    texts = ["", "...", *(" ".join(rng.choice(vocabulary, n)) for n in (1, 2, 5, 8, 9))]
+    rows = spark.createDataFrame([(i, False, x) for i, x in enumerate(texts)], "doc_id long, held_out boolean, text string")
+    got = {r.doc_id: r for r in rows.mapInArrow(toxicity.scoring(tagger), toxicity.SCORES).collect()}
+    for i, text in enumerate(texts):
+        words = toxicity.WORDS.findall(text)
+        own = [float(tagger.weights[toxicity.features(w)].sum()) for w in words]
+        total, ones = 0.0, np.zeros(len(words))
+        for code in range(2 ** len(words)):
+            y = [(code >> k) & 1 for k in range(len(words))]
+            w = np.exp(sum(e * b for e, b in zip(own, y, strict=True)) + sum(t[a, b] for a, b in zip(y, y[1:])))
+            total += w
+            ones += w * np.array(y)
+        p = ones / total
+        top = float(np.clip(np.log(max(p / (1 - p))), -10, 10)) if len(words) else -10.0
+        count = float(np.log1p(sum(x for x in p if x > 0.05)))
+        assert np.isclose(got[i].score, 1 / (1 + np.exp(-(0.3 * top + 0.7 * count - 0.4))), atol=1e-6), text
+        assert [text[s.start : s.end] for s in got[i].spans] == [w for w, x in zip(words, p, strict=True) if x >= 0.5]
+
+
+def test_contradictory_labels_repeated_rows_clashing_names_and_a_long_text(spark):
+    rows, labels = labelled()
+    schema = "doc_id long, quality long, toxic long, text string, score double"
+    marks = [(i, q, t, "zonk", 1.0) for i, q, t in labels]
+    marks += [(i, q, 0, "x", 0.0) for i, q, t in labels if t]  # one says toxic, another not: toxic counts
+    long = " ".join(rows[1][1].split() * 1500)
+    docs = frame(spark, [*rows, *[rows[4]] * 50, (5000, long, "en", "s"), (5001, long + " grumpf zonk grumpf", "en", "s")])
+    found = toxicity.toxicity(docs, spark.createDataFrame(marks, schema)).collect()
+    by = {r.doc_id: r for r in found}
+    assert len(found) == len(rows) + 52
+    held = [i for i, *_ in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert all(by[i].predicted == (i % 4 == 0) for i in held)
+    words = {(long + " grumpf zonk grumpf")[s.start : s.end] for s in by[5001].spans}
+    assert by[5000].spans == [] and words == {"grumpf", "zonk"}
