@@ -18,7 +18,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, work_dir
+from tessera.llm.common import split_join, stored, work_dir
 
 #: verdict, host, start of the path. Evaluated for every page, so meant for some hundred rules.
 RULES = (
@@ -98,7 +98,7 @@ def propagated(edges: DataFrame, seeds: DataFrame, folder: str, rounds: int = RO
     start = stored(start, folder, "seeds")
     rank = before = start.withColumn("rank", F.col("seed"))
     for k in count(1):
-        moved = shares.join(rank.select("kind", F.col("host").alias("src"), "rank"), ["kind", "src"])
+        moved = split_join(shares, rank.select("kind", F.col("host").alias("src"), "rank"), ["kind", "src"])
         got = moved.groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         rank = start.join(got, ["kind", "host"], "left").select(
             "kind", "host", "seed", (F.lit(1 - DAMPING) * F.col("seed") + F.lit(DAMPING) * F.coalesce("got", F.lit(0.0))).alias("rank")
