@@ -1,4 +1,5 @@
-"""Settings with their defaults; each can be given per call or by an environment variable TESSERA_<NAME>."""
+"""Settings with their defaults; each can be given per call, or by an environment variable TESSERA_<NAME> that is set
+before the package is imported."""
 
 from __future__ import annotations
 
@@ -32,4 +33,4 @@ class Settings:
         return cls(**found)
 
 
-DEFAULTS = Settings()
+DEFAULTS = Settings.from_env()

@@ -132,7 +132,7 @@ def escape_html(text: Column) -> Column:
 
 
 def scorer_normalise(text: Column) -> Column:
-    """Lower case, white space collapsed, number words as digits. For texts in Unicode form NFKC; see `nfkc`."""
+    """Lower case, white space collapsed, number words as digits. For texts in Unicode form NFKC, which `evaluation` sees to."""
     text = F.lower(F.regexp_replace(text, f"{SPACE}+", " "))
     for word, digit in NUMBER_WORDS:
         text = F.regexp_replace(text, rf"(?U)\b{word}\b", digit)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 
+# The messages are fixed values.
 NOT_FOUND_MESSAGE = "Not found in the document."
 UNGROUNDED_MESSAGE = (
     "I could not verify an answer against the document, so I am not showing one. The unverified draft is available below."

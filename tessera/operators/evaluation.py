@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.functions.nfkc import nfkc
 from tessera.operators.decision import SHOWN
 
 #: configuration, verifier (null: off), naive prompt
@@ -18,13 +19,23 @@ def configured(questions: DataFrame) -> DataFrame:
     return questions.select("*", F.inline(cases))
 
 
+def folded(results: DataFrame) -> DataFrame:
+    """results with own and wanted, the answer and what it must hold, in Unicode form NFKC; ASCII rows pass as they are."""
+    both = F.concat_ws(" ", "answer", F.array_join("expect", " "))
+    rows = results.withColumn("foreign", both.rlike(r"[^\x00-\x7F]"))
+    plain = rows.where(~F.col("foreign")).select("*", F.col("answer").alias("own"), F.col("expect").alias("wanted"))
+    wanted = F.when(F.size("expect") > 0, F.split(nfkc(F.array_join("expect", "\x1f")), "\x1f")).otherwise(F.col("expect"))
+    return plain.union(rows.where("foreign").select("*", nfkc(F.col("answer")).alias("own"), wanted.alias("wanted"))).drop("foreign")
+
+
 def eval_rows(results: DataFrame) -> DataFrame:
     """config, type, q, kind, status, answer, correct, hallucinated. results has type, expect, status, answer."""
+    results = folded(results)
     shown = F.col("status").isin(*SHOWN)
     answerable = F.col("type") == "answerable"
     return results.select(
         "config", "type", "q", "kind", "status", "answer",
-        F.when(answerable, shown & F.coalesce(T.is_correct(F.col("answer"), F.col("expect")), F.lit(False))).alias("correct"),
+        F.when(answerable, shown & F.coalesce(T.is_correct(F.col("own"), F.col("wanted")), F.lit(False))).alias("correct"),
         F.when(~answerable, shown).alias("hallucinated"),
     )
 

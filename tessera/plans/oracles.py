@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from tessera.functions.text import HTML_ENTITIES, NUMBER_WORDS
 from tessera.operators.embedding import STOP_WORDS
-from tessera.plans import fixtures
 
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
@@ -153,20 +152,84 @@ def scored(x: str) -> str:
     return x
 
 
-def values(rows, columns: str) -> str:
-    return f"(VALUES {', '.join(f'({", ".join(map(lit, r))})' for r in rows)}) AS t({columns})"
-
-
 NOT_FOUND_TEST = "({0} = '' OR upper(regexp_replace({1}, '[^A-Za-z]', '', 'g')) = 'NOTFOUND')"
-CASES = f"""cases AS (SELECT *, CASE WHEN NOT coalesce(passed, false) THEN 'not_found'
-  WHEN {NOT_FOUND_TEST.format(strip("coalesce(draft, '')"), "coalesce(draft, '')")} THEN 'not_found' WHEN NOT verified THEN 'unchecked'
-  WHEN verify_error IS NOT NULL OR coalesce(n, 0) = 0 THEN 'unverified' WHEN k = n THEN 'grounded' WHEN k = 0 THEN 'ungrounded' ELSE 'partial' END AS status
-  FROM {values(fixtures.CASES, 'qid, passed, draft, verified, verify_error, k, n')})"""
+def cleaned(x: str) -> str:
+    spaces = "translate({0}, chr(160) || chr(8194) || chr(8195) || chr(8199) || chr(8201) || chr(8202) || chr(8239), '       ')".format(x)
+    return strip(replace(replace(spaces, rf'[【\[]{SPACE}*([0-9]+(?:{SPACE}*,{SPACE}*[0-9]+)*){SPACE}*[】\]]', r'[\1]'), '[ \\t]+', ' '))
+
+
+def said_nothing(x: str) -> str:
+    return NOT_FOUND_TEST.format(strip(f"coalesce({x}, '')"), f"coalesce({x}, '')")
+
+
+def claim_json(claim: str, supported: str, source: str, quote: str, reason: str) -> str:
+    return f"CAST(json_object('claim', {claim}, 'supported', {supported}, 'source', {source}, 'quote', {quote}, 'reason', {reason}) AS VARCHAR)"
+
+
+QUOTE = "substr(prompt, 14, 60)"
+GOOD = claim_json("'It says ' || substr(prompt, 14, 30)", "true", "1", QUOTE, "'stated'")
+BAD = claim_json("'It is otherwise'", "false", "NULL", "''", "'absent'")
+FAR = claim_json("'Far off'", "true", "99", QUOTE, "''")
+HALF = claim_json("'Half a source'", "true", "1.5", QUOTE, "'seen'")
+TOLD = claim_json("'Told as text'", "'true'", "1", QUOTE, "''")
+RAW = f"""CASE length(prompt) % 9 WHEN 0 THEN 'not json' WHEN 1 THEN '{{broken' WHEN 2 THEN '{{"claims":[]}}' WHEN 3 THEN '{{"claims":["only words"]}}'
+  WHEN 4 THEN '```json' || chr(10) || '{{"claims":[' || {GOOD} || ']}}' || chr(10) || '```' WHEN 5 THEN 'Sure: {{"claims":[' || {GOOD} || ',' || {BAD} || ',"words"]}} Done.'
+  WHEN 6 THEN '{{"claims":[' || {FAR} || ',' || {HALF} || ']}}' WHEN 7 THEN '{{"claims":[' || {GOOD} || ',' || {FAR} || ']}}' ELSE '{{"claims":[' || {TOLD} || ']}}' END"""
+#: From retrieval to verdicts, with the scripted models, for the strict and the naive generator.
+ASK = f"""{RETRIEVED},
+gate AS (SELECT item_id, score AS best, score >= 0.15 AS passed FROM retrieved WHERE rank = 1),
+contexts AS (SELECT item_id, {CONTEXT} AS headed, {PLAIN_CONTEXT} AS plain FROM retrieved GROUP BY item_id),
+gen AS (SELECT item_id, naive, 'SOURCES:' || chr(10) || headed || chr(10) || chr(10) || 'QUESTION: ' || text || chr(10) || chr(10) || 'ANSWER:' AS prompt
+  FROM contexts JOIN asked USING (item_id) JOIN gate USING (item_id) CROSS JOIN (VALUES (false), (true)) AS v(naive) WHERE passed),
+drafted AS MATERIALIZED (SELECT item_id, naive, {cleaned('reply')} AS draft FROM (SELECT item_id, naive, CASE WHEN NOT naive AND length(prompt) % 6 = 0 THEN 'NOT_FOUND'
+  ELSE substr(prompt, strpos(prompt, ')' || chr(10)) + 2, 120) || CASE WHEN naive THEN ' and so on [1].' ELSE ' [1].' END END AS reply FROM gen)),
+said AS (SELECT * FROM drafted WHERE NOT {said_nothing('draft')}),
+raws AS (SELECT item_id, naive, {RAW} AS raw FROM (SELECT item_id, naive, 'SOURCES:' || chr(10) || plain || chr(10) || chr(10) || 'ANSWER:' || chr(10)
+  || {citations('draft')} || chr(10) || chr(10) || 'JSON:' AS prompt FROM said JOIN contexts USING (item_id))),
+parsed AS MATERIALIZED (SELECT item_id, naive, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS v FROM (SELECT item_id, naive, regexp_extract(raw, '(?s)\\{{.*\\}}') AS body FROM raws)),
+items AS (SELECT item_id, naive, unnest(l) AS item, generate_subscripts(l, 1) - 1 AS claim_no
+  FROM (SELECT item_id, naive, CAST(json_extract(v, '$.claims') AS JSON[]) AS l FROM parsed WHERE json_type(v, '$.claims') = 'ARRAY')),
+told AS (SELECT item_id, naive, claim_no, {strip("coalesce(item->>'$.claim', '')")} AS claim, {strip("coalesce(item->>'$.quote', '')")} AS told_quote,
+  {strip("coalesce(item->>'$.reason', '')")} AS told_reason, coalesce(json_type(item, '$.supported') = 'BOOLEAN' AND item->>'$.supported' = 'true', false) AS told,
+  CASE WHEN json_type(item, '$.source') IN ('BIGINT', 'UBIGINT') THEN CAST(item->>'$.source' AS BIGINT) END AS src FROM items WHERE json_type(item) = 'OBJECT'),
+judged_ AS (SELECT told.*, page, told AND text IS NOT NULL AND coalesce({quote_found('told_quote', 'text', "''")}, false) AS supported
+  FROM told LEFT JOIN retrieved ON retrieved.item_id = told.item_id AND rank = src WHERE claim <> ''),
+verdicts AS MATERIALIZED (SELECT item_id, naive, claim_no, claim, supported, page, CASE WHEN supported THEN src END AS source_rank, CASE WHEN supported THEN told_quote ELSE '' END AS quote,
+  CASE WHEN told AND NOT supported THEN CASE WHEN told_reason = '' THEN '' ELSE told_reason || ' ' END || '[evidence quote not found in cited source]' ELSE told_reason END AS reason FROM judged_),
+counted AS (SELECT item_id, naive, count(*) FILTER (supported) AS k, count(*) AS n FROM verdicts GROUP BY ALL),
+errors AS (SELECT item_id, naive, CASE WHEN v IS NULL THEN 'no JSON object' WHEN coalesce(json_array_length(v, '$.claims'), 0) < 1 THEN 'no claims'
+  WHEN n IS NULL THEN 'no usable claims' END AS verify_error FROM parsed LEFT JOIN counted USING (item_id, naive))"""
+
+
+def entailed(drafts: str, retrieved: str) -> str:
+    """CTEs up to `chosen` (item_id, claim_no, claim, p, rank, premise): the best premise of each claim of drafts (item_id, text)."""
+    return f"""premises AS ({premises(retrieved, 'item_id')}),
+      claims AS (SELECT item_id, generate_subscripts(l, 1) - 1 AS claim_no, unnest(l) AS claim FROM (SELECT item_id, {claims('text')} AS l FROM {drafts})),
+      said_words AS (SELECT DISTINCT claim, list_distinct(list_filter(string_split({norm('claim')}, ' '), lambda w: w <> '')) AS ws FROM claims),
+      pairs AS (SELECT item_id, claim_no, claim, rank, no, premise, len(ws) AS m,
+        len(list_intersect(ws, string_split({norm('premise')}, ' '))) AS hit FROM claims JOIN said_words USING (claim) JOIN premises USING (item_id)),
+      judged AS (SELECT *, CASE WHEN m = 0 THEN 0.0 ELSE hit::DOUBLE / m::DOUBLE END AS p FROM pairs),
+      chosen AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY item_id, claim_no ORDER BY p DESC, rank, no) = 1)"""
+
+
+#: Every question under each configuration: config, item_id, question, best, draft, status, k, n.
+RUNS = f"""{ASK}, strict_drafts AS (SELECT item_id, draft AS text FROM said WHERE NOT naive), {entailed('strict_drafts', 'retrieved')},
+nli AS (SELECT item_id, count(*) FILTER (p >= 0.5) AS k, count(*) AS n FROM chosen GROUP BY item_id),
+configs AS (SELECT * FROM (VALUES ('none', NULL, false), ('llm', 'llm', false), ('nli', 'nli', false), ('naive', NULL, true), ('naive_llm', 'llm', true)) AS t(config, verifier, naive)),
+runs_ AS (SELECT config, verifier, item_id, asked.text AS question, best, passed, draft, CASE verifier WHEN 'llm' THEN counted.k WHEN 'nli' THEN nli.k END AS k,
+  CASE verifier WHEN 'llm' THEN counted.n WHEN 'nli' THEN nli.n END AS n, CASE WHEN verifier = 'llm' THEN verify_error END AS verify_error
+  FROM configs CROSS JOIN asked JOIN gate USING (item_id) LEFT JOIN drafted USING (item_id, naive) LEFT JOIN counted USING (item_id, naive)
+  LEFT JOIN errors USING (item_id, naive) LEFT JOIN nli USING (item_id)),
+stated AS MATERIALIZED (SELECT *, CASE WHEN NOT passed OR {said_nothing('draft')} THEN 'not_found' WHEN verifier IS NULL THEN 'unchecked'
+  WHEN verify_error IS NOT NULL OR coalesce(n, 0) = 0 THEN 'unverified' WHEN k = n THEN 'grounded' WHEN k = 0 THEN 'ungrounded' ELSE 'partial' END AS status FROM runs_),
+runs AS (SELECT *, CASE status WHEN 'not_found' THEN 'Not found in the document.' WHEN 'ungrounded' THEN
+  'I could not verify an answer against the document, so I am not showing one. The unverified draft is available below.' ELSE draft END AS answer,
+  status IN ('not_found', 'ungrounded') AS abstained FROM stated)"""
 SHOWN = "status IN ('grounded', 'partial', 'unchecked', 'unverified')"
-RESULTS = f"""results AS (SELECT config, type, q, kind, status, answer,
-  CASE WHEN type = 'answerable' THEN {SHOWN} AND coalesce(len(list_filter(expect, lambda t: NOT contains({scored('answer')}, {scored('t')}))) = 0, false) END AS correct,
-  CASE WHEN type = 'unanswerable' THEN {SHOWN} END AS hallucinated
-  FROM {values(fixtures.RESULTS, 'config, type, q, expect, kind, status, answer')})"""
+RESULTS = f"""{RUNS}, results AS (SELECT config, CASE WHEN item_id % 2 = 1 THEN 'unanswerable' ELSE 'answerable' END AS type, question AS q,
+  CASE WHEN item_id % 2 = 1 THEN 'off-topic' END AS kind, status, answer,
+  CASE WHEN item_id % 2 = 0 THEN {SHOWN} AND contains({scored('answer')}, {scored('upper(substr(question, 1, 2))')}) AND contains({scored('answer')}, 'a') END AS correct,
+  CASE WHEN item_id % 2 = 1 THEN {SHOWN} END AS hallucinated FROM runs)"""
 SUMMARY = """summary AS (SELECT config,
   count(*) FILTER (type = 'answerable' AND correct) / nullif(count(*) FILTER (type = 'answerable'), 0)::DOUBLE AS answer_rate,
   count(*) FILTER (type = 'unanswerable' AND NOT hallucinated) / nullif(count(*) FILTER (type = 'unanswerable'), 0)::DOUBLE AS abstain_rate,
@@ -177,26 +240,23 @@ SUMMARY = """summary AS (SELECT config,
   FROM results GROUP BY config)"""
 PERCENT = "CASE WHEN {0} IS NULL THEN 'n/a' ELSE CAST(round_even({0} * 100, 0) AS INT) || '%' END"
 
-#: What the verdicts over the fixed replies must be: qid, claim_no, claim, supported, source_rank, quote, reason, page.
-NONE = "[evidence quote not found in cited source]"
-VERDICTS = (
-    (1, 0, "It is 25 days", True, 1, "25 days of paid annual leave", "stated", 1),
-    (2, 0, "It is 25 days", True, 1, "All full-time ... calendar year", "", 1),
-    (2, 1, "It is 99 days", False, None, "", "absent", None),
-    (3, 0, "It is 30 days", False, None, "", f"seen {NONE}", None),
-    (4, 0, "It is 25 days", False, None, "", NONE, None),
-    (9, 2, "Text true", False, None, "", "", None),
-    (10, 0, "Source true", False, None, "", NONE, None),
-    (10, 1, "Source 2.0", False, None, "", NONE, None),
-    (11, 0, "Meals", True, 2, "up to 60 usd per DAY", "", 3),
-    (11, 1, "Short", True, 1, "5 days of paid annual leave", "", 1),
-    (11, 2, "Meals too", True, 2, "Receipts are due", "", 3),
-)
-ERRORS = tuple((q, {5: "no JSON object", 8: "no JSON object", 6: "no claims", 7: "no claims", 12: "no usable claims"}.get(q)) for q in range(1, 13))
-VERDICT_ROWS = f"verdicts AS (SELECT * FROM {values(VERDICTS, 'qid, claim_no, claim, supported, source_rank, quote, reason, page')})"
 DOT = "list_reduce(list_transform(list_zip(a.embedding, b.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE), lambda x, y: x + y)"
 NORM = "sqrt(list_reduce(list_transform({0}.embedding, lambda z: z::DOUBLE * z::DOUBLE), lambda x, y: x + y))"
 
+
+
+def marked(x: str) -> str:
+    """The second and third sentence of a text marked in it. Texts of the tables hold Latin letters alone."""
+    between = "[^A-Za-z0-9_À-ɏ]+"
+    found = f"regexp_extract({x}, '(?i)' || array_to_string(regexp_extract_all(q, '[A-Za-z0-9]+'), '{between}'))"
+    told = f"list_filter(list_slice({sentences(x)}, 2, 3), lambda q: regexp_matches(q, '[A-Za-z0-9]'))"
+    places = f"list_sort(list_filter(list_transform(list_transform({told}, lambda q: {found}), lambda m: {{'at': strpos({x}, m), 'size': length(m)}}), lambda p: p.at > 0 AND p.size > 0))"
+    before, inside = html_escape(f"substr({x}, d.e + 1, p.at - 1 - d.e)"), html_escape(f"substr({x}, p.at, p.size)")
+    swept = f"""list_reduce({places}, lambda d, p: CASE WHEN p.at > d.e THEN {{'at': 0::BIGINT, 'size': 0::BIGINT, 'h': d.h || {before} || '<mark>' || {inside} || '</mark>', 'e': p.at + p.size - 1}}
+      ELSE d END, {{'at': 0::BIGINT, 'size': 0::BIGINT, 'h': '', 'e': 0::BIGINT}})"""
+    return f"list_transform([{swept}], lambda d: d.h || {html_escape(f'substr({x}, d.e + 1)')})[1]"
+
+
 ORACLES: dict[str, str] = {
     "approx_tokens": f"SELECT doc_id, {tokens('text', 'w')} AS tokens FROM documents",
     "clean_block": f"SELECT doc_id, {clean('text')} AS cleaned FROM documents",
@@ -206,8 +266,7 @@ ORACLES: dict[str, str] = {
     "split_sentences": f"SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS sentence FROM (SELECT doc_id, {sentences('text')} AS l FROM documents)",
     "hard_split": f"SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS piece FROM (SELECT doc_id, {slices('text', 76, 'h')} AS l FROM documents)",
     "strip_citations": f"SELECT doc_id, {citations('t')} AS stripped FROM (SELECT doc_id, text || ' [1]. Also so [2, 3].' AS t FROM documents)",
-    "clean_answer": f"""SELECT doc_id, {strip(replace(replace("translate(t, chr(160) || chr(8194) || chr(8195) || chr(8199) || chr(8201) || chr(8202) || chr(8239), '       ')",
-      rf'[【\[]{SPACE}*([0-9]+(?:{SPACE}*,{SPACE}*[0-9]+)*){SPACE}*[】\]]', r'[\1]'), '[ \\t]+', ' '))} AS answer
+    "clean_answer": f"""SELECT doc_id, {cleaned('t')} AS answer
       FROM (SELECT doc_id, '  【 ' || doc_id || ' 】 ' || chr(9) || text || ' [ 2, 3 ] ' AS t FROM documents)""",
     "normalise_text": f"SELECT doc_id, {norm('text')} AS normalised FROM documents",
     "scorer_normalise": f"SELECT doc_id, {scored('t')} AS normalised FROM (SELECT doc_id, text || ' two  Three twenty-five thirty' AS t FROM documents)",
@@ -239,39 +298,36 @@ ORACLES: dict[str, str] = {
     "quote_in_text": f"""{RETRIEVED} SELECT item_id, rank, {quote_found('asked.text', 'retrieved.text', "''")} AS found,
       {quote_found('asked.text', 'retrieved.text', "' '")} AS found_strict FROM retrieved JOIN asked USING (item_id)""",
     "nli_windows": premises("(SELECT item_id, 1 AS rank, text FROM benchmark)", "item_id"),
-    "nli_verdicts": f"""{RETRIEVED}, premises AS ({premises('retrieved', 'item_id')}),
-      claims AS (SELECT item_id, generate_subscripts(l, 1) - 1 AS claim_no, unnest(l) AS claim FROM (SELECT item_id, {claims('text')} AS l FROM asked)),
-      said AS (SELECT DISTINCT claim, list_distinct(list_filter(string_split({norm('claim')}, ' '), lambda w: w <> '')) AS ws FROM claims),
-      pairs AS (SELECT item_id, claim_no, claim, rank, no, premise, len(ws) AS m,
-        len(list_intersect(ws, string_split({norm('premise')}, ' '))) AS hit FROM claims JOIN said USING (claim) JOIN premises USING (item_id)),
-      judged AS (SELECT *, CASE WHEN m = 0 THEN 0.0 ELSE hit::DOUBLE / m::DOUBLE END AS p FROM pairs),
-      chosen AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY item_id, claim_no ORDER BY p DESC, rank, no) = 1)
+    "nli_verdicts": f"""{RETRIEVED}, {entailed('asked', 'retrieved')}
       SELECT item_id, claim_no, claim, p >= 0.5 AS supported, CASE WHEN p >= 0.5 THEN rank END AS source_rank,
         CASE WHEN p >= 0.5 THEN premise ELSE '' END AS quote, round_even(p, 3) AS score FROM chosen""",
-    "parse_json_object": f"SELECT qid, qid NOT IN (5, 8) AS parsed FROM {values([(q,) for q in range(1, 13)], 'qid')}",
-    "reply_errors": f"SELECT qid, verify_error FROM {values(ERRORS, 'qid, verify_error')}",
-    "llm_verdicts": f"WITH {VERDICT_ROWS} SELECT qid, claim_no, claim, supported, source_rank, quote, reason FROM verdicts",
-    "claim_support": f"WITH {VERDICT_ROWS} SELECT qid, count(*) FILTER (supported) AS k, count(*) AS n, count(*) FILTER (supported) / count(*)::DOUBLE AS ratio FROM verdicts GROUP BY qid",
-    "verdict_lines": f"""WITH {VERDICT_ROWS} SELECT qid, claim_no, CASE WHEN supported THEN '[ok] ' || claim || ' (source ' || source_rank || ', page ' || page || ')'
-      ELSE '[no] ' || claim || CASE WHEN reason <> '' THEN ' - ' || reason ELSE '' END END AS line FROM verdicts""",
-    "quotes_by_rank": f"WITH {VERDICT_ROWS} SELECT qid, source_rank, string_agg(quote, ' / ' ORDER BY claim_no) AS quotes FROM verdicts WHERE supported GROUP BY ALL",
-    "decide_status": f"""WITH {CASES} SELECT qid, status, CASE status WHEN 'not_found' THEN 'Not found in the document.' WHEN 'ungrounded' THEN
-      'I could not verify an answer against the document, so I am not showing one. The unverified draft is available below.' ELSE draft END AS answer,
-      status IN ('not_found', 'ungrounded') AS abstained FROM cases""",
-    "badge": f"""WITH {CASES} SELECT qid, CASE status WHEN 'grounded' THEN 'success' WHEN 'ungrounded' THEN 'error' WHEN 'not_found' THEN 'info'
+    "parse_json_object": f"{ASK} SELECT item_id, v IS NOT NULL AS parsed FROM parsed WHERE NOT naive",
+    "reply_errors": f"{ASK} SELECT item_id, verify_error FROM errors WHERE NOT naive",
+    "llm_verdicts": f"{ASK} SELECT item_id, claim_no, claim, supported, source_rank, quote, reason FROM verdicts WHERE NOT naive",
+    "claim_support": f"{ASK} SELECT item_id, k, n, k / n::DOUBLE AS ratio FROM counted WHERE NOT naive",
+    "verdict_lines": f"""{ASK} SELECT item_id, claim_no, CASE WHEN supported THEN '[ok] ' || claim || ' (source ' || source_rank || ', page ' || page || ')'
+      ELSE '[no] ' || claim || CASE WHEN reason <> '' THEN ' - ' || reason ELSE '' END END AS line FROM verdicts WHERE NOT naive""",
+    "quotes_by_rank": f"{ASK} SELECT item_id, source_rank, string_agg(quote, ' / ' ORDER BY claim_no) AS quotes FROM verdicts WHERE supported AND NOT naive GROUP BY ALL",
+    "sources_with_quotes": f"""{ASK} SELECT r.item_id, rank, r.page, source, count(quote) AS n_quotes, coalesce(string_agg(quote, ' / ' ORDER BY claim_no), '') AS quotes
+      FROM retrieved r LEFT JOIN (SELECT * FROM verdicts WHERE supported AND NOT naive) v ON v.item_id = r.item_id AND v.source_rank = r.rank GROUP BY ALL""",
+    "ask": f"{RUNS} SELECT item_id, round(best, 6) AS best, status, answer, draft, abstained, k, n, verify_error FROM runs WHERE config = 'llm'",
+    "decide_status": f"{RUNS} SELECT config, item_id, status, answer, abstained FROM runs",
+    "badge": f"""{RUNS} SELECT config, item_id, CASE status WHEN 'grounded' THEN 'success' WHEN 'ungrounded' THEN 'error' WHEN 'not_found' THEN 'info'
       WHEN 'unchecked' THEN 'info' ELSE 'warning' END AS level, CASE status WHEN 'grounded' THEN 'Grounded - ' || k || '/' || n || ' claims supported'
       WHEN 'partial' THEN 'Partially grounded - ' || k || '/' || n || ' claims supported. Check the flagged claims.'
       WHEN 'ungrounded' THEN 'Not grounded - no claim could be verified against the document.' WHEN 'not_found' THEN 'Not found in the document.'
       WHEN 'unverified' THEN 'Could not run the grounding check - treat this answer as unverified.'
-      ELSE 'Grounding check is off (baseline mode) - this answer is unverified.' END AS label FROM cases""",
-    "question_rows": """SELECT * FROM (VALUES ('handbook.pdf', 'answerable', 0, 'How many days?', '25', NULL), ('handbook.pdf', 'answerable', 1, 'Who?', 'a|b', NULL),
-      ('handbook.pdf', 'unanswerable', 0, 'Which colour?', NULL, 'off-topic'), ('empty.pdf', 'unanswerable', 0, 'Why?', NULL, 'near-miss')) AS t(document, type, no, q, expect, kind)""",
-    "eval_rows": f"WITH {RESULTS} SELECT config, type, q, kind, status, answer, correct, hallucinated FROM results",
-    "eval_summary": f"WITH {RESULTS}, {SUMMARY} SELECT * FROM summary",
-    "eval_markdown": f"""WITH {RESULTS}, {SUMMARY} SELECT config, '| ' || concat_ws(' | ', config, {PERCENT.format('answer_rate')}, {PERCENT.format('abstain_rate')},
+      ELSE 'Grounding check is off (baseline mode) - this answer is unverified.' END AS label FROM runs""",
+    "highlight": f"SELECT doc_id, {marked('text')} AS html FROM documents",
+    "question_rows": """SELECT document, type, row_number() OVER (PARTITION BY document, type ORDER BY item_id) - 1 AS no, text AS q,
+      CASE type WHEN 'answerable' THEN substr(text, 1, 3) || '|two' END AS expect,
+      CASE type WHEN 'unanswerable' THEN CASE WHEN item_id % 3 = 0 THEN 'off-topic' ELSE 'near-miss' END END AS kind
+      FROM (SELECT *, 'set-' || item_id % 4 || '.json' AS document, CASE WHEN item_id % 8 < 4 THEN 'answerable' ELSE 'unanswerable' END AS type FROM benchmark)""",
+    "eval_rows": f"{RESULTS} SELECT config, type, q, kind, status, answer, correct, hallucinated FROM results",
+    "eval_summary": f"{RESULTS}, {SUMMARY} SELECT * FROM summary",
+    "eval_markdown": f"""{RESULTS}, {SUMMARY} SELECT config, '| ' || concat_ws(' | ', config, {PERCENT.format('answer_rate')}, {PERCENT.format('abstain_rate')},
       {PERCENT.format('hallucination_rate')}, {PERCENT.format('grounded_precision')}) || ' |' AS line FROM summary""",
-    "status_pivot": f"""WITH {RESULTS} SELECT config, {', '.join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ('grounded', 'partial', 'ungrounded', 'not_found', 'unverified', 'unchecked'))}
+    "status_pivot": f"""{RESULTS} SELECT config, {', '.join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ('grounded', 'partial', 'ungrounded', 'not_found', 'unverified', 'unchecked'))}
       FROM results GROUP BY config""",
-    "config_ablation": """SELECT config, verifier, naive, (SELECT count(*) FROM benchmark) AS questions FROM
-      (VALUES ('none', NULL, false), ('llm', 'llm', false), ('nli', 'nli', false), ('naive', NULL, true), ('naive_llm', 'llm', true)) AS t(config, verifier, naive)""",
+    "config_ablation": f"{RUNS} SELECT config, status, count(*) AS questions, sum(k) AS supported, sum(n) AS claims FROM runs GROUP BY ALL",
 }

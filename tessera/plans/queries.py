@@ -3,15 +3,15 @@ user turns are questions, assistant turns are drafts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import render
 from tessera.functions import text as T
 from tessera.functions.nfkc import nfkc
-from tessera.operators import chunking, decision, embedding, evaluation, generation, retrieval, verification
-from tessera.plans import fixtures
+from tessera.operators import asking, chunking, embedding, evaluation, generation, retrieval, verification
 from tessera.sources import files
+from tessera.tables import stored, work_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -155,45 +155,121 @@ def nli_verdicts(spark, sf_dir):
     return verification.nli_verdicts(answers, retrieved_of(spark, sf_dir), "item_id").drop("reason")
 
 
+#: Stand-ins for models: replies of every form, made from the prompts alone, so that SQL can make the same.
+START = len("SOURCES:\n[1]\n") + 1
+
+
+def scripted_drafts(naive: bool = False):
+    """A generator that quotes the first source; the strict one also says that it found nothing."""
+
+    def generate(prompts: DataFrame) -> DataFrame:
+        prompt = F.col("prompt")
+        quote = F.substring(prompt, F.instr(prompt, ")\n") + 2, F.lit(120))
+        reply = F.concat(quote, F.lit(" and so on [1]." if naive else " [1]."))
+        reply = reply if naive else F.when(F.length(prompt) % 6 == 0, "NOT_FOUND").otherwise(reply)
+        return prompts.select("item_id", reply.alias("reply"))
+
+    return generate
+
+
+def scripted_verdicts(prompts: DataFrame) -> DataFrame:
+    """A verifier's replies: no JSON, broken JSON, fences and words around it, and claims with wrong types and sources."""
+    quote = F.substring("prompt", START, 60)
+
+    def claim(text, supported, source, own_quote, reason):
+        named = {"claim": text, "supported": supported, "source": source, "quote": own_quote, "reason": reason}
+        return F.to_json(F.struct(*[(x if isinstance(x, Column) else F.lit(x)).alias(k) for k, x in named.items()]))
+
+    good = claim(F.concat(F.lit("It says "), F.substring("prompt", START, 30)), True, 1, quote, "stated")
+    bad = claim("It is otherwise", False, None, "", "absent")
+    far = claim("Far off", True, 99, quote, "")
+    half = claim("Half a source", True, 1.5, quote, "seen")
+    told = claim("Told as text", "true", 1, quote, "")
+    body = lambda *items: F.concat(F.lit('{"claims":['), F.concat_ws(",", *items), F.lit("]}"))
+    forms = [
+        F.lit("not json"), F.lit("{broken"), F.lit('{"claims":[]}'), F.lit('{"claims":["only words"]}'), F.concat(F.lit("```json\n"), body(good), F.lit("\n```")),
+        F.concat(F.lit("Sure: "), body(good, bad, F.lit('"words"')), F.lit(" Done.")), body(far, half), body(good, far), body(told),
+    ]
+    reply = F.element_at(F.array(*forms), (F.length("prompt") % len(forms) + 1).cast("int"))
+    return prompts.select("item_id", reply.alias("reply"))
+
+
+def asked_of(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The questions and what was retrieved for them, written once."""
+    folder = work_dir(spark, "asked")
+    return questions_of(spark, sf_dir).withColumnRenamed("text", "question"), stored(retrieved_of(spark, sf_dir), folder, "retrieved")
+
+
+def answers_of(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Answers, verdicts and retrieved chunks with the strict generator and the verifier by replies."""
+    questions, found = asked_of(spark, sf_dir)
+    answers, verdicts = asking.ask(questions, found, "item_id", scripted_drafts(), asking.verify_by_replies(scripted_verdicts, "item_id"))
+    return answers, verdicts, found
+
+
+def replies_of(spark, sf_dir) -> DataFrame:
+    """item_id, raw: the verifier's replies to the drafts."""
+    kept = []
+
+    def replying(prompts: DataFrame) -> DataFrame:
+        kept.append(scripted_verdicts(prompts))
+        return kept[0]
+
+    questions, found = asked_of(spark, sf_dir)
+    asking.ask(questions, found, "item_id", scripted_drafts(), asking.verify_by_replies(replying, "item_id"))
+    return kept[0].withColumnRenamed("reply", "raw")
+
+
 def parse_json_object(spark, sf_dir):
-    replies = fixtures.replies(spark)
-    return replies.select("qid", T.parse_json_object(F.col("raw")).isNotNull().alias("parsed"))
+    return replies_of(spark, sf_dir).select("item_id", T.parse_json_object(F.col("raw")).isNotNull().alias("parsed"))
 
 
 def reply_errors(spark, sf_dir):
-    return verification.claims_of_replies(fixtures.replies(spark), "qid")[1]
+    return verification.claims_of_replies(replies_of(spark, sf_dir), "item_id")[1]
 
 
 def llm_verdicts(spark, sf_dir):
-    claims, _ = verification.claims_of_replies(fixtures.replies(spark), "qid")
-    return verification.llm_verdicts(claims, fixtures.retrieved(spark), "qid").drop("score")
+    return answers_of(spark, sf_dir)[1].drop("score")
 
 
-def decided_of(spark) -> DataFrame:
-    return decision.decided(fixtures.cases(spark))
+def ask(spark, sf_dir):
+    answers = answers_of(spark, sf_dir)[0]
+    return answers.select("item_id", F.round("best", 6).alias("best"), "status", "answer", "draft", "abstained", "k", "n", "verify_error")
 
 
 def decide_status(spark, sf_dir):
-    return decided_of(spark).select("qid", "status", "answer", "abstained")
+    return config_answers(spark, sf_dir).select("config", "item_id", "status", "answer", "abstained")
 
 
 def badge(spark, sf_dir):
-    return decided_of(spark).select("qid", render.badge(F.col("status"), F.col("k"), F.col("n")).alias("b")).select("qid", "b.level", "b.label")
+    found = config_answers(spark, sf_dir).select("config", "item_id", render.badge(F.col("status"), F.col("k"), F.col("n")).alias("b"))
+    return found.select("config", "item_id", "b.level", "b.label")
 
 
 def claim_support(spark, sf_dir):
-    return verification.support(llm_verdicts(spark, sf_dir), "qid")
+    return verification.support(answers_of(spark, sf_dir)[1], "item_id")
 
 
 def verdict_lines(spark, sf_dir):
-    claims, _ = verification.claims_of_replies(fixtures.replies(spark), "qid")
-    found = fixtures.retrieved(spark)
-    return render.verdict_line(verification.llm_verdicts(claims, found, "qid"), found, "qid")
+    _, verdicts, found = answers_of(spark, sf_dir)
+    return render.verdict_line(verdicts, found, "item_id")
 
 
 def quotes_by_rank(spark, sf_dir):
-    found = render.quotes_by_rank(llm_verdicts(spark, sf_dir), "qid")
-    return found.select("qid", "source_rank", F.array_join("quotes", " / ").alias("quotes"))
+    found = render.quotes_by_rank(answers_of(spark, sf_dir)[1], "item_id")
+    return found.select("item_id", "source_rank", F.array_join("quotes", " / ").alias("quotes"))
+
+
+def sources_with_quotes(spark, sf_dir):
+    _, verdicts, found = answers_of(spark, sf_dir)
+    rows = asking.sources_with_quotes(found, verdicts, "item_id")
+    return rows.select("item_id", "rank", "page", "source", F.size("quotes").alias("n_quotes"), F.array_join("quotes", " / ").alias("quotes"))
+
+
+def config_answers(spark, sf_dir) -> DataFrame:
+    questions, found = asked_of(spark, sf_dir)
+    verifiers = {"llm": asking.verify_by_replies(scripted_verdicts, "item_id"), "nli": asking.verify_by_entailment("item_id")}
+    return asking.run_configurations(questions, found, "item_id", scripted_drafts, verifiers)
 
 
 def highlight(spark, sf_dir):
@@ -201,31 +277,47 @@ def highlight(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", render.highlight_html(F.col("text"), F.slice(own, 2, 2)).alias("html"))
 
 
+def specs_of(spark, sf_dir) -> DataFrame:
+    """Question sets like those that are read from files: the benchmark's items in four documents, half of them answerable."""
+    rows = questions_of(spark, sf_dir).withColumn("document", F.concat(F.lit("set-"), F.col("item_id") % 4, F.lit(".json")))
+    even = F.col("item_id") % 8 < 4
+    own = lambda keep, *fields: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("item_id", *fields)))), lambda x: x.dropFields("item_id"))
+    expect, kind = F.array(F.substring("text", 1, 3), F.lit("two")).alias("expect"), F.when(F.col("item_id") % 3 == 0, "off-topic").otherwise("near-miss").alias("kind")
+    q = F.col("text").alias("q")
+    return rows.groupBy("document").agg(F.lit(None).cast("string").alias("note"), own(even, q, expect).alias("answerable"), own(~even, q, kind).alias("unanswerable"))
+
+
 def question_rows(spark, sf_dir):
-    rows = files.explode_questions(fixtures.question_spec(spark))
+    rows = files.explode_questions(specs_of(spark, sf_dir))
     return rows.select("document", "type", "no", "q", F.array_join("expect", "|").alias("expect"), "kind")
 
 
-def eval_results(spark) -> DataFrame:
-    return evaluation.eval_rows(fixtures.results(spark))
+def eval_results(spark, sf_dir) -> DataFrame:
+    """All questions under the five configurations: every other one counts as answerable, by the beginning of its source."""
+    results = config_answers(spark, sf_dir)
+    odd = F.col("item_id") % 2 == 1
+    expect = F.when(~odd, F.array(F.upper(F.substring("question", 1, 2)), F.lit("\uff41"))).alias("expect")  # a full-width a
+    kind = F.when(odd, "off-topic").alias("kind")
+    type_ = F.when(odd, "unanswerable").otherwise("answerable").alias("type")
+    return evaluation.eval_rows(results.select("config", type_, F.col("question").alias("q"), expect, kind, "status", "answer"))
 
 
 def eval_rows(spark, sf_dir):
-    return eval_results(spark)
+    return eval_results(spark, sf_dir)
 
 
 def eval_summary(spark, sf_dir):
-    return evaluation.eval_summary(eval_results(spark))
+    return evaluation.eval_summary(eval_results(spark, sf_dir))
 
 
 def eval_markdown(spark, sf_dir):
-    return files.markdown_lines(evaluation.eval_summary(eval_results(spark)))
+    return files.markdown_lines(evaluation.eval_summary(eval_results(spark, sf_dir)))
 
 
 def status_pivot(spark, sf_dir):
-    return evaluation.status_pivot(eval_results(spark))
+    return evaluation.status_pivot(eval_results(spark, sf_dir))
 
 
 def config_ablation(spark, sf_dir):
-    asked = questions_of(spark, sf_dir).select("item_id")
-    return evaluation.configured(asked).groupBy("config", "verifier", "naive").agg(F.count("*").alias("questions"))
+    """What each configuration gave: a row for each configuration and status."""
+    return config_answers(spark, sf_dir).groupBy("config", "status").agg(F.count("*").alias("questions"), F.sum("k").alias("supported"), F.sum("n").alias("claims"))

@@ -74,6 +74,20 @@ def write_results(summary: DataFrame, detail: DataFrame, path: str) -> None:
     detail.write.mode("overwrite").json(f"{path}/detail")
 
 
+def read_results(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(summary, detail) as `write_results` wrote them."""
+    return spark.read.json(f"{path}/summary"), spark.read.json(f"{path}/detail")
+
+
+HEAD = ("Config", "Answer rate", "Abstain rate", "Hallucination rate", "Grounded precision")
+
+
+def markdown_table(summary: DataFrame) -> str:
+    """The whole table with its head; a summary has one row a configuration."""
+    lines = [r.line for r in markdown_lines(summary).orderBy("config").collect()]
+    return "\n".join([f"| {' | '.join(HEAD)} |", "|---" * len(HEAD) + "|", *lines])
+
+
 def markdown_lines(summary: DataFrame) -> DataFrame:
     """The summary's rows as lines of a Markdown table (without head)."""
     percent = lambda c: F.when(F.col(c).isNull(), "n/a").otherwise(F.format_string("%.0f%%", F.bround(F.col(c) * 100, 0)))

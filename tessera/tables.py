@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,13 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which the cluster shares; set here only where it is unset.
+    """A new folder below spark.checkpoint.dir, which the cluster shares.
 
-    Its tables are needed as long as the DataFrame that was made from them; a scheduler may delete the folder
+    Where that is unset, a temporary folder takes its place in local mode; on a cluster it is an error, as executors
+    would each write to a disk of their own. Tables are needed as long as the DataFrame that was made from them; a scheduler may delete the folder
     of a finished job.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

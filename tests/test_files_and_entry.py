@@ -8,8 +8,9 @@ import pytest
 
 from tessera.config import Settings
 from tessera.operators import evaluation
-from tessera.plans import fixtures, registry
+from tessera.plans import registry
 from tessera.sources import files
+from tests import fixtures
 
 ROOT = Path(__file__).resolve().parent.parent
 SMALL = Path("/root/testdata/sf0.001")
@@ -40,7 +41,10 @@ def test_results_are_written(spark, tmp_path):
     detail = evaluation.eval_rows(fixtures.results(spark))
     summary = evaluation.eval_summary(detail)
     files.write_results(summary, detail, str(tmp_path))
-    assert spark.read.json(f"{tmp_path}/summary").count() == 4
+    again, rows = files.read_results(spark, str(tmp_path))
+    assert again.count() == 5 and {r.config: r.answer_rate for r in again.collect()}["llm"] == 0.75 and rows.count() == detail.count()
+    table = files.markdown_table(again).splitlines()
+    assert table[0].startswith("| Config | Answer rate |") and set(table[1]) == set("|-") and len(table) == 7 and table[2].startswith("| llm |")
     lines = {r.config: r.line for r in files.markdown_lines(summary).collect()}
     assert lines["llm"] == "| llm | 75% | 50% | 50% | 100% |" and lines["only"] == "| only | n/a | 0% | 100% | n/a |"
 
@@ -77,3 +81,22 @@ def test_the_entry_works_without_the_llm_folders(tmp_path):
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'topk_sparse' in q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "HOME": "/tmp"}, timeout=120)
+
+
+def test_the_entry_works_where_a_package_of_the_llm_operators_is_missing(tmp_path):
+    code = (
+        "import sys, warnings; warnings.simplefilter('ignore'); sys.modules['tokenizers'] = None; import __spark_entry__ as e; q = e.queries(); "
+        "assert 'topk_sparse' in q and not any(n.startswith('op') for n in q) and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, env={"PATH": "/usr/bin:/bin", "HOME": "/tmp"}, timeout=120)
+
+
+def test_work_folders_on_a_cluster_are_shared_ones():
+    from types import SimpleNamespace
+
+    from tessera.tables import work_dir
+
+    conf = SimpleNamespace(get=lambda key, default: default)
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_dir(SimpleNamespace(conf=conf, sparkContext=context), "x")
