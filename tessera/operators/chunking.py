@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.config import DEFAULTS
@@ -10,6 +11,8 @@ from tessera.functions import text as T
 from tessera.tables import stored, work_dir
 
 UNIT = "struct<t:string,k:int>"
+#: Pages (16 bytes each) whose first indexes are sent to all tasks at most.
+BROADCAST_PAGES = 1_000_000
 
 
 def units(text: Column, max_tokens: int) -> Column:
@@ -54,28 +57,49 @@ def chunk_text(text: Column, max_tokens: int = DEFAULTS.chunk_tokens, overlap: i
     return F.aggregate(units(text, max_tokens), start, pack, last)
 
 
+def page_digest() -> Column:
+    return F.conv(F.substring(F.sha1(F.concat_ws(":", F.col("page").cast("string"), "text")), 1, 8), 16, 10).cast("long")
+
+
 def document_keys(pages: DataFrame) -> DataFrame:
-    """source, doc_key: 8 hexadecimal digits over all pages, added up so that no task needs all pages of a source."""
-    one = F.conv(F.substring(F.sha1(F.concat_ws(":", F.col("page").cast("string"), "text")), 1, 8), 16, 10).cast("long")
-    return pages.groupBy("source").agg(F.sum(one).alias("s"), F.count("*").alias("n")).select(
+    """source, doc_key: 8 hexadecimal digits over the digests of all pages, added up so that no task needs a whole source."""
+    pages = pages if "digest" in pages.columns else pages.withColumn("digest", page_digest())
+    return pages.groupBy("source").agg(F.sum("digest").alias("s"), F.count("*").alias("n")).select(
         "source", F.substring(F.sha1(F.concat_ws(":", "source", F.col("n").cast("string"), F.col("s").cast("string"))), 1, 8).alias("doc_key")
     )
 
 
+def first_indexes(pages: DataFrame, folder: str) -> DataFrame:
+    """row, first: the chunks of a source before each page. pages: row, source, page, n.
+
+    Pages are dealt out in order, so a running sum needs its own part, and the sums of the parts before it.
+    """
+    dealt = pages.select("row", "source", "page", "n").repartitionByRange("source", "page", "row").withColumn("part", F.spark_partition_id())
+    dealt = stored(dealt, folder, "dealt")
+    before = lambda by: by.rowsBetween(W.unboundedPreceding, -1)
+    totals = dealt.groupBy("source", "part").agg(F.sum("n").alias("total"))  # a row for each part and its sources
+    bases = totals.select("source", "part", F.coalesce(F.sum("total").over(before(W.partitionBy("source").orderBy("part"))), F.lit(0)).alias("base"))
+    own = F.coalesce(F.sum("n").over(before(W.partitionBy("source", "part").orderBy("page", "row"))), F.lit(0)).alias("own")
+    return dealt.select("row", "source", "part", own).join(bases, ["source", "part"]).select("row", (F.col("base") + F.col("own")).alias("first"))
+
+
 def chunk_pages(pages: DataFrame, max_tokens: int = DEFAULTS.chunk_tokens, overlap: int = DEFAULTS.overlap_tokens) -> DataFrame:
     """id, text, page, source, index of all chunks; pages: source, page, text.
 
-    The index runs over a source's pages: a window over the pages' chunk counts gives each page its first index, and
-    only these counts, not the texts, are ordered. Packing is the costly step, so its result is written once.
+    The index runs over a source's pages. Packing is the costly step, so its result is written once, a row a page with
+    its chunks; only the pages' chunk counts are put in order. Up to `BROADCAST_PAGES` of them go to all tasks, so that
+    no text is shuffled; beyond that pages are joined to theirs.
     """
     folder = work_dir(pages.sparkSession, "chunks")
-    rows = pages.select("source", "page", F.posexplode(chunk_text(F.col("text"), max_tokens, overlap)).alias("pos", "text"))
-    rows = stored(rows, folder, "pieces")
-    counts = rows.groupBy("source", "page").agg(F.count("*").alias("n"))
-    first = counts.selectExpr("source", "page", "coalesce(sum(n) over (partition by source order by page rows between unbounded preceding and 1 preceding), 0) as first")
-    numbered = rows.join(first, ["source", "page"]).join(document_keys(pages), "source")
+    packed = pages.select("source", "page", chunk_text(F.col("text"), max_tokens, overlap).alias("chunks"), page_digest().alias("digest"))
+    packed = stored(packed.select(F.monotonically_increasing_id().alias("row"), "*", F.coalesce(F.size("chunks"), F.lit(0)).alias("n")), folder, "pages")
+    first = first_indexes(packed, folder)
+    keys = document_keys(packed)
+    if packed.count() <= BROADCAST_PAGES:
+        first, keys = F.broadcast(first), F.broadcast(keys)  # a page has one source
+    rows = packed.join(first, "row").join(keys, "source").select("doc_key", "first", "page", "source", F.posexplode("chunks").alias("pos", "text"))
     index = F.col("first") + F.col("pos")
-    chunks = numbered.select(F.concat_ws(":", "doc_key", index.cast("string")).alias("id"), "text", "page", "source", index.cast("long").alias("index"))
+    chunks = rows.select(F.concat_ws(":", "doc_key", index.cast("string")).alias("id"), "text", "page", "source", index.cast("long").alias("index"))
     return stored(chunks, folder, "chunks")
 
 

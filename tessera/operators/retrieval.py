@@ -2,13 +2,15 @@
 
 Each task scores its rows against one block of questions with a matrix product and hands on its own best k for each
 question, so what is shuffled grows with tasks * questions * k and not with rows * questions. Zero and negative scores
-count, so every question gets min(k, n) rows. Blocks are cut by `BLOCK_QUESTIONS` and read one after the other, so a
-question set of any size is never in memory as a whole.
+count, so every question gets min(k, n) rows. Blocks are cut by `BLOCK_QUESTIONS`; where there are several, each is a job
+of its own whose candidates are written, so a question set of any size is never in memory as a whole. A task keeps a
+running best k and never the candidates of all its rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -18,20 +20,21 @@ from pyspark.sql import functions as F
 
 from tessera.config import DEFAULTS
 from tessera.operators.embedding import dense, signed_buckets
+from tessera.tables import stored, work_dir
 
 BLOCK_QUESTIONS = 2000
 #: Rows scored at once by a task.
 ROWS = 2048
 DIGITS = 9
+#: A task cuts its candidates to the best when it holds so many times as many.
+KEPT = 8
 
 
-def blocks(rows: DataFrame, key: str, size: int) -> Iterator[list]:
-    """The rows in blocks of about `size`, by a hash of the key; an empty table is one empty block."""
-    n = rows.count()
-    shares = -(-n // size) or 1
-    for k in range(shares):
-        share = rows if shares == 1 else rows.where(F.pmod(F.xxhash64(key), F.lit(shares)) == k)
-        yield share.collect()
+def blocks(rows: DataFrame, key: str, size: int) -> tuple[int, Iterator[list]]:
+    """The number of blocks of about `size` rows, by a hash of the key, and the blocks; an empty table is one empty block."""
+    shares = -(-rows.count() // size) or 1
+    pick = lambda k: rows if shares == 1 else rows.where(F.pmod(F.xxhash64(key), F.lit(shares)) == k)
+    return shares, (pick(k).collect() for k in range(shares))
 
 
 def best_of(scores: np.ndarray, k: int) -> np.ndarray:
@@ -53,37 +56,40 @@ def scored(rows: DataFrame, key: str, vectors, questions: list[tuple], qid: str,
     kind = rows.schema[key].dataType.simpleString()
     ids = [q[0] for q in questions]
 
+    def best(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["q", "score", key], ascending=[True, False, True])
+        return frame.groupby("q", sort=False).head(k)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held_q: list = []
-        held_key: list = []
-        held_score: list = []
+        held: list[pd.DataFrame] = []
+        size = 0
         for batch in batches:
             for at in range(0, len(batch), ROWS):
                 part = batch.iloc[at : at + ROWS].sort_values(key)
                 s = np.round(score(vectors(part)), DIGITS)  # questions x rows
                 q, r = np.nonzero(best_of(s, k))
-                held_q.append(q)
-                held_key.append(part[key].to_numpy()[r])
-                held_score.append(s[q, r])
-        if not held_q:
-            return
-        q, key_, s = np.concatenate(held_q), np.concatenate(held_key), np.concatenate(held_score)
-        frame = pd.DataFrame({"q": q, key: key_, "score": s}).sort_values(["q", "score", key], ascending=[True, False, True])
-        frame = frame.groupby("q", sort=False).head(k)
-        frame.insert(0, qid, [ids[i] for i in frame["q"]])
-        yield frame[[qid, key, "score"]]
+                held.append(pd.DataFrame({"q": q, key: part[key].to_numpy()[r], "score": s[q, r]}))
+                size += len(q)
+                if size > KEPT * k * len(ids):
+                    held = [best(pd.concat(held))]
+                    size = len(held[0])
+        if held:
+            frame = best(pd.concat(held))
+            frame.insert(0, qid, [ids[i] for i in frame["q"]])
+            yield frame[[qid, key, "score"]]
 
     return rows.mapInPandas(run, f"{qid} {qkind}, {key} {kind}, score double")
 
 
 def top_k(rows: DataFrame, key: str, questions: DataFrame, qid: str, k: int, vectors, prepare, score_of) -> DataFrame:
     qkind = questions.schema[qid].dataType.simpleString()
-    found = None
-    for block in blocks(questions, qid, BLOCK_QUESTIONS):
-        prepared = prepare(block)
-        part = scored(rows, key, vectors, [(r[qid],) for r in block], qid, qkind, score_of(prepared), k)
-        found = part if found is None else found.union(part)
-    return ranked(found, qid, key, k).select(qid, "rank", key, "score")
+    shares, parts = blocks(questions, qid, BLOCK_QUESTIONS)
+    folder = work_dir(rows.sparkSession, "top-k") if shares > 1 else ""
+    found = []
+    for n, block in enumerate(parts):
+        part = scored(rows, key, vectors, [(r[qid],) for r in block], qid, qkind, score_of(prepare(block)), k)
+        found.append(stored(part, folder, f"block-{n}") if shares > 1 else part)
+    return ranked(reduce(DataFrame.union, found), qid, key, k).select(qid, "rank", key, "score")
 
 
 def top_k_hashed(
