@@ -50,6 +50,30 @@ def verify_by_entailment(qid: str, load=None, threshold: float = DEFAULTS.nli_th
     return verify
 
 
+def drafted(questions: DataFrame, gate: DataFrame, retrieved: DataFrame, qid: str, generate: Generate) -> DataFrame:
+    """qid, draft of the questions that pass the gate, written once: replies cost calls."""
+    passed = questions.join(gate.where("passed").select(qid), qid)
+    prompts = generation.prompts(passed, retrieval.context(retrieved, qid), qid)
+    return stored(generate(prompts).select(qid, T.clean_answer(F.col("reply")).alias("draft")), work_dir(questions.sparkSession, "ask"), "drafts")
+
+
+def judged(questions: DataFrame, gate: DataFrame, drafts: DataFrame, retrieved: DataFrame, qid: str, verify: Verify | None = None) -> tuple[DataFrame, DataFrame]:
+    """(answers, verdicts) as from `ask`."""
+    spark = questions.sparkSession
+    rows = questions.join(gate, qid).join(drafts, qid, "left").withColumn("verified", F.lit(verify is not None))
+    if verify:
+        folder = work_dir(spark, "ask")
+        verdicts, errors = verify(drafts.where(~T.is_not_found(F.coalesce("draft", F.lit("")))), retrieved)
+        verdicts, errors = stored(verdicts, folder, "verdicts"), stored(errors, folder, "errors")
+        rows = rows.join(verification.support(verdicts, qid).select(qid, "k", "n"), qid, "left").join(errors, qid, "left")
+    else:
+        verdicts = spark.createDataFrame([], "qid string, claim_no int, claim string, supported boolean, source_rank int, quote string, score double, reason string")
+        verdicts = verdicts.select(F.col("qid").cast(questions.schema[qid].dataType).alias(qid), *verdicts.columns[1:])
+        rows = rows.selectExpr("*", "cast(null as bigint) as k", "cast(null as bigint) as n", "cast(null as string) as verify_error")
+    answers = decision.decided(rows)
+    return answers.select(qid, "question", "best", "status", "answer", "draft", "abstained", "k", "n", "verify_error"), verdicts
+
+
 def ask(
     questions: DataFrame, retrieved: DataFrame, qid: str, generate: Generate, verify: Verify | None = None, least: float = DEFAULTS.min_similarity,
     timings: dict[str, float] | None = None,
@@ -59,37 +83,24 @@ def ask(
     Answers: qid, question, best, status, answer, draft, abstained, k, n, verify_error, one row a question. Where a
     map is given, it takes the seconds of each stage.
     """
-    spark = questions.sparkSession
-    folder = work_dir(spark, "ask")
-    clock = time.perf_counter
     took: dict[str, float] = {}
-    began = clock()
-    gated = stored(retrieval.similarity_gate(questions, retrieved, qid, least), folder, "gate")
-    took["retrieve"] = clock() - began
-    began = clock()
-    passed = questions.join(gated.where("passed").select(qid), qid)
-    prompts = generation.prompts(passed, retrieval.context(retrieved, qid), qid)
-    drafts = stored(generate(prompts).select(qid, T.clean_answer(F.col("reply")).alias("draft")), folder, "drafts")
-    took["generate"] = clock() - began
-    verdicts, errors = None, None
-    if verify:
-        began = clock()
-        said = drafts.where(~T.is_not_found(F.coalesce("draft", F.lit(""))))
-        verdicts, errors = verify(said, retrieved)
-        verdicts, errors = stored(verdicts, folder, "verdicts"), stored(errors, folder, "errors")
-        took["verify"] = clock() - began
-    else:
-        verdicts = spark.createDataFrame([], "qid string, claim_no int, claim string, supported boolean, source_rank int, quote string, score double, reason string")
-        verdicts = verdicts.withColumnRenamed("qid", qid)
+
+    def timed(stage: str, make):
+        began = time.perf_counter()
+        made = make()
+        took[stage] = time.perf_counter() - began
+        return made
+
+    gate = timed("retrieve", lambda: gated(questions, retrieved, qid, least))
+    drafts = timed("generate", lambda: drafted(questions, gate, retrieved, qid, generate))
+    found = timed("verify", lambda: judged(questions, gate, drafts, retrieved, qid, verify))
     if timings is not None:
-        timings |= took
-    rows = questions.join(gated, qid).join(drafts, qid, "left").withColumn("verified", F.lit(verify is not None))
-    if errors is None:
-        rows = rows.selectExpr("*", "cast(null as bigint) as k", "cast(null as bigint) as n", "cast(null as string) as verify_error")
-    else:
-        rows = rows.join(verification.support(verdicts, qid).select(qid, "k", "n"), qid, "left").join(errors, qid, "left")
-    out = decision.decided(rows)
-    return out.select(qid, "question", "best", "status", "answer", "draft", "abstained", "k", "n", "verify_error"), verdicts
+        timings |= took if verify else {k: took[k] for k in ("retrieve", "generate")}
+    return found
+
+
+def gated(questions: DataFrame, retrieved: DataFrame, qid: str, least: float) -> DataFrame:
+    return stored(retrieval.similarity_gate(questions, retrieved, qid, least), work_dir(questions.sparkSession, "ask"), "gate")
 
 
 def sources_with_quotes(retrieved: DataFrame, verdicts: DataFrame, qid: str) -> DataFrame:
@@ -102,13 +113,16 @@ def sources_with_quotes(retrieved: DataFrame, verdicts: DataFrame, qid: str) ->
 def run_configurations(
     questions: DataFrame, retrieved: DataFrame, qid: str, generate: Callable[[bool], Generate], verifiers: dict[str, Verify], least: float = DEFAULTS.min_similarity
 ) -> DataFrame:
-    """The answers of every question under each of the five configurations, with the column config first.
+    """The answers of every question under each of the five configurations, with the column config first. Gate and drafts
+    are made once for all configurations that share them.
 
     generate: whether the prompt is the naive one -> a generator; verifiers: by the names that CONFIGS uses.
     """
+    gate = gated(questions, retrieved, qid, least)
+    drafts = {naive: drafted(questions, gate, retrieved, qid, generate(naive)) for naive in {n for *_, n in evaluation.CONFIGS}}
     runs: list[DataFrame] = []
     for config, verifier, naive in evaluation.CONFIGS:
-        found, _ = ask(questions, retrieved, qid, generate(naive), verifiers[verifier] if verifier else None, least)
+        found, _ = judged(questions, gate, drafts[naive], retrieved, qid, verifiers[verifier] if verifier else None)
         name: Column = F.lit(config).alias("config")
         runs.append(found.select(name, *found.columns))
     return reduce(DataFrame.union, runs)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.functions.nfkc import nfkc
+from tessera.functions.nfkc import with_nfkc
 from tessera.operators.decision import SHOWN
 
 #: configuration, verifier (null: off), naive prompt
@@ -20,12 +20,10 @@ def configured(questions: DataFrame) -> DataFrame:
 
 
 def folded(results: DataFrame) -> DataFrame:
-    """results with own and wanted, the answer and what it must hold, in Unicode form NFKC; ASCII rows pass as they are."""
-    both = F.concat_ws(" ", "answer", F.array_join("expect", " "))
-    rows = results.withColumn("foreign", both.rlike(r"[^\x00-\x7F]"))
-    plain = rows.where(~F.col("foreign")).select("*", F.col("answer").alias("own"), F.col("expect").alias("wanted"))
-    wanted = F.when(F.size("expect") > 0, F.split(nfkc(F.array_join("expect", "\x1f")), "\x1f")).otherwise(F.col("expect"))
-    return plain.union(rows.where("foreign").select("*", nfkc(F.col("answer")).alias("own"), wanted.alias("wanted"))).drop("foreign")
+    """results with own and wanted, the answer and what it must hold, in Unicode form NFKC."""
+    rows = with_nfkc(results, own=F.col("answer"), joined=F.array_join("expect", "\x1f"))
+    wanted = F.when(F.size("expect") > 0, F.split("joined", "\x1f")).otherwise(F.col("expect"))
+    return rows.withColumn("wanted", wanted)
 
 
 def eval_rows(results: DataFrame) -> DataFrame:

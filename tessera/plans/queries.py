@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import render
 from tessera.functions import text as T
-from tessera.functions.nfkc import nfkc
+from tessera.functions.nfkc import with_nfkc
 from tessera.operators import asking, chunking, embedding, evaluation, generation, retrieval, verification
 from tessera.sources import files
 from tessera.tables import stored, work_dir
@@ -63,7 +63,7 @@ def split_claims(spark, sf_dir):
 
 def nfkc_text(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
-    return turns.select("conv_id", "turn", nfkc(F.col("text")).alias("folded"))
+    return with_nfkc(turns, folded=F.col("text")).select("conv_id", "turn", "folded")
 
 
 def chunks_of(spark, sf_dir) -> DataFrame:

@@ -37,6 +37,52 @@ def test_pages_of_blocks(spark):
     assert [(p.page, p.text) for p in pages] == [(1, "Title\n\nBody of it ends."), (3, "x")]
 
 
+FAKE_READER = '''
+class open:
+    """Stands in for the PDF reader: pages between form feeds, blocks between blank lines; the last field is the kind."""
+    def __init__(self, stream, filetype):
+        assert filetype == "pdf"
+        self.pages = bytes(stream).decode().split("\\f")
+    def __enter__(self):
+        return iter([self.Page(p) for p in self.pages])
+    def __exit__(self, *_):
+        pass
+    class Page:
+        def __init__(self, text):
+            self.text = text
+        def get_text(self, kind, sort):
+            assert kind == "blocks" and sort
+            return [(0, 0, 0, 0, b, i, 0) for i, b in enumerate(self.text.split("\\n\\n"))] + [(0, 0, 0, 0, "a picture", 99, 1)]
+'''
+
+
+def test_pdf_files_to_chunks(spark, tmp_path):
+    from tessera.operators import chunking
+    from tessera.sources import sample
+
+    (tmp_path / "fitz.py").write_text(FAKE_READER)
+    spark.sparkContext.addPyFile(str(tmp_path / "fitz.py"))
+    for name, raw in (("a.pdf", "Lamps\n\nLamps burn oil at night and are put out by day.\f \fOars break."), ("b.pdf", "Only one page.")):
+        (tmp_path / name).write_text(raw)
+    pages = sample.pages_or_sample(spark, f"{tmp_path}/*.pdf")
+    found = sorted((p.source, p.page, p.text) for p in pages.collect())
+    assert found == [("a.pdf", 1, "Lamps\n\nLamps burn oil at night and are put out by day."), ("a.pdf", 3, "Oars break."), ("b.pdf", 1, "Only one page.")]
+    chunks = chunking.chunk_pages(pages)
+    assert sorted((c["source"], c["page"], c["index"]) for c in chunks.collect()) == [("a.pdf", 1, 0), ("a.pdf", 3, 1), ("b.pdf", 1, 0)]
+    assert {r.source: r.n_chunks for r in chunking.document_registry(chunks).collect()} == {"a.pdf": 2, "b.pdf": 1}
+
+
+def test_the_sample_answers_questions(spark):
+    from tessera.operators import chunking, retrieval
+    from tessera.sources import sample
+
+    chunks = chunking.chunk_pages(sample.pages_or_sample(spark))
+    asked = {1: "How many litres of oil does a lamp hold?", 2: "How many oars does a boat have?", 4: "What do larger ships pay a night?"}
+    questions = spark.createDataFrame(list(asked.items()), "page long, text string")
+    found = retrieval.top_k_hashed(chunks, "id", questions.withColumnRenamed("page", "qid"), "qid", 1).join(chunks, "id")
+    assert {r.qid: r.page for r in found.collect()} == {k: k for k in asked}
+
+
 def test_results_are_written(spark, tmp_path):
     detail = evaluation.eval_rows(fixtures.results(spark))
     summary = evaluation.eval_summary(detail)

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.functions.nfkc import nfkc
+from tessera.functions.nfkc import nfkc, with_nfkc
 
 ALPHABET = st.text(alphabet="aB1. !?\n\"'([-:,  é[]", max_size=60)
 
@@ -119,3 +119,11 @@ def test_scorer(spark):
 def test_nfkc(spark):
     odd = ["ﬁne ２", "é", "plain"]
     assert values(spark, nfkc, odd) == [unicodedata.normalize("NFKC", t) for t in odd]
+
+
+def test_nfkc_of_every_code_point_that_it_changes(spark):
+    changed = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.normalize("NFKC", chr(c)) != chr(c)]
+    texts = [f"a{c}b" for c in changed] + ["plain", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    found = {r.i: r.x for r in with_nfkc(df, x=F.col("t")).collect()}
+    assert found == {i: t and unicodedata.normalize("NFKC", t) for i, t in enumerate(texts)}
