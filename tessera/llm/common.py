@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.tables import stored, work_dir  # noqa: F401  used by the operators from here
+from tessera.tables import deleted, stored, work_dir  # noqa: F401  used by the operators from here
 
 #: Bytes A-Z to lower case, every byte outside [0-9a-z] and the UTF-8 bytes of non-ASCII characters to a space:
 #: after it, ``split()`` gives the words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of the lower-cased text.
@@ -96,17 +97,14 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
 
 
 def freed(spark: SparkSession) -> None:
-    """Have Spark remove the shuffle files that no plan needs any more: it does so as the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Have Spark remove the shuffle files that no plan needs any more: it does so as the driver's garbage is collected.
 
-
-def deleted(spark: SparkSession, folder: str, *names: str) -> None:
-    """Delete work tables that what was written since makes needless."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for name in names:
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-        path.getFileSystem(conf).delete(path, True)
+    Once is not enough, as Python tells the JVM in its own time which plans it has let go of.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def keep_ids(docs: DataFrame, ids: DataFrame, how: str, bound: int = 2_000_000) -> DataFrame:
