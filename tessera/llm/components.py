@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import split_join, stored
+from tessera.llm.common import deleted, split_join, stored
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -41,6 +41,7 @@ def components(edges: DataFrame, folder: str, name: str, most_rounds: int = 60)
         if not mark[0]:
             break
         now = stored(_small_star(_large_star(now)), folder, f"{name}-{k}")
+        deleted(edges.sparkSession, folder, f"{name}-{k - 1}")
         if (after := _mark(now)) == mark:
             break
         mark = after

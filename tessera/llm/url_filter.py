@@ -18,7 +18,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import split_join, stored, work_dir
+from tessera.llm.common import deleted, split_join, stored, work_dir
 
 #: verdict, host, start of the path. Evaluated for every page, so meant for some hundred rules.
 RULES = (
@@ -107,6 +107,7 @@ def propagated(edges: DataFrame, seeds: DataFrame, folder: str, rounds: int = RO
             rank = stored(rank, folder, f"rank-{k}")
             if k >= rounds and settled(before, rank):
                 break
+            deleted(start.sparkSession, folder, f"rank-{k - ROUNDS_PER_TABLE}")
             before = rank
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0))
     return rank.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust"))

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import open_fs, shuffle_partitions, stored, work_dir
+from tessera.llm.common import deleted, open_fs, shuffle_partitions, split_join, stored, work_dir
 
 DEDUP_BYTES = 1000
 FILE_BYTES = 64_000_000
@@ -53,7 +53,7 @@ def with_record_types(pages: DataFrame) -> DataFrame:
     large = rows.where(F.col("size") >= DEDUP_BYTES).select("digest", "page_id")
     groups = large.groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("digest", "last")
     few = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
-    joined = rows.join(F.broadcast(groups) if few else groups, "digest", "left")
+    joined = rows.join(F.broadcast(groups), "digest", "left") if few else split_join(rows, groups, ["digest"], "left")
     revisit = F.col("last").isNotNull() & (F.coalesce(F.col("page_id") < F.col("last"), F.lit(True)))
     return joined.select(
         "page_id", "url", "html", "digest", "size", F.when(revisit, "revisit").otherwise("response").alias("record_type"),
@@ -220,12 +220,14 @@ def chain_entries(candidates: DataFrame, folder: str) -> DataFrame:
         k += 1
         reached = stored(reached.union(step).distinct(), folder, f"reached-{k}")
         now = reached.count()
+        deleted(candidates.sparkSession, folder, f"reached-{k - 1}")
         if now == known:
             return reached
         known = now
         onward = jumps.select("file", F.col("at").alias("to"), F.col("to").alias("further"))
         jumps = jumps.join(onward, ["file", "to"], "left").select("file", "at", F.coalesce("further", "to").alias("to"))
         jumps = stored(jumps, folder, f"jumps-{k}")
+        deleted(candidates.sparkSession, folder, f"jumps-{k - 1}")
 
 
 def reachable(folder: str):

@@ -35,3 +35,11 @@ def test_deleted_tables_are_gone(spark, tmp_path):
     common.deleted(spark, folder, "a", "never")
     common.freed(spark)
     assert not (tmp_path / "a").exists() and (tmp_path / "b").exists()
+
+
+def test_ids_are_kept_or_dropped_on_both_sides_of_the_bound(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d")], "doc_id long, text string")
+    ids = spark.createDataFrame([(2,), (9,)], "doc_id long")
+    for bound in (2, 1):
+        assert sorted(r.text for r in common.keep_ids(docs, ids, "left_anti", bound).collect()) == ["a", "d"]
+        assert sorted(r.text for r in common.keep_ids(docs, ids, "left_semi", bound).collect()) == ["b", "c"]

@@ -53,5 +53,11 @@ def test_a_text_of_a_third_of_all_rows(spark, monkeypatch):
     assert "split_by" in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_more_digests_than_are_broadcast(docs, rows, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    found = exact_dedup.exact_duplicates(docs).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in found) == expected(rows)
+
+
 def test_empty_table(no_docs):
     assert exact_dedup.exact_duplicates(no_docs).collect() == []

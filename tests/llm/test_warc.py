@@ -64,3 +64,23 @@ def test_a_url_longer_than_the_window(spark, split_bytes):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
     found = warc.warc_round_trip(df, None, 500_000, split_bytes).collect()
     assert Counter(tuple(r) for r in found) == expected(rows)
+
+
+def test_more_groups_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BROADCAST_GROUPS", 0)
+    df = spark.createDataFrame(pages(), "page_id long, url string, html string").repartition(3)
+    assert Counter(tuple(r) for r in warc.warc_round_trip(df).collect()) == expected(pages())
+
+
+def test_payloads_of_false_headers_are_not_read(tmp_path):
+    """Very many headers in one payload, each with a length that fits the file: offsets alone are collected."""
+    import io
+    import time
+
+    inner = b"".join(warc.record("response", [("X-Page-Id", i), ("WARC-Payload-Digest", "sha1:0")], b"x" * 40) for i in range(20_000))
+    page = {"page_id": 1, "url": "u", "html": inner, "digest": hashlib.sha1(inner).hexdigest(), "size": len(inner), "record_type": "response", "refers_to": None}
+    raw = warc.page_record(page) + b" " * 9_000_000
+    began = time.process_time()
+    offsets, successors = warc.split_candidates(io.BytesIO(raw), len(raw), 0, len(raw))
+    assert len(offsets) == 20_001 and time.process_time() - began < 5
+    assert warc.page_of(io.BytesIO(raw), offsets[0], successors[0], len(raw))["payload_digest"] == page["digest"]
