@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import (
     decontaminate,
     exact_dedup,
+    filter_audit,
     language_id,
     licenses,
     mixing,
     ngram_join,
+    token_counts,
     token_files,
     toxicity,
     url_filter,
     warc,
+    whitening,
 )
 
 END_ID = 2
@@ -74,9 +77,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op6_ngram_join": ngram_join.ORACLE, "op8_decontaminate": decontaminate.ORACLE, "op9_warc": warc.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op6_ngram_join": ngram_join.ORACLE, "op8_decontaminate": decontaminate.ORACLE, "op9_warc": warc.ORACLE, "op13_filter_audit": filter_audit.ORACLE}
