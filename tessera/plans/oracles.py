@@ -257,6 +257,14 @@ def marked(x: str) -> str:
     return f"list_transform([{swept}], lambda d: d.h || {html_escape(f'substr({x}, d.e + 1)')})[1]"
 
 
+def joined(blocks: str) -> str:
+    short = f"(len({words('string_split(o, chr(10))[-1]', 'w')}) < 8 AND NOT regexp_matches(o, '[.!?:,;]$'))"
+    return f"""list_reduce(list_filter(list_transform({blocks}, lambda b: {clean('b')}), lambda f: f <> ''),
+      lambda o, b: CASE WHEN o = '' THEN b WHEN {short} OR regexp_matches(o, '[.!?]$') THEN o || chr(10) || chr(10) || b ELSE o || ' ' || b END, '')"""
+
+
+PARAGRAPHS = f"regexp_split_to_array(text, '\\n{SPACE}*\\n')"
+
 ORACLES: dict[str, str] = {
     "approx_tokens": f"SELECT doc_id, {tokens('text', 'w')} AS tokens FROM documents",
     "clean_block": f"SELECT doc_id, {clean('text')} AS cleaned FROM documents",
@@ -329,5 +337,6 @@ ORACLES: dict[str, str] = {
       {PERCENT.format('hallucination_rate')}, {PERCENT.format('grounded_precision')}) || ' |' AS line FROM summary""",
     "status_pivot": f"""{RESULTS} SELECT config, {', '.join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ('grounded', 'partial', 'ungrounded', 'not_found', 'unverified', 'unchecked'))}
       FROM results GROUP BY config""",
+    "pdf_round_trip": f"SELECT doc_id, text FROM (SELECT doc_id, {joined(PARAGRAPHS)} AS text FROM documents) WHERE text <> ''",
     "config_ablation": f"{RUNS} SELECT config, status, count(*) AS questions, sum(k) AS supported, sum(n) AS claims FROM runs GROUP BY ALL",
 }

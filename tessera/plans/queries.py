@@ -10,7 +10,8 @@ from tessera.functions import render
 from tessera.functions import text as T
 from tessera.functions.nfkc import with_nfkc
 from tessera.operators import asking, chunking, embedding, evaluation, generation, retrieval, verification
-from tessera.sources import files
+from tessera.operators.graph_index import GraphIndex, recall
+from tessera.sources import files, pdf
 from tessera.tables import stored, work_dir
 
 
@@ -56,6 +57,14 @@ def is_not_found(spark, sf_dir):
     return turns.select("conv_id", "turn", T.is_not_found(F.col("t")).alias("not_found"))
 
 
+def pdf_round_trip(spark, sf_dir):
+    """All documents written as PDF files, a page each, and read back from ranges of pages."""
+    path = f"{work_dir(spark, 'pdf')}/files"
+    pdf.write_pdf(files.pages_of_documents(table(spark, sf_dir, "documents")), path)
+    found = pdf.read_pdf(spark, path, rangeBytes=1 << 20).withColumn("page", F.col("label").cast("long"))
+    return files.pages_of_blocks(found).select(F.col("page").alias("doc_id"), "text")
+
+
 def split_claims(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     return turns.select("conv_id", "turn", F.posexplode(T.split_claims(F.concat("text", F.lit(" So it is said [4].")))).alias("pos", "claim"))
@@ -122,6 +131,25 @@ def topk_dense(spark, sf_dir):
     return found.select("qid", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
+def indexed_of(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Embeddings, every hundredth of them as questions, and what a written index, reopened, finds for these."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "qid")
+    path = f"{work_dir(spark, 'graph-index')}/index"
+    GraphIndex.build(rows, "vec_id", path)
+    return rows, asked, GraphIndex.open(spark, path).search(asked, "qid")
+
+
+def topk_graph(spark, sf_dir):
+    found = indexed_of(spark, sf_dir)[2]
+    return found.select("qid", "rank", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+def graph_recall(spark, sf_dir):
+    rows, asked, found = indexed_of(spark, sf_dir)
+    return recall(found, retrieval.top_k_dense(rows, "vec_id", asked, "qid"), "qid", "vec_id")
+
+
 def build_context(spark, sf_dir):
     return retrieval.context(retrieved_of(spark, sf_dir), "item_id")
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.plans import queries as Q
 from tessera.plans.oracles import ORACLES
 
-#: Registered without SQL: Unicode folding has no SQL form; see the tests.
-WITHOUT_SQL = ("nfkc_text",)
+#: Registered without SQL: Unicode folding and approximate search have no SQL form; see the tests.
+WITHOUT_SQL = ("nfkc_text", "topk_graph", "graph_recall")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.sources import pdf
 
 PAGES = "source string, page long, text string"
 QUESTION_SET = (
@@ -28,8 +29,14 @@ def pages_of_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.select("source", "page", text.alias("text")).where("text <> ''")
 
 
-def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of all PDF files that a path or glob names; needs PyMuPDF on the executors."""
+def pdf_pages(spark: SparkSession, path: str, reader: str = "own", **options) -> DataFrame:
+    """Pages of all PDF files that a path, folder or pattern names, by the package's own reader (see `pdf`), or with
+    reader='fitz' by PyMuPDF, which the executors need then; it reads a file whole."""
+    blocks = pdf.read_pdf(spark, path, **options) if reader == "own" else fitz_blocks(spark, path)
+    return pages_of_blocks(blocks)
+
+
+def fitz_blocks(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("source"), "content")
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -38,13 +45,13 @@ def pdf_pages(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             rows = []
             for source, content in zip(batch["source"], batch["content"], strict=True):
-                with fitz.open(stream=content, filetype="pdf") as pdf:
-                    for number, page in enumerate(pdf, start=1):
+                with fitz.open(stream=content, filetype="pdf") as opened:
+                    for number, page in enumerate(opened, start=1):
                         texts = [b[4] for b in page.get_text("blocks", sort=True) if b[6] == 0]
                         rows.append((source, number, texts))
             yield pd.DataFrame(rows, columns=["source", "page", "blocks"])
 
-    return pages_of_blocks(files.mapInPandas(blocks, "source string, page long, blocks array<string>"))
+    return files.mapInPandas(blocks, "source string, page long, blocks array<string>")
 
 
 def question_set(spark: SparkSession, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.sources import files
+from tessera.sources import files, pdf
 
 NAME = "harbour.pdf"
 PAGES = (
@@ -20,6 +20,12 @@ def sample_pages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(NAME, n, text) for n, text in enumerate(PAGES, start=1)], files.PAGES)
 
 
-def pages_or_sample(spark: SparkSession, path: str | None = None) -> DataFrame:
+def write_sample(spark: SparkSession, path: str) -> None:
+    """The sample as a PDF file below a folder: a title, text and a footer on each page."""
+    rows = [(NAME, n, *text.split("\n\n", 1)[::-1], f"Harbour rules, page {n}") for n, text in enumerate(PAGES, start=1)]
+    pdf.write_pdf(spark.createDataFrame(rows, "source string, page long, text string, title string, footer string").coalesce(1), path)
+
+
+def pages_or_sample(spark: SparkSession, path: str | None = None, **options) -> DataFrame:
     """The pages of the files that a path or glob names, or of the sample where none is named."""
-    return files.pdf_pages(spark, path) if path else sample_pages(spark)
+    return files.pdf_pages(spark, path, **options) if path else sample_pages(spark)

@@ -64,7 +64,7 @@ def test_pdf_files_to_chunks(spark, tmp_path):
     spark.sparkContext.addPyFile(str(tmp_path / "fitz.py"))
     for name, raw in (("a.pdf", "Lamps\n\nLamps burn oil at night and are put out by day.\f \fOars break."), ("b.pdf", "Only one page.")):
         (tmp_path / name).write_text(raw)
-    pages = sample.pages_or_sample(spark, f"{tmp_path}/*.pdf")
+    pages = sample.pages_or_sample(spark, f"{tmp_path}/*.pdf", reader="fitz")
     found = sorted((p.source, p.page, p.text) for p in pages.collect())
     assert found == [("a.pdf", 1, "Lamps\n\nLamps burn oil at night and are put out by day."), ("a.pdf", 3, "Oars break."), ("b.pdf", 1, "Only one page.")]
     chunks = chunking.chunk_pages(pages)
