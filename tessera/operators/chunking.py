@@ -81,9 +81,12 @@ def page_digest() -> Column:
 def document_keys(pages: DataFrame) -> DataFrame:
     """source, doc_key: 8 hexadecimal digits over the digests of all pages, added up so that no task needs a whole source."""
     pages = pages if "digest" in pages.columns else pages.withColumn("digest", page_digest())
-    return pages.groupBy("source").agg(F.sum("digest").alias("s"), F.count("*").alias("n")).select(
-        "source", F.substring(F.sha1(F.concat_ws(":", "source", F.col("n").cast("string"), F.col("s").cast("string"))), 1, 8).alias("doc_key")
-    )
+    return pages.groupBy("source").agg(F.sum("digest").alias("s"), F.count("*").alias("n")).select("source", document_key("n", "s").alias("doc_key"))
+
+
+def document_key(pages: str, digests: str) -> Column:
+    """From the number of a source's pages and the sum of their digests."""
+    return F.substring(F.sha1(F.concat_ws(":", "source", F.col(pages).cast("string"), F.col(digests).cast("string"))), 1, 8)
 
 
 def first_indexes(pages: DataFrame, folder: str) -> DataFrame:
@@ -108,18 +111,27 @@ def chunk_pages(pages: DataFrame, max_tokens: int = DEFAULTS.chunk_tokens, overl
     no text is shuffled; beyond that pages are joined to theirs.
     """
     folder = work_dir(pages.sparkSession, "chunks")
-    packed = pages.select("source", "page", chunk_text(F.col("text"), max_tokens, overlap).alias("chunks"), page_digest().alias("digest"))
-    packed = stored(packed.select(F.monotonically_increasing_id().alias("row"), "*", F.coalesce(F.size("chunks"), F.lit(0)).alias("n")), folder, "pages")
+    packed = stored(packed_pages(pages, max_tokens, overlap).select(F.monotonically_increasing_id().alias("row"), "*"), folder, "pages")
+    chunks = stored(numbered(packed, folder), folder, "chunks")
+    deleted(pages.sparkSession, folder, "pages", "dealt")
+    return chunks
+
+
+def packed_pages(pages: DataFrame, max_tokens: int = DEFAULTS.chunk_tokens, overlap: int = DEFAULTS.overlap_tokens) -> DataFrame:
+    """pages (source, page, text, ...) with chunks, their number n and the page's digest in place of the text."""
+    packed = pages.withColumn("chunks", chunk_text(F.col("text"), max_tokens, overlap)).withColumn("digest", page_digest()).drop("text")
+    return packed.withColumn("n", F.coalesce(F.size("chunks"), F.lit(0)))
+
+
+def numbered(packed: DataFrame, folder: str) -> DataFrame:
+    """id, text, page, source, index of the chunks of a written table: row (a number of its own), source, page, chunks, n, digest."""
     first = first_indexes(packed, folder)
     keys = document_keys(packed)
     if packed.count() <= BROADCAST_PAGES:
         first, keys = F.broadcast(first), F.broadcast(keys)  # a page has one source
     rows = packed.join(first, "row").join(keys, "source").select("doc_key", "first", "page", "source", F.posexplode("chunks").alias("pos", "text"))
     index = F.col("first") + F.col("pos")
-    chunks = rows.select(F.concat_ws(":", "doc_key", index.cast("string")).alias("id"), "text", "page", "source", index.cast("long").alias("index"))
-    chunks = stored(chunks, folder, "chunks")
-    deleted(pages.sparkSession, folder, "pages", "dealt")
-    return chunks
+    return rows.select(F.concat_ws(":", "doc_key", index.cast("string")).alias("id"), "text", "page", "source", index.cast("long").alias("index"))
 
 
 def document_registry(chunks: DataFrame) -> DataFrame:

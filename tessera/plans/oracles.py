@@ -337,6 +337,8 @@ ORACLES: dict[str, str] = {
       {PERCENT.format('hallucination_rate')}, {PERCENT.format('grounded_precision')}) || ' |' AS line FROM summary""",
     "status_pivot": f"""{RESULTS} SELECT config, {', '.join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ('grounded', 'partial', 'ungrounded', 'not_found', 'unverified', 'unchecked'))}
       FROM results GROUP BY config""",
+    "stream_registry": f"WITH {CHUNKS} SELECT source, count(DISTINCT id) AS n_chunks FROM chunks GROUP BY source",
+    "store_batches": "SELECT doc_id, CASE WHEN lang = 'en' THEN text ELSE lower(text) END AS text, lang FROM documents",
     "pdf_round_trip": f"SELECT doc_id, text FROM (SELECT doc_id, {joined(PARAGRAPHS)} AS text FROM documents) WHERE text <> ''",
     "config_ablation": f"{RUNS} SELECT config, status, count(*) AS questions, sum(k) AS supported, sum(n) AS claims FROM runs GROUP BY ALL",
 }

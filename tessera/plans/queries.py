@@ -3,6 +3,7 @@ user turns are questions, assistant turns are drafts."""
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from tessera.functions.nfkc import with_nfkc
 from tessera.operators import asking, chunking, embedding, evaluation, generation, retrieval, verification
 from tessera.operators.graph_index import GraphIndex, recall
 from tessera.sources import files, pdf
+from tessera.sources.store import Store
+from tessera.streaming import registry as stream_of
 from tessera.tables import stored, work_dir
 
 
@@ -94,6 +97,34 @@ def document_registry(spark, sf_dir):
     return chunking.document_registry(chunks_of(spark, sf_dir))
 
 
+def stream_registry(spark, sf_dir):
+    """The registry of documents that were streamed in two pieces, with a restart between them."""
+    path = work_dir(spark, "stream")
+    pages = files.pages_of_documents(table(spark, sf_dir, "documents"))
+    sizes = pages.groupBy("source").agg(F.count("*").alias("expected")).withColumnRenamed("source", "named")
+    pages = pages.join(sizes, F.col("source").eqNullSafe(F.col("named"))).select("source", "page", "text", "expected")
+    for piece in range(2):
+        pages.where(F.pmod(F.xxhash64("page"), F.lit(2)) == piece).write.parquet(f"{path}/in/{piece}")
+        stream_of.start(spark.readStream.schema(pages.schema).option("recursiveFileLookup", "true").parquet(f"{path}/in"), f"{path}/out")
+    return stream_of.registered(spark, f"{path}/out").where("n_chunks > 0").select("source", "n_chunks")
+
+
+def store_batches(spark, sf_dir):
+    """Two overlapping batches in a store, with a write between them that fails; read after reopening."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "lang")
+    path = f"{work_dir(spark, 'store')}/docs"
+    store = Store.create(spark, path, "id string, text string, lang string")
+    store.add(docs.where("lang = 'en'"))
+    failing = docs.withColumn("text", F.when(F.col("lang") == "de", F.raise_error(F.lit("this write fails"))).otherwise(F.col("text")))
+    try:
+        failing.write.format("tessera_store").mode("append").save(path)
+    except PySparkException as e:
+        if "this write fails" not in str(e):
+            raise
+    store.add(docs.withColumn("text", F.lower("text")))
+    return Store.open(spark, path).read().select(F.col("id").cast("long").alias("doc_id"), "text", "lang")
+
+
 def hash_embed(spark, sf_dir):
     return embedding.hash_embed(table(spark, sf_dir, "documents"), "doc_id")
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from tessera.files import files_below, open_fs
+from tessera.files import created, files_below, open_fs, removed
 from tessera.sources.pdf_format import BadPdf, PdfFile
 from tessera.sources.pdf_text import pages
 from tessera.sources.pdf_write import PdfWriter
@@ -161,26 +161,14 @@ class PdfFileWriter(DataSourceArrowWriter):
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
-        fs, top = open_fs(self.uri)
-        fs.create_dir(top, recursive=True)
         if self.overwrite:
-            for path, _ in files_below(self.uri, ".json"):
-                if path.rsplit("/", 1)[-1].startswith(LIST):
-                    fs.delete_file(path)
-        with fs.open_output_stream(f"{top}/{LIST}{uuid.uuid4().hex}.json") as f:
-            f.write(json.dumps([name for m in messages if m for name in m.files]).encode())
+            removed(self.uri, [name for path, _ in files_below(self.uri, ".json") if (name := path.rsplit("/", 1)[-1]).startswith(LIST)])
+        created(f"{self.uri}/{LIST}{uuid.uuid4().hex}.json", json.dumps([name for m in messages if m for name in m.files]).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
         removed(self.uri, [name for m in messages if m for name in m.files])
 
 
-def removed(uri: str, names: list[str]) -> None:
-    fs, top = open_fs(uri)
-    for name in names:
-        with suppress(OSError):
-            fs.delete_file(f"{top}/{name}")
-
-
 def read_pdf(spark: SparkSession, path: str, **options) -> DataFrame:
     """source, page, label, blocks of the PDF files that a file's path, a folder or a pattern names."""
     spark.dataSource.register(PdfSource)
