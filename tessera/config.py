@@ -9,11 +9,12 @@ from dataclasses import dataclass, fields
 
 @dataclass(frozen=True)
 class Settings:
-    llm_model: str = "gpt-oss-120b"
-    fallback_models: tuple[str, ...] = ()
+    # Names of hosted and published models are fixed values.
+    llm_model: str = "openai/gpt-oss-120b"
+    fallback_models: tuple[str, ...] = ("openai/gpt-oss-20b", "qwen/qwen3.8-27b")
     reasoning_effort: str = "low"
     embed_model: str = "all-MiniLM-L6-v2"
-    nli_model: str = "nli-deberta-v3-small"
+    nli_model: str = "cross-encoder/nli-deberta-v3-small"
     chunk_tokens: int = 350
     overlap_tokens: int = 60
     top_k: int = 4
@@ -22,6 +23,11 @@ class Settings:
     nli_window: int = 3
     embed_dim: int = 512
 
+    @property
+    def models(self) -> tuple[str, ...]:
+        """The model and those that take its place, in order."""
+        return (self.llm_model, *self.fallback_models)
+
     @classmethod
     def from_env(cls) -> Settings:
         """Read when called, so a later change of the environment has effect."""

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tessera.config import DEFAULTS
 from tessera.functions import render
 from tessera.functions import text as T
-from tessera.operators import decision, evaluation, generation, retrieval, verification
+from tessera.operators import chunking, decision, evaluation, generation, reply_log, retrieval, verification
 from tessera.tables import stored, work_dir
 
 Generate = Callable[[DataFrame], DataFrame]
@@ -31,9 +31,10 @@ def verify_by_replies(reply: Generate, qid: str, strict: bool = False) -> Verify
     def verify(drafts: DataFrame, retrieved: DataFrame) -> tuple[DataFrame, DataFrame]:
         contexts = retrieval.context(retrieved, qid, headed=False)
         prompts = verification.verifier_prompts(drafts, contexts, qid)
-        found = stored(reply(prompts).select(qid, F.col("reply").alias("raw")), work_dir(drafts.sparkSession, "verifier"), "replies")
+        found = with_outcome(reply(prompts)).select(qid, F.col("reply").alias("raw"), "error")
+        found = stored(found, work_dir(drafts.sparkSession, "verifier"), "replies")
         claims, errors = verification.claims_of_replies(found.where("raw is not null"), qid)
-        failed = found.where("raw is null").select(qid, F.lit("no reply").alias("verify_error"))
+        failed = found.where("raw is null").select(qid, F.col("error").alias("verify_error"))
         return verification.llm_verdicts(claims, retrieved, qid, strict), errors.union(failed)
 
     return verify
@@ -50,11 +51,42 @@ def verify_by_entailment(qid: str, load=None, threshold: float = DEFAULTS.nli_th
     return verify
 
 
+def with_outcome(replies: DataFrame) -> DataFrame:
+    """Replies with model and error, whether or not the generator tells them: a null reply is an error in any case."""
+    for name in ("model", "error"):
+        replies = replies if name in replies.columns else replies.withColumn(name, F.lit(None).cast("string"))
+    return replies.withColumn("error", F.coalesce("error", F.when(F.col("reply").isNull(), "no reply")))
+
+
+def hosted_generate(
+    qid: str, load: Callable[[], generation.Client], naive: bool = False, log: str | None = None, models: tuple[str, ...] = DEFAULTS.models, **calls
+) -> Generate:
+    """A generator by a client, with the models in order; with a log no call is paid for twice."""
+    return _hosted(qid, load, generation.NAIVE_SYSTEM if naive else generation.STRICT_SYSTEM, False, generation.ANSWER_TOKENS, log, models, calls)
+
+
+def hosted_verify(
+    qid: str, load: Callable[[], generation.Client], log: str | None = None, models: tuple[str, ...] = DEFAULTS.models, strict: bool = False, **calls
+) -> Verify:
+    """A verifier by a client's JSON verdicts."""
+    return verify_by_replies(_hosted(qid, load, verification.VERIFIER_SYSTEM, True, generation.VERIFY_TOKENS, log, models, calls), qid, strict)
+
+
+def _hosted(qid, load, system, json_mode, max_tokens, log, models, calls) -> Generate:
+    def reply(prompts: DataFrame) -> DataFrame:
+        if log:
+            return reply_log.logged(prompts, qid, load, system, log, models, json_mode, max_tokens, **calls)
+        return generation.replies(prompts, qid, load, system, models, json_mode, max_tokens, **calls)
+
+    return reply
+
+
 def drafted(questions: DataFrame, gate: DataFrame, retrieved: DataFrame, qid: str, generate: Generate) -> DataFrame:
-    """qid, draft of the questions that pass the gate, written once: replies cost calls."""
+    """qid, draft, model, error of the questions that pass the gate, written once: replies cost calls."""
     passed = questions.join(gate.where("passed").select(qid), qid)
     prompts = generation.prompts(passed, retrieval.context(retrieved, qid), qid)
-    return stored(generate(prompts).select(qid, T.clean_answer(F.col("reply")).alias("draft")), work_dir(questions.sparkSession, "ask"), "drafts")
+    found = with_outcome(generate(prompts)).select(qid, T.clean_answer(F.col("reply")).alias("draft"), "model", "error")
+    return stored(found, work_dir(questions.sparkSession, "ask"), "drafts")
 
 
 def judged(questions: DataFrame, gate: DataFrame, drafts: DataFrame, retrieved: DataFrame, qid: str, verify: Verify | None = None) -> tuple[DataFrame, DataFrame]:
@@ -63,7 +95,8 @@ def judged(questions: DataFrame, gate: DataFrame, drafts: DataFrame, retrieved:
     rows = questions.join(gate, qid).join(drafts, qid, "left").withColumn("verified", F.lit(verify is not None))
     if verify:
         folder = work_dir(spark, "ask")
-        verdicts, errors = verify(drafts.where(~T.is_not_found(F.coalesce("draft", F.lit("")))), retrieved)
+        said = drafts.where("error is null").where(~T.is_not_found(F.coalesce("draft", F.lit(""))))
+        verdicts, errors = verify(said.select(qid, "draft"), retrieved)
         verdicts, errors = stored(verdicts, folder, "verdicts"), stored(errors, folder, "errors")
         rows = rows.join(verification.support(verdicts, qid).select(qid, "k", "n"), qid, "left").join(errors, qid, "left")
     else:
@@ -71,7 +104,7 @@ def judged(questions: DataFrame, gate: DataFrame, drafts: DataFrame, retrieved:
         verdicts = verdicts.select(F.col("qid").cast(questions.schema[qid].dataType).alias(qid), *verdicts.columns[1:])
         rows = rows.selectExpr("*", "cast(null as bigint) as k", "cast(null as bigint) as n", "cast(null as string) as verify_error")
     answers = decision.decided(rows)
-    return answers.select(qid, "question", "best", "status", "answer", "draft", "abstained", "k", "n", "verify_error"), verdicts
+    return answers.select(qid, "question", "best", "status", "answer", "draft", "abstained", "k", "n", "verify_error", "model", "error"), verdicts
 
 
 def ask(
@@ -80,8 +113,8 @@ def ask(
 ) -> tuple[DataFrame, DataFrame]:
     """(answers, verdicts). questions: qid, question; retrieved: qid, rank, id, score, page, source, text.
 
-    Answers: qid, question, best, status, answer, draft, abstained, k, n, verify_error, one row a question. Where a
-    map is given, it takes the seconds of each stage.
+    Answers: qid, question, best, status, answer, draft, abstained, k, n, verify_error, model (that gave the draft), error (of the
+    call for it: status failed), one row a question. Where a map is given, it takes the seconds of each stage.
     """
     took: dict[str, float] = {}
 
@@ -99,6 +132,30 @@ def ask(
     return found
 
 
+def answered(
+    pages: DataFrame, questions: DataFrame, qid: str, generate: Generate, verify: Verify | None = None, k: int = DEFAULTS.top_k, least: float = DEFAULTS.min_similarity,
+    timings: dict[str, float] | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Pages (source, page, text) and questions (qid, question) in; (answers, verdicts, sources with their quotes) out.
+
+    Chunks and what is retrieved are written; `ingest` and `retrieve` in the map hold the seconds of chunking, and of the search with
+    the gate.
+    """
+    took: dict[str, float] = {}
+    began = time.perf_counter()
+    chunks = chunking.chunk_pages(pages)
+    took["ingest"] = time.perf_counter() - began
+    began = time.perf_counter()
+    found = retrieval.top_k_hashed(chunks, "id", questions.withColumnRenamed("question", "text"), qid, k)
+    found = stored(found.join(chunks, "id").select(qid, "rank", "id", "score", "page", "source", "text"), work_dir(pages.sparkSession, "answered"), "retrieved")
+    searched = time.perf_counter() - began
+    rest: dict[str, float] = {}
+    answers, verdicts = ask(questions, found, qid, generate, verify, least, rest)
+    if timings is not None:
+        timings |= took | rest | {"retrieve": searched + rest["retrieve"]}
+    return answers, verdicts, sources_with_quotes(found, verdicts, qid)
+
+
 def gated(questions: DataFrame, retrieved: DataFrame, qid: str, least: float) -> DataFrame:
     return stored(retrieval.similarity_gate(questions, retrieved, qid, least), work_dir(questions.sparkSession, "ask"), "gate")
 

@@ -27,9 +27,12 @@ def folded(results: DataFrame) -> DataFrame:
 
 
 def eval_rows(results: DataFrame) -> DataFrame:
-    """config, type, q, kind, status, answer, correct, hallucinated. results has type, expect, status, answer."""
+    """config, type, q, kind, status, answer, correct, hallucinated. results has type, expect, status, answer.
+
+    Where the call to the model failed, nothing is known: both are null, and the rates leave the row out.
+    """
     results = folded(results)
-    shown = F.col("status").isin(*SHOWN)
+    shown = F.when(F.col("status") != "failed", F.col("status").isin(*SHOWN))
     answerable = F.col("type") == "answerable"
     return results.select(
         "config", "type", "q", "kind", "status", "answer",
@@ -42,11 +45,12 @@ def eval_summary(rows: DataFrame) -> DataFrame:
     """Rates by configuration; null where there is nothing to count. The last column also counts unanswerable
     questions whose answers were called grounded."""
     ans, una, grounded = F.col("type") == "answerable", F.col("type") == "unanswerable", F.col("status") == "grounded"
+    answered = F.col("status") != "failed"
     rate = lambda k, n: F.try_divide(F.count_if(k).cast("double"), F.count_if(n).cast("double"))
     return rows.groupBy("config").agg(
-        rate(ans & F.col("correct"), ans).alias("answer_rate"),
-        rate(una & ~F.col("hallucinated"), una).alias("abstain_rate"),
-        rate(una & F.col("hallucinated"), una).alias("hallucination_rate"),
+        rate(ans & F.col("correct"), ans & answered).alias("answer_rate"),
+        rate(una & ~F.col("hallucinated"), una & answered).alias("abstain_rate"),
+        rate(una & F.col("hallucinated"), una & answered).alias("hallucination_rate"),
         rate(ans & grounded & F.col("correct"), ans & grounded).alias("grounded_precision"),
         F.count_if(ans).alias("n_answerable"),
         F.count_if(una).alias("n_unanswerable"),

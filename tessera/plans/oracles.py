@@ -265,6 +265,11 @@ def joined(blocks: str) -> str:
 
 PARAGRAPHS = f"regexp_split_to_array(text, '\\n{SPACE}*\\n')"
 
+#: The scripted client's reply, model and error.
+OUTCOME = """CASE WHEN length(prompt) % 7 NOT IN (1, 3) THEN (CASE WHEN length(prompt) % 7 IN (0, 2) THEN 'second' ELSE 'first' END) || ': ' || md5(prompt) END AS reply,
+  CASE WHEN length(prompt) % 7 IN (1, 3) THEN NULL WHEN length(prompt) % 7 IN (0, 2) THEN 'second' ELSE 'first' END AS model,
+  CASE length(prompt) % 7 WHEN 1 THEN 'Unreachable: no route' WHEN 3 THEN 'ValueError: bad request' END AS error"""
+
 ORACLES: dict[str, str] = {
     "approx_tokens": f"SELECT doc_id, {tokens('text', 'w')} AS tokens FROM documents",
     "clean_block": f"SELECT doc_id, {clean('text')} AS cleaned FROM documents",
@@ -337,6 +342,12 @@ ORACLES: dict[str, str] = {
       {PERCENT.format('hallucination_rate')}, {PERCENT.format('grounded_precision')}) || ' |' AS line FROM summary""",
     "status_pivot": f"""{RESULTS} SELECT config, {', '.join(f"count(*) FILTER (status = '{s}') AS {s}" for s in ('grounded', 'partial', 'ungrounded', 'not_found', 'unverified', 'unchecked'))}
       FROM results GROUP BY config""",
+    "logged_replies": f"""{RETRIEVED}, prompts AS (SELECT item_id, 'SOURCES:' || chr(10) || context || chr(10) || chr(10) || 'QUESTION: ' || text || chr(10) || chr(10) || 'ANSWER:' AS prompt
+      FROM (SELECT item_id, {CONTEXT} AS context FROM retrieved GROUP BY item_id) JOIN asked USING (item_id)) SELECT item_id, {OUTCOME} FROM prompts""",
+    "failed_calls": f"""{ASK}, outcomes AS (SELECT item_id, {OUTCOME} FROM gen WHERE NOT naive)
+      SELECT item_id, CASE WHEN NOT passed THEN 'not_found' WHEN error IS NOT NULL THEN 'failed' ELSE 'unchecked' END AS status,
+        CASE WHEN NOT passed THEN 'Not found in the document.' WHEN error IS NOT NULL THEN 'No answer: the call to the model failed.' ELSE reply END AS answer,
+        NOT passed AS abstained, model, error FROM gate LEFT JOIN outcomes USING (item_id)""",
     "stream_registry": f"WITH {CHUNKS} SELECT source, count(DISTINCT id) AS n_chunks FROM chunks GROUP BY source",
     "store_batches": "SELECT doc_id, CASE WHEN lang = 'en' THEN text ELSE lower(text) END AS text, lang FROM documents",
     "pdf_round_trip": f"SELECT doc_id, text FROM (SELECT doc_id, {joined(PARAGRAPHS)} AS text FROM documents) WHERE text <> ''",

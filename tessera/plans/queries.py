@@ -3,6 +3,8 @@ user turns are questions, assistant turns are drafts."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import render
 from tessera.functions import text as T
 from tessera.functions.nfkc import with_nfkc
-from tessera.operators import asking, chunking, embedding, evaluation, generation, retrieval, verification
+from tessera.operators import asking, chunking, embedding, evaluation, generation, reply_log, retrieval, verification
 from tessera.operators.graph_index import GraphIndex, recall
 from tessera.sources import files, pdf
 from tessera.sources.store import Store
@@ -296,6 +298,43 @@ def ask(spark, sf_dir):
     return answers.select("item_id", F.round("best", 6).alias("best"), "status", "answer", "draft", "abstained", "k", "n", "verify_error")
 
 
+def failing_client():
+    """A scripted client: by the prompt's length the first model is at a limit, no model can be reached, or a request is bad."""
+
+    def client(model: str, system: str, user: str, json_mode: bool, max_tokens: int) -> str:
+        case = len(user) % 7
+        if case in (0, 2) and model == "first":
+            raise generation.RateLimited("slow down", daily=case == 0)
+        if case == 1:
+            raise generation.Unreachable("no route")
+        if case == 3:
+            raise ValueError("bad request")
+        return f"{model}: {hashlib.md5(user.encode()).hexdigest()}"
+
+    return client
+
+
+#: Calls of the scripted client: two models, no waiting.
+SCRIPTED = {"models": ("first", "second"), "wait": lambda _: None}
+
+
+def logged_replies(spark, sf_dir):
+    """Replies to all prompts by the scripted client; the second run finds them in the log and asks again what failed."""
+    prompts = generator_prompts(spark, sf_dir)
+    log = f"{work_dir(spark, 'log')}/replies"
+    for _ in range(2):
+        found = reply_log.logged(prompts, "item_id", failing_client, generation.STRICT_SYSTEM, log, **SCRIPTED)
+    return found
+
+
+def failed_calls(spark, sf_dir):
+    """Every question with the scripted client as generator: what fails is a status of its own, with its error."""
+    questions, found = asked_of(spark, sf_dir)
+    generate = asking.hosted_generate("item_id", failing_client, log=f"{work_dir(spark, 'log')}/replies", **SCRIPTED)
+    answers, _ = asking.ask(questions, found, "item_id", generate)
+    return answers.select("item_id", "status", "answer", "abstained", "model", "error")
+
+
 def decide_status(spark, sf_dir):
     return config_answers(spark, sf_dir).select("config", "item_id", "status", "answer", "abstained")
 
