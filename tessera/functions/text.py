@@ -53,11 +53,15 @@ def join_blocks(blocks: Column) -> Column:
     return F.aggregate(F.filter(blocks, lambda b: b != ""), F.lit(""), add)
 
 
+# Where a text is cut to paragraphs and sentences; fixed values.
+BLANK_LINES = rf"\n{SPACE}*\n"
+SENTENCE_END = rf"(?<=[.!?]){SPACE}+(?=[A-Z0-9\"'(\[])"
+
+
 def split_sentences(text: Column) -> Column:
     """Paragraphs, then sentences; a lone number such as `1.` is put before the sentence that follows."""
-    paragraphs = F.filter(F.transform(F.split(text, rf"\n{SPACE}*\n"), strip), lambda p: p != "")
-    ends = rf"(?<=[.!?]){SPACE}+(?=[A-Z0-9\"'(\[])"
-    pieces = F.flatten(F.transform(paragraphs, lambda p: F.split(p, ends)))
+    paragraphs = F.filter(F.transform(F.split(text, BLANK_LINES), strip), lambda p: p != "")
+    pieces = F.flatten(F.transform(paragraphs, lambda p: F.split(p, SENTENCE_END)))
     pieces = F.filter(F.transform(pieces, strip), lambda s: s != "")
 
     def attach(done: Column, sentence: Column) -> Column:

@@ -1,9 +1,11 @@
 import random
+from itertools import batched
 
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators import chunking
-from tests.test_text import plain_sentences
+from tests.test_text import scanned_sentences
 
 
 def estimate(text):
@@ -11,20 +13,18 @@ def estimate(text):
 
 
 def plain_chunks(text, most, overlap):
+    """From the definition: a chunk is the longest run of units whose estimates add up to no more than `most`, but has a new unit in any
+    case; the next one begins at the first unit from which on the rest of the chunk fits into the overlap."""
     units = []
-    for s in plain_sentences(text):
-        w, step = s.split(), int(most / 1.3)
-        units += [s] if estimate(s) <= most else [" ".join(w[i : i + step]) for i in range(0, len(w), step)]
-    chunks, held = [], []
-    for u in units:
-        if held and sum(map(estimate, held)) + estimate(u) > most:
-            chunks.append(" ".join(held))
-            tail = []
-            while held and sum(map(estimate, tail)) + estimate(held[-1]) <= overlap:
-                tail.insert(0, held.pop())
-            held = tail
-        held.append(u)
-    return [*chunks, " ".join(held)] if held else chunks
+    for s in scanned_sentences(text):
+        units += [s] if estimate(s) <= most else [" ".join(part) for part in batched(s.split(), int(most / 1.3))]
+    cost = lambda a, b: sum(map(estimate, units[a:b]))
+    runs, a, b = [], 0, 0
+    while b < len(units):
+        b = max(b + 1, *(k for k in range(a, len(units) + 1) if cost(a, k) <= most))
+        runs.append(" ".join(units[a:b]))
+        a = min(k for k in range(a, b + 1) if cost(k, b) <= overlap)
+    return runs
 
 
 def chunked(spark, text, most, overlap):
@@ -60,6 +60,16 @@ def test_against_plain_rules(spark):
     assert [found[i] for i in range(len(texts))] == [plain_chunks(t, 100, 60) for t in texts]
 
 
+def test_the_packers_sentences_are_those_of_the_columns(spark):
+    rng = random.Random(8)
+    signs = ["A", "b", "1.", "2. ", ". ", "! ", "?\n", "\n\n", "\n \n", " ", "\xa0", "\t", "(", '"', "é", "É", "12", "\u2028", "\x1c"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    found = {r.i: r.x for r in df.select("i", T.split_sentences(F.col("t")).alias("x")).collect()}
+    for i, t in enumerate(texts):
+        assert list(chunking.sentences(t)) == found[i] == scanned_sentences(t), repr(t)
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "source string, page long, text string")
 
