@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import render
 from tessera.functions import text as T
 from tessera.functions.nfkc import with_nfkc
-from tessera.operators import asking, chunking, embedding, evaluation, generation, reply_log, retrieval, verification
+from tessera.operators import asking, chunking, embedding, entailment, evaluation, generation, reply_log, retrieval, verification
 from tessera.operators.graph_index import GraphIndex, recall
 from tessera.sources import files, pdf
 from tessera.sources.store import Store
@@ -216,6 +216,27 @@ def nli_verdicts(spark, sf_dir):
     return verification.nli_verdicts(answers, retrieved_of(spark, sf_dir), "item_id").drop("reason")
 
 
+def entailment_fit(spark, sf_dir):
+    """(weights, the texts that they were not fitted on): a fifth of the documents by their id's crc32 is held out."""
+    docs = table(spark, sf_dir, "documents").withColumn("fold", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5)
+    return entailment.fitted(docs.where("fold <> 0")), docs.where("fold = 0")
+
+
+def entailment_held_out(spark, sf_dir):
+    """What the fitted score says of pairs made of held-out documents: pairs by class and by what was found."""
+    weights, held = entailment_fit(spark, sf_dir)
+    found = entailment.judged(entailment.pairs_of(held), weights).groupBy("label", "found").agg(F.count("*").alias("pairs"))
+    name = lambda c: F.element_at(F.array(*map(F.lit, entailment.CLASSES)), F.col(c) + 1)
+    return found.select(name("label").alias("class"), name("found").alias("found"), "pairs")
+
+
+def aligned_verdicts(spark, sf_dir):
+    """Claims of the benchmark's texts against what was retrieved for them, by the fitted score of entailment."""
+    answers = questions_of(spark, sf_dir).withColumnRenamed("text", "draft")
+    weights, _ = entailment_fit(spark, sf_dir)
+    return verification.nli_verdicts(answers, retrieved_of(spark, sf_dir), "item_id", entailment.load_predictor(weights)).drop("reason")
+
+
 #: Stand-ins for models: replies of every form, made from the prompts alone, so that SQL can make the same.
 START = len("SOURCES:\n[1]\n") + 1
 
