@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import render
 from tessera.functions import text as T
 from tessera.functions.nfkc import with_nfkc
-from tessera.operators import asking, chunking, embedding, entailment, evaluation, generation, reply_log, retrieval, verification
+from tessera.operators import asking, chunking, embedding, entailment, evaluation, generation, learned, reply_log, retrieval, verification
 from tessera.operators.graph_index import GraphIndex, recall
 from tessera.sources import files, pdf
 from tessera.sources.store import Store
@@ -131,6 +131,11 @@ def hash_embed(spark, sf_dir):
     return embedding.hash_embed(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def learned_vectors(spark, sf_dir):
+    """Vectors of all documents, learned from them."""
+    return learned.learned_vectors(table(spark, sf_dir, "documents"))
+
+
 def embed_norms(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     norms = embedding.hash_embed(docs, "doc_id").groupBy("doc_id").agg(F.max("norm2").alias("norm2"))

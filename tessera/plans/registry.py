@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.plans import queries as Q
 from tessera.plans.oracles import ORACLES
 
-#: Registered without SQL: Unicode folding, approximate search and fitted scores have no SQL form; see the tests.
-WITHOUT_SQL = ("nfkc_text", "topk_graph", "graph_recall", "entailment_held_out", "aligned_verdicts")
+#: Registered without SQL: Unicode folding, approximate search, learned vectors and fitted scores have no SQL form; see the tests.
+WITHOUT_SQL = ("nfkc_text", "topk_graph", "graph_recall", "learned_vectors", "entailment_held_out", "aligned_verdicts")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
