@@ -12,7 +12,7 @@ import time
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.config import DEFAULTS
@@ -51,6 +51,16 @@ def verify_by_entailment(qid: str, load=None, threshold: float = DEFAULTS.nli_th
     return verify
 
 
+def kept(df: DataFrame, folder: str, name: str, rows: dict[str, int] | None) -> DataFrame:
+    """A written table. Where a map is given, it takes the number of rows, as they were counted by the write itself."""
+    if rows is None:
+        return stored(df, folder, name)
+    seen = Observation()
+    out = stored(df.observe(seen, F.count(F.lit(1)).alias("rows")), folder, name)
+    rows[name] = int(seen.get.get("rows", 0))
+    return out
+
+
 def with_outcome(replies: DataFrame) -> DataFrame:
     """Replies with model and error, whether or not the generator tells them: a null reply is an error in any case."""
     for name in ("model", "error"):
@@ -81,15 +91,17 @@ def _hosted(qid, load, system, json_mode, max_tokens, log, models, calls) -> Gen
     return reply
 
 
-def drafted(questions: DataFrame, gate: DataFrame, retrieved: DataFrame, qid: str, generate: Generate) -> DataFrame:
+def drafted(questions: DataFrame, gate: DataFrame, retrieved: DataFrame, qid: str, generate: Generate, rows: dict[str, int] | None = None) -> DataFrame:
     """qid, draft, model, error of the questions that pass the gate, written once: replies cost calls."""
     passed = questions.join(gate.where("passed").select(qid), qid)
     prompts = generation.prompts(passed, retrieval.context(retrieved, qid), qid)
     found = with_outcome(generate(prompts)).select(qid, T.clean_answer(F.col("reply")).alias("draft"), "model", "error")
-    return stored(found, work_dir(questions.sparkSession, "ask"), "drafts")
+    return kept(found, work_dir(questions.sparkSession, "ask"), "drafts", rows)
 
 
-def judged(questions: DataFrame, gate: DataFrame, drafts: DataFrame, retrieved: DataFrame, qid: str, verify: Verify | None = None) -> tuple[DataFrame, DataFrame]:
+def judged(
+    questions: DataFrame, gate: DataFrame, drafts: DataFrame, retrieved: DataFrame, qid: str, verify: Verify | None = None, counts: dict[str, int] | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(answers, verdicts) as from `ask`."""
     spark = questions.sparkSession
     rows = questions.join(gate, qid).join(drafts, qid, "left").withColumn("verified", F.lit(verify is not None))
@@ -97,7 +109,7 @@ def judged(questions: DataFrame, gate: DataFrame, drafts: DataFrame, retrieved:
         folder = work_dir(spark, "ask")
         said = drafts.where("error is null").where(~T.is_not_found(F.coalesce("draft", F.lit(""))))
         verdicts, errors = verify(said.select(qid, "draft"), retrieved)
-        verdicts, errors = stored(verdicts, folder, "verdicts"), stored(errors, folder, "errors")
+        verdicts, errors = kept(verdicts, folder, "verdicts", counts), kept(errors, folder, "errors", counts)
         rows = rows.join(verification.support(verdicts, qid).select(qid, "k", "n"), qid, "left").join(errors, qid, "left")
     else:
         verdicts = spark.createDataFrame([], "qid string, claim_no int, claim string, supported boolean, source_rank int, quote string, score double, reason string")
@@ -109,12 +121,13 @@ def judged(questions: DataFrame, gate: DataFrame, drafts: DataFrame, retrieved:
 
 def ask(
     questions: DataFrame, retrieved: DataFrame, qid: str, generate: Generate, verify: Verify | None = None, least: float = DEFAULTS.min_similarity,
-    timings: dict[str, float] | None = None,
+    timings: dict[str, float] | None = None, counts: dict[str, int] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(answers, verdicts). questions: qid, question; retrieved: qid, rank, id, score, page, source, text.
 
     Answers: qid, question, best, status, answer, draft, abstained, k, n, verify_error, model (that gave the draft), error (of the
-    call for it: status failed), one row a question. Where a map is given, it takes the seconds of each stage.
+    call for it: status failed), one row a question. Where maps are given, they take the seconds of each stage,
+    each of which is run and written here, and the rows of what it wrote: gate, drafts, verdicts, errors.
     """
     took: dict[str, float] = {}
 
@@ -124,9 +137,9 @@ def ask(
         took[stage] = time.perf_counter() - began
         return made
 
-    gate = timed("retrieve", lambda: gated(questions, retrieved, qid, least))
-    drafts = timed("generate", lambda: drafted(questions, gate, retrieved, qid, generate))
-    found = timed("verify", lambda: judged(questions, gate, drafts, retrieved, qid, verify))
+    gate = timed("retrieve", lambda: gated(questions, retrieved, qid, least, counts))
+    drafts = timed("generate", lambda: drafted(questions, gate, retrieved, qid, generate, counts))
+    found = timed("verify", lambda: judged(questions, gate, drafts, retrieved, qid, verify, counts))
     if timings is not None:
         timings |= took if verify else {k: took[k] for k in ("retrieve", "generate")}
     return found
@@ -134,12 +147,12 @@ def ask(
 
 def answered(
     pages: DataFrame, questions: DataFrame, qid: str, generate: Generate, verify: Verify | None = None, k: int = DEFAULTS.top_k, least: float = DEFAULTS.min_similarity,
-    timings: dict[str, float] | None = None,
+    timings: dict[str, float] | None = None, counts: dict[str, int] | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pages (source, page, text) and questions (qid, question) in; (answers, verdicts, sources with their quotes) out.
 
     Chunks and what is retrieved are written; `ingest` and `retrieve` in the map hold the seconds of chunking, and of the search with
-    the gate.
+    the gate; the map of counts also takes the rows retrieved.
     """
     took: dict[str, float] = {}
     began = time.perf_counter()
@@ -147,17 +160,17 @@ def answered(
     took["ingest"] = time.perf_counter() - began
     began = time.perf_counter()
     found = retrieval.top_k_hashed(chunks, "id", questions.withColumnRenamed("question", "text"), qid, k)
-    found = stored(found.join(chunks, "id").select(qid, "rank", "id", "score", "page", "source", "text"), work_dir(pages.sparkSession, "answered"), "retrieved")
+    found = kept(found.join(chunks, "id").select(qid, "rank", "id", "score", "page", "source", "text"), work_dir(pages.sparkSession, "answered"), "retrieved", counts)
     searched = time.perf_counter() - began
     rest: dict[str, float] = {}
-    answers, verdicts = ask(questions, found, qid, generate, verify, least, rest)
+    answers, verdicts = ask(questions, found, qid, generate, verify, least, rest, counts)
     if timings is not None:
         timings |= took | rest | {"retrieve": searched + rest["retrieve"]}
     return answers, verdicts, sources_with_quotes(found, verdicts, qid)
 
 
-def gated(questions: DataFrame, retrieved: DataFrame, qid: str, least: float) -> DataFrame:
-    return stored(retrieval.similarity_gate(questions, retrieved, qid, least), work_dir(questions.sparkSession, "ask"), "gate")
+def gated(questions: DataFrame, retrieved: DataFrame, qid: str, least: float, counts: dict[str, int] | None = None) -> DataFrame:
+    return kept(retrieval.similarity_gate(questions, retrieved, qid, least), work_dir(questions.sparkSession, "ask"), "gate", counts)
 
 
 def sources_with_quotes(retrieved: DataFrame, verdicts: DataFrame, qid: str) -> DataFrame:

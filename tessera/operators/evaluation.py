@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.nfkc import with_nfkc
 from tessera.operators.decision import SHOWN
+from tessera.tables import stored, work_dir
 
 #: configuration, verifier (null: off), naive prompt
 CONFIGS = (("none", None, False), ("llm", "llm", False), ("nli", "nli", False), ("naive", None, True), ("naive_llm", "llm", True))
@@ -20,7 +21,9 @@ def configured(questions: DataFrame) -> DataFrame:
 
 
 def folded(results: DataFrame) -> DataFrame:
-    """results with own and wanted, the answer and what it must hold, in Unicode form NFKC."""
+    """results with own and wanted, the answer and what it must hold, in Unicode form NFKC. They are written first, as folding reads
+    its input twice."""
+    results = stored(results, work_dir(results.sparkSession, "results"), "rows")
     rows = with_nfkc(results, own=F.col("answer"), joined=F.array_join("expect", "\x1f"))
     wanted = F.when(F.size("expect") > 0, F.split("joined", "\x1f")).otherwise(F.col("expect"))
     return rows.withColumn("wanted", wanted)

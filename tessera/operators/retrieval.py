@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import DEFAULTS
 from tessera.operators.embedding import dense, signed_buckets
-from tessera.tables import stored, work_dir
+from tessera.tables import deleted, stored, work_dir
 
 BLOCK_QUESTIONS = 2000
 #: Rows scored at once by a task.
@@ -85,11 +85,16 @@ def top_k(rows: DataFrame, key: str, questions: DataFrame, qid: str, k: int, vec
     qkind = questions.schema[qid].dataType.simpleString()
     shares, parts = blocks(questions, qid, BLOCK_QUESTIONS)
     folder = work_dir(rows.sparkSession, "top-k") if shares > 1 else ""
+    rows = stored(rows, folder, "vectors") if shares > 1 else rows  # else each block would make them anew
     found = []
     for n, block in enumerate(parts):
         part = scored(rows, key, vectors, [(r[qid],) for r in block], qid, qkind, score_of(prepare(block)), k)
         found.append(stored(part, folder, f"block-{n}") if shares > 1 else part)
-    return ranked(reduce(DataFrame.union, found), qid, key, k).select(qid, "rank", key, "score")
+    best = ranked(reduce(DataFrame.union, found), qid, key, k).select(qid, "rank", key, "score")
+    if shares > 1:
+        best = stored(best, folder, "best")
+        deleted(rows.sparkSession, folder, "vectors", *[f"block-{n}" for n in range(shares)])
+    return best
 
 
 def top_k_hashed(

@@ -348,6 +348,9 @@ ORACLES: dict[str, str] = {
       SELECT item_id, CASE WHEN NOT passed THEN 'not_found' WHEN error IS NOT NULL THEN 'failed' ELSE 'unchecked' END AS status,
         CASE WHEN NOT passed THEN 'Not found in the document.' WHEN error IS NOT NULL THEN 'No answer: the call to the model failed.' ELSE reply END AS answer,
         NOT passed AS abstained, model, error FROM gate LEFT JOIN outcomes USING (item_id)""",
+    "stage_rows": f"""{ASK} SELECT 'retrieved' AS stage, count(*) AS rows FROM retrieved UNION ALL SELECT 'gate', count(*) FROM gate
+      UNION ALL SELECT 'drafts', count(*) FROM drafted WHERE NOT naive UNION ALL SELECT 'verdicts', count(*) FROM verdicts WHERE NOT naive
+      UNION ALL SELECT 'errors', count(*) FROM errors WHERE NOT naive""",
     "stream_registry": f"WITH {CHUNKS} SELECT source, count(DISTINCT id) AS n_chunks FROM chunks GROUP BY source",
     "store_batches": "SELECT doc_id, CASE WHEN lang = 'en' THEN text ELSE lower(text) END AS text, lang FROM documents",
     "pdf_round_trip": f"SELECT doc_id, text FROM (SELECT doc_id, {joined(PARAGRAPHS)} AS text FROM documents) WHERE text <> ''",

@@ -361,6 +361,15 @@ def failed_calls(spark, sf_dir):
     return answers.select("item_id", "status", "answer", "abstained", "model", "error")
 
 
+def stage_rows(spark, sf_dir):
+    """Documents and questions to answers in one call: the rows of each stage, as they were counted while it ran."""
+    counts: dict[str, int] = {}
+    questions = questions_of(spark, sf_dir).withColumnRenamed("text", "question")
+    pages = files.pages_of_documents(table(spark, sf_dir, "documents"))
+    asking.answered(pages, questions, "item_id", scripted_drafts(), asking.verify_by_replies(scripted_verdicts, "item_id"), counts=counts)
+    return spark.createDataFrame(list(counts.items()), "stage string, rows long")
+
+
 def decide_status(spark, sf_dir):
     return config_answers(spark, sf_dir).select("config", "item_id", "status", "answer", "abstained")
 
