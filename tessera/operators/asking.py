@@ -181,18 +181,33 @@ def sources_with_quotes(retrieved: DataFrame, verdicts: DataFrame, qid: str) ->
 
 
 def run_configurations(
-    questions: DataFrame, retrieved: DataFrame, qid: str, generate: Callable[[bool], Generate], verifiers: dict[str, Verify], least: float = DEFAULTS.min_similarity
+    questions: DataFrame, retrieved: DataFrame, qid: str, generate: Callable[[bool], Generate], verifiers: dict[str, Verify], least: float = DEFAULTS.min_similarity,
+    seconds: dict[str, float] | None = None,
 ) -> DataFrame:
     """The answers of every question under each of the five configurations, with the column config first. Gate and drafts
     are made once for all configurations that share them.
 
-    generate: whether the prompt is the naive one -> a generator; verifiers: by the names that CONFIGS uses.
+    generate: whether the prompt is the naive one -> a generator; verifiers: by the names that CONFIGS uses. Where a map is given, it
+    takes the seconds of each configuration, with the gate and the drafts that it needs; answers are written then.
     """
+    clock = time.perf_counter
+    began = clock()
     gate = gated(questions, retrieved, qid, least)
-    drafts = {naive: drafted(questions, gate, retrieved, qid, generate(naive)) for naive in {n for *_, n in evaluation.CONFIGS}}
+    shared, drafts = clock() - began, {}
+    took: dict[bool, float] = {}
+    for naive in {n for *_, n in evaluation.CONFIGS}:
+        began = clock()
+        drafts[naive] = drafted(questions, gate, retrieved, qid, generate(naive))
+        took[naive] = shared + clock() - began
+    folder = work_dir(questions.sparkSession, "configurations")
     runs: list[DataFrame] = []
     for config, verifier, naive in evaluation.CONFIGS:
+        began = clock()
         found, _ = judged(questions, gate, drafts[naive], retrieved, qid, verifiers[verifier] if verifier else None)
         name: Column = F.lit(config).alias("config")
-        runs.append(found.select(name, *found.columns))
+        found = found.select(name, *found.columns)
+        if seconds is not None:
+            found = stored(found, folder, config)
+            seconds[config] = took[naive] + clock() - began
+        runs.append(found)
     return reduce(DataFrame.union, runs)

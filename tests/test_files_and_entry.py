@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from tessera.config import Settings
-from tessera.operators import evaluation
+from tessera.operators import asking, evaluation
 from tessera.plans import registry
 from tessera.sources import files
 from tests import fixtures
@@ -95,6 +95,41 @@ def test_results_are_written(spark, tmp_path):
     assert lines["llm"] == "| llm | 75% | 50% | 50% | 100% |" and lines["only"] == "| only | n/a | 0% | 100% | n/a |"
 
 
+def test_result_documents_are_looked_up_by_configuration_and_set(spark, tmp_path):
+    detail = evaluation.eval_rows(fixtures.results(spark))
+    summary = files.with_seconds(evaluation.eval_summary(detail), {"llm": 12.345, "none": 2.0})
+    for name in ("dev", "held-out"):
+        files.write_results_document(summary, detail, f"{tmp_path}/{name}.json")
+    written = json.loads((tmp_path / "dev.json").read_text())
+    assert set(written) == {"summary", "detail"} and {s["config"] for s in written["summary"]} == set(written["detail"])
+    assert sum(map(len, written["detail"].values())) == detail.count() and "config" not in written["detail"]["llm"][0]
+    found = files.read_summaries(spark, {name: f"{tmp_path}/{name}.json" for name in ("dev", "held-out")})
+    (row,) = files.result_of(found, "llm", "held-out").collect()
+    assert (row.answer_rate, row.seconds) == (0.75, 12.3)
+    table = {r.config: (r["dev"], r["held-out"]) for r in files.compared(found, "answer_rate", ["dev", "held-out"]).collect()}
+    assert table["llm"] == (0.75, 0.75) and table["only"] == (None, None)
+    lines = files.markdown_table(summary, files.LABELS).splitlines()
+    assert lines[0].endswith("| Time (s) |") and "| LLM verifier | 75% | 50% | 50% | 100% | 12.3 |" in lines and any(x.startswith("| only |") and x.endswith("| n/a |") for x in lines)
+
+
+def test_documents_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "DOCUMENT_ROWS", 2)
+    detail = evaluation.eval_rows(fixtures.results(spark))
+    with pytest.raises(ValueError, match="more than 2"):
+        files.write_results_document(evaluation.eval_summary(detail), detail, f"{tmp_path}/x.json")
+
+
+def test_configurations_tell_their_seconds(spark):
+    from tessera.plans import queries as Q
+
+    questions, found = Q.asked_of(spark, str(SMALL))
+    seconds = {}
+    verifiers = {"llm": asking.verify_by_replies(Q.scripted_verdicts, "item_id"), "nli": asking.verify_by_entailment("item_id")}
+    rows = asking.run_configurations(questions, found, "item_id", Q.scripted_drafts, verifiers, seconds=seconds)
+    assert list(seconds) == ["none", "llm", "nli", "naive", "naive_llm"] and min(seconds.values()) > 0
+    assert rows.groupBy("config").count().count() == 5
+
+
 def test_chunk_tables_can_be_reopened(spark, tmp_path):
     rows = spark.createDataFrame([("x:0", "t", 1, "s", 0)], "id string, text string, page long, source string, index long")
     files.write_chunks(rows, f"{tmp_path}/c")
