@@ -270,6 +270,11 @@ OUTCOME = """CASE WHEN length(prompt) % 7 NOT IN (1, 3) THEN (CASE WHEN length(p
   CASE WHEN length(prompt) % 7 IN (1, 3) THEN NULL WHEN length(prompt) % 7 IN (0, 2) THEN 'second' ELSE 'first' END AS model,
   CASE length(prompt) % 7 WHEN 1 THEN 'Unreachable: no route' WHEN 3 THEN 'ValueError: bad request' END AS error"""
 
+FAILED = f"""{ASK}, outcomes AS (SELECT item_id, {OUTCOME} FROM gen WHERE NOT naive)
+      SELECT item_id, CASE WHEN NOT passed THEN 'not_found' WHEN error IS NOT NULL THEN 'failed' ELSE 'unchecked' END AS status,
+        CASE WHEN NOT passed THEN 'Not found in the document.' WHEN error IS NOT NULL THEN 'No answer: the call to the model failed.' ELSE reply END AS answer,
+        NOT passed AS abstained, model, error FROM gate LEFT JOIN outcomes USING (item_id)"""
+
 ORACLES: dict[str, str] = {
     "approx_tokens": f"SELECT doc_id, {tokens('text', 'w')} AS tokens FROM documents",
     "clean_block": f"SELECT doc_id, {clean('text')} AS cleaned FROM documents",
@@ -344,10 +349,8 @@ ORACLES: dict[str, str] = {
       FROM results GROUP BY config""",
     "logged_replies": f"""{RETRIEVED}, prompts AS (SELECT item_id, 'SOURCES:' || chr(10) || context || chr(10) || chr(10) || 'QUESTION: ' || text || chr(10) || chr(10) || 'ANSWER:' AS prompt
       FROM (SELECT item_id, {CONTEXT} AS context FROM retrieved GROUP BY item_id) JOIN asked USING (item_id)) SELECT item_id, {OUTCOME} FROM prompts""",
-    "failed_calls": f"""{ASK}, outcomes AS (SELECT item_id, {OUTCOME} FROM gen WHERE NOT naive)
-      SELECT item_id, CASE WHEN NOT passed THEN 'not_found' WHEN error IS NOT NULL THEN 'failed' ELSE 'unchecked' END AS status,
-        CASE WHEN NOT passed THEN 'Not found in the document.' WHEN error IS NOT NULL THEN 'No answer: the call to the model failed.' ELSE reply END AS answer,
-        NOT passed AS abstained, model, error FROM gate LEFT JOIN outcomes USING (item_id)""",
+    "failed_calls": FAILED,
+    "sql_ask": FAILED,
     "stage_rows": f"""{ASK} SELECT 'retrieved' AS stage, count(*) AS rows FROM retrieved UNION ALL SELECT 'gate', count(*) FROM gate
       UNION ALL SELECT 'drafts', count(*) FROM drafted WHERE NOT naive UNION ALL SELECT 'verdicts', count(*) FROM verdicts WHERE NOT naive
       UNION ALL SELECT 'errors', count(*) FROM errors WHERE NOT naive""",

@@ -9,10 +9,11 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.config import DEFAULTS
 from tessera.functions import render
 from tessera.functions import text as T
 from tessera.functions.nfkc import with_nfkc
-from tessera.operators import asking, chunking, embedding, entailment, evaluation, generation, learned, reply_log, retrieval, verification
+from tessera.operators import asking, chunking, decision, embedding, entailment, evaluation, generation, learned, reply_log, retrieval, sql, verification
 from tessera.operators.graph_index import GraphIndex, recall
 from tessera.sources import files, pdf
 from tessera.sources.store import Store
@@ -370,6 +371,31 @@ def stage_rows(spark, sf_dir):
     return spark.createDataFrame(list(counts.items()), "stage string, rows long")
 
 
+#: From questions and what was retrieved to answers in SQL text, with a model as a table function.
+ASK_SQL = """
+WITH gate AS (SELECT item_id, max(score) AS best FROM asked_retrieved WHERE rank = 1 GROUP BY item_id),
+parts AS (SELECT item_id, array_sort(collect_list(struct(rank, concat('[', rank, '] (page ', page, ', ', source, ')\n', text) AS part))) AS xs FROM asked_retrieved GROUP BY item_id),
+prompts AS (
+  SELECT item_id, concat('SOURCES:\n', array_join(transform(xs, x -> x.part), '\n\n'), '\n\nQUESTION: ', question, '\n\nANSWER:') AS prompt
+  FROM parts JOIN asked_questions USING (item_id) JOIN gate USING (item_id) WHERE best >= {least}
+),
+said AS (SELECT item_id, reply, model, error FROM model_reply(TABLE(prompts)))
+SELECT item_id, CASE WHEN NOT coalesce(best >= {least}, false) THEN 'not_found' WHEN error IS NOT NULL THEN 'failed' ELSE 'unchecked' END AS status,
+  CASE WHEN NOT coalesce(best >= {least}, false) THEN '{not_found}' WHEN error IS NOT NULL THEN '{failed}' ELSE reply END AS answer,
+  NOT coalesce(best >= {least}, false) AS abstained, model, error
+FROM asked_questions LEFT JOIN gate USING (item_id) LEFT JOIN said USING (item_id)
+"""
+
+
+def sql_ask(spark, sf_dir):
+    """The same answers as `failed_calls`, asked from SQL text."""
+    questions, found = asked_of(spark, sf_dir)
+    questions.createOrReplaceTempView("asked_questions")
+    found.createOrReplaceTempView("asked_retrieved")
+    sql.register(spark, client=failing_client, **SCRIPTED)
+    return spark.sql(ASK_SQL.format(least=DEFAULTS.min_similarity, not_found=decision.NOT_FOUND_MESSAGE, failed=decision.FAILED_MESSAGE))
+
+
 def decide_status(spark, sf_dir):
     return config_answers(spark, sf_dir).select("config", "item_id", "status", "answer", "abstained")
 
