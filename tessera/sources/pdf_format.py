@@ -22,6 +22,8 @@ TOKEN = re.compile(GAP + rb"(<<|>>|[\[\](){}]|<[0-9A-Fa-f\s]*>|/[^\x00\t\n\f\r (
 REFERENCE = re.compile(GAP + rb"(\d+)" + GAP + rb"R(?![^\x00\t\n\f\r ()<>\[\]{}/%])")
 NUMBER = re.compile(rb"[+-]?(?:\d+\.?\d*|\.\d+)")
 HEAD = re.compile(rb"(\d+)\s+(\d+)\s+obj\b")
+STARTS = b"0123456789+-."
+STOP, OCTAL, LINE_END = re.compile(rb"[()\\]"), re.compile(rb"[0-7]{1,3}"), re.compile(rb"\r\n|\r|\n")
 ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
 TAIL = 4096
 #: Objects inside objects and forms inside forms at most, against files that hold themselves.
@@ -95,15 +97,15 @@ def parsed(data: bytes, at: int, depth: int = 0) -> tuple[Any, int]:
     if not found or depth > DEPTH:
         return Word(b""), len(data)
     word, at = found[1], found.end()
+    if word == b"(":
+        return literal(data, at)
     first = word[:1]
     if first == b"/":
         return Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), word[1:]).decode("latin-1")), at
-    if NUMBER.fullmatch(word):
+    if first in STARTS and NUMBER.fullmatch(word):
         if word.isdigit() and (ref := REFERENCE.match(data, at)):
             return Ref(int(word)), ref.end()
         return (float(word) if b"." in word else int(word)), at
-    if word == b"(":
-        return literal(data, at)
     if first == b"<" and word != b"<<":
         digits = re.sub(rb"\s", b"", word[1:-1])
         return binascii.unhexlify(digits + b"0" * (len(digits) % 2)), at
@@ -129,13 +131,11 @@ class Word(bytes):
 def literal(data: bytes, at: int) -> tuple[bytes, int]:
     """A string in round brackets, from behind the first one."""
     out, level = bytearray(), 1
-    stop = re.compile(rb"[()\\]")
-    while found := stop.search(data, at):
+    while found := STOP.search(data, at):
         out += data[at : found.start()]
         sign, at = found[0], found.end()
         if sign == b"\\":
-            octal = re.compile(rb"[0-7]{1,3}").match(data, at)
-            line = re.compile(rb"\r\n|\r|\n").match(data, at)
+            octal, line = OCTAL.match(data, at), LINE_END.match(data, at)
             if octal:
                 out.append(int(octal[0], 8) & 255)
                 at = octal.end()

@@ -91,16 +91,15 @@ class Font:
                     plain[code] = glyph(item)
                     code += 1
             self.map = plain | self.map
+            self.table = [self.map.get(code, "") for code in range(256)]
 
-    def read(self, raw: bytes) -> Iterator[tuple[str, float, bool]]:
-        """(text, width, is the space that word spacing widens)."""
+    def read(self, raw: bytes) -> tuple[str, float, int, int]:
+        """(text, sum of the widths, codes, spaces that word spacing widens)."""
         if self.wide:
-            for k in range(0, len(raw) - 1, 2):
-                code = raw[k] << 8 | raw[k + 1]
-                yield self.map.get(code, ""), self.widths.get(code, self.width), False
-        else:
-            for code in raw:
-                yield self.map.get(code, ""), self.widths.get(code, self.width), code == 32
+            codes = [raw[k] << 8 | raw[k + 1] for k in range(0, len(raw) - 1, 2)]
+            return "".join([self.map.get(c, "") for c in codes]), sum([self.widths.get(c, self.width) for c in codes]), len(codes), 0
+        width = sum([self.widths.get(c, self.width) for c in raw]) if self.widths else self.width * len(raw)
+        return "".join([self.table[c] for c in raw]), width, len(raw), raw.count(32)
 
 
 @dataclass
@@ -151,15 +150,14 @@ class Page:
             if not font:
                 return
             where = product((size * scale, 0, 0, size, 0, rise), product(text, ctm))
-            begin, said, moved = where[4:], [], 0.0
-            for glyphs, width, is_space in font.read(raw):
-                said.append(glyphs)
-                moved += (width / 1000 * size + apart + (between if is_space else 0)) * scale
+            begin = where[4:]
+            said, width, codes, spaces = font.read(raw)
+            moved = (width / 1000 * size + apart * codes + between * spaces) * scale
             text = product((1, 0, 0, 1, moved, 0), text)
             after = product((size * scale, 0, 0, size, 0, rise), product(text, ctm))
             height = (where[2] ** 2 + where[3] ** 2) ** 0.5 or 1.0
             if said:
-                self.spans.append(Span(begin[0], after[4], begin[1], height, "".join(said)))
+                self.spans.append(Span(begin[0], after[4], begin[1], height, said))
 
         def down(x: float, y: float) -> None:
             nonlocal text, line
@@ -252,21 +250,33 @@ def lines(spans: list[Span]) -> list[Span]:
     return [s for s in out if s.text.strip()]
 
 
+@dataclass
+class Block:
+    lines: list[Span]
+    left: float
+    right: float
+
+
 def blocks(spans: list[Span]) -> list[str]:
     """Texts of the blocks: lines of about one size, one below the other; in order from the top, then from the left."""
-    open_: list[list[Span]] = []
+    found: list[Block] = []
+    near: list[Block] = []  # those that a line may still be close to
+    largest = max((s.size for s in spans), default=0.0)
     for line in lines(spans):
-        for block in reversed(open_):
-            last = block[-1]
+        near = [b for b in near if b.lines[-1].y - line.y <= LINE_GAP * largest]
+        for block in reversed(near):
+            last = block.lines[-1]
             size = max(last.size, line.size)
             close = 0 < last.y - line.y <= LINE_GAP * size and min(last.size, line.size) > 0.8 * size
-            if close and line.x < max(s.end for s in block) and line.end > min(s.x for s in block):
-                block.append(line)
+            if close and line.x < block.right and line.end > block.left:
+                block.lines.append(line)
+                block.left, block.right = min(block.left, line.x), max(block.right, line.end)
                 break
         else:
-            open_.append([line])
-    order = sorted(open_, key=lambda b: (-round(b[0].y, 1), b[0].x))
-    return ["\n".join(s.text for s in b) for b in order]
+            near.append(Block([line], line.x, line.end))
+            found.append(near[-1])
+    order = sorted(found, key=lambda b: (-round(b.lines[0].y, 1), b.lines[0].x))
+    return ["\n".join(s.text for s in b.lines) for b in order]
 
 
 def pages(pdf: PdfFile, begin: int, end: int) -> Iterator[tuple[int, str | None, list[str]]]:

@@ -16,6 +16,7 @@ CODES = 60_000
 #: What the first font, Helvetica, shows by its own codes.
 PLAIN = "".join(sorted(set(bytes(range(32, 256)).decode("cp1252", "ignore")) - {"\x7f"}))
 RUNS = re.compile(f"(?s)[{re.escape(PLAIN)}]+|[^{re.escape(PLAIN)}]+")
+SPECIAL = re.compile(rb"[()\\]")
 BLANK_LINES = re.compile(r"\n\s*\n")
 #: Where a line may be cut: a single space, not behind a hyphen, as readers would join the words.
 CUT = re.compile("(?<=[^ -]) (?=[^ ])")
@@ -69,15 +70,22 @@ class PdfWriter:
     def full(self) -> bool:
         return len(self.codes) >= CODES
 
-    def shown(self, line: str, size: int) -> bytes:
-        """The operators that show a line, in runs of the two fonts."""
-        out = []
-        for run in RUNS.findall(line):
-            if run[0] in PLAIN:
-                out.append(b"/F1 %d Tf (%b) Tj" % (size, re.sub(rb"([()\\])", rb"\\\1", run.encode("cp1252"))))
-            else:
-                codes = b"".join(self.codes.setdefault(c, len(self.codes) + 1).to_bytes(2, "big") for c in run)
-                out.append(b"/F2 %d Tf <%b> Tj" % (size, codes.hex().encode()))
+    def shown(self, lines: list[str], size: int) -> bytes:
+        """The operators that show lines, one below the other, in runs of the two fonts."""
+        out, font = [], b""
+        for k, line in enumerate(lines):
+            if k:
+                out.append(b"T*")
+            for run in RUNS.findall(line):
+                wanted = b"/F1" if run[0] in PLAIN else b"/F2"
+                if wanted != font:
+                    font = wanted
+                    out.append(b"%b %d Tf" % (font, size))
+                if font == b"/F1":
+                    out.append(b"(%b) Tj" % SPECIAL.sub(rb"\\\g<0>", run.encode("cp1252")))
+                else:
+                    codes = b"".join(self.codes.setdefault(c, len(self.codes) + 1).to_bytes(2, "big") for c in run)
+                    out.append(b"<%b> Tj" % codes.hex().encode())
         return b" ".join(out)
 
     def page(self, text: str, label: str | None = None, title: str | None = None, footer: str | None = None) -> None:
@@ -85,12 +93,11 @@ class PdfWriter:
         parts = [(TITLE, title)] * bool(title) + [(TEXT, p) for p in BLANK_LINES.split(text)] + [(FOOTER, footer)] * bool(footer)
         placed, down = [], 0.0
         for size, part in parts:
-            for line in wrapped(part):
-                down += APART * size
-                placed.append((down, size, line))
-            down += 2 * APART * size
+            if lines := wrapped(part):
+                placed.append((down + APART * size, size, lines))
+                down += APART * size * (len(lines) + 2)
         height = max(HEIGHT, round(down) + 2 * MARGIN)
-        body = [b"BT 1 0 0 1 %d %.2f Tm %b ET" % (MARGIN, height - MARGIN - y, self.shown(line, size)) for y, size, line in placed]
+        body = [b"BT 1 0 0 1 %d %.2f Tm %.2f TL %b ET" % (MARGIN, height - MARGIN - y, APART * size, self.shown(lines, size)) for y, size, lines in placed]
         content, number = self.reserved(), self.reserved()
         self.stream(content, b"\n".join(body))
         info = b"" if label is None else b" /PieceInfo << /Tessera << /LastModified (D:19700101000000Z) /Private <%b> >> >>" % label.encode("utf-8", "surrogatepass").hex().encode()
