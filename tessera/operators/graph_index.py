@@ -86,6 +86,13 @@ def nearest_cells(m: np.ndarray, centres: np.ndarray, k: int = 1) -> np.ndarray:
     return np.take_along_axis(near, np.take_along_axis(distance, near, 1).argsort(axis=1, kind="stable"), 1)
 
 
+def some_vectors(rows: DataFrame, n: int, wanted: int, salt: int) -> DataFrame:
+    """v: about as many of the distinct vectors of n rows as are wanted, or fewer where vectors repeat; the same ones each time."""
+    places = 1 << 30
+    share = min(places, math.ceil(places * wanted / max(n, 1)))
+    return rows.select("v").where(F.pmod(F.xxhash64("v", F.lit(salt)), F.lit(places)) < share).distinct()
+
+
 def fitted_centres(rows: DataFrame, n: int, length: int) -> np.ndarray:
     """Centres of the cells (rows of a matrix), by Lloyd's rounds on a sample of SAMPLE_A_CELL rows a cell."""
     spark = rows.sparkSession
@@ -93,10 +100,8 @@ def fitted_centres(rows: DataFrame, n: int, length: int) -> np.ndarray:
     if cells == 1:
         return np.zeros((1, length), np.float32)
     folder = work_dir(spark, "quantiser")
-    places = 1 << 20
-    pick = F.pmod(F.xxhash64("v"), F.lit(places)) < min(places, math.ceil(places * SAMPLE_A_CELL * cells / n))
-    sample = stored(rows.where(pick).select("v"), folder, "sample")
-    first = sample.dropDuplicates(["v"]).orderBy(F.xxhash64("v", F.lit(1))).limit(cells).collect()
+    sample = stored(some_vectors(rows, n, SAMPLE_A_CELL * cells, 0), folder, "sample")
+    first = sample.orderBy(F.xxhash64("v", F.lit(1))).limit(cells).collect()
     centres = unit(np.array([r["v"] for r in first], np.float32).reshape(-1, length))
     for _ in range(ROUNDS):
         sent = spark.sparkContext.broadcast(centres)
@@ -326,7 +331,7 @@ class GraphIndex:
 
     def measured_probes(self, assigned: DataFrame, k: int, target: float) -> int:
         """The fewest nearest cells of a row that hold the wanted share of its k nearest rows, over MEASURED rows."""
-        sample = assigned.orderBy(F.xxhash64("v", F.lit(2)), "id").limit(MEASURED)
+        sample = some_vectors(assigned, assigned.count(), 4 * MEASURED, 2).orderBy(F.xxhash64("v", F.lit(3))).limit(MEASURED)
         asked = sample.select(F.monotonically_increasing_id().alias("qid"), F.col("v").alias("qv"))
         asked = self.spark.createDataFrame(asked.collect(), "qid long, qv array<float>")
         near = top_k_dense(assigned, "id", asked.withColumnRenamed("qv", "v"), "qid", k, "v")

@@ -15,11 +15,13 @@ A batch without new ids makes no version. Columns are matched by name; one that
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -203,21 +205,23 @@ class Store:
 
     def add(self, rows: DataFrame) -> int:
         """Add the rows whose ids are not there yet; returns how many. Safe beside other writers."""
-        for _ in range(TRIES):
-            base = snapshot(self.path)
-            key, names = base["key"], [f["name"] for f in base["schema"]["fields"]]
-            folder = work_dir(self.spark, "store")
-            fresh = stored(self.missing(rows.select(*names), key, base["version"]), folder, "fresh")
-            n = fresh.count()
-            try:
-                if n:
-                    fresh.write.format(NAME).mode("append").option("base", base["version"]).save(self.path)
-                return n
-            except Exception as e:
-                if "StoreConflict" not in str(e):
-                    raise
-            finally:
-                deleted(self.spark, folder, "fresh")
+        key, names = (base := snapshot(self.path))["key"], [f["name"] for f in base["schema"]["fields"]]
+        folder = work_dir(self.spark, "store")
+        batch = stored(rows.select(*names), folder, "batch")  # it is read several times
+        try:
+            for k in range(TRIES):
+                base = snapshot(self.path)
+                fresh = stored(self.missing(batch, key, base["version"]), folder, f"fresh-{k}")
+                n = fresh.count()
+                try:
+                    if n:
+                        fresh.write.format(NAME).mode("append").option("base", base["version"]).save(self.path)
+                    return n
+                except Exception as e:
+                    if "StoreConflict" not in str(e):
+                        raise
+        finally:
+            deleted(self.spark, folder, "batch", *[f"fresh-{k}" for k in range(TRIES)])
         raise StoreConflict(f"other writers came first {TRIES} times")
 
     def missing(self, rows: DataFrame, key: str, version: int) -> DataFrame:
@@ -238,3 +242,15 @@ class Store:
         rows = self.read(base["version"]).repartition(parts)
         rows.write.format(NAME).mode("append").option("base", base["version"]).option("replace", "true").save(self.path)
         return base["version"] + 1
+
+    def vacuum(self, seconds: float = 7 * 86400.0) -> int:
+        """Delete data files that no manifest names and that are older: what killed tasks have left, and could still be writing if younger.
+
+        Returns how many.
+        """
+        fs, top = open_fs(self.path)
+        named = {f["name"] for path, _ in files_below(f"{self.path}/manifests", ".json") for f in json.loads(fs.open_input_file(path).read())}
+        found = fs.get_file_info(pafs.FileSelector(f"{top}/data", allow_not_found=True))
+        gone = [f.base_name for f in found if f.is_file and f.base_name not in named and f.mtime_ns / 1e9 <= time.time() - seconds]
+        removed(f"{self.path}/data", gone)
+        return len(gone)

@@ -69,6 +69,13 @@ def test_every_row_is_in_the_index_once(spark, tmp_path, small_cells):
     assert index.search(frame(spark, odd).withColumnRenamed("vec_id", "qid"), "qid").collect() == []
 
 
+def test_a_hot_vector_is_once_in_a_sample(spark):
+    rows = frame(spark, [(k, [1.0, 2.0]) for k in range(500)] + [(k, [float(k), 1.0]) for k in range(500, 1000)]).withColumnRenamed("embedding", "v")
+    found = [tuple(r.v) for r in graph_index.some_vectors(rows, 1000, 10_000, 0).collect()]
+    assert len(found) == len(set(found)) == 501
+    assert 20 < graph_index.some_vectors(rows, 1000, 100, 0).count() < 120
+
+
 def test_rows_that_are_added_are_found(spark, tmp_path, small_cells):
     rows = clustered(800)
     index = GraphIndex.build(frame(spark, rows[:600]), "vec_id", f"{tmp_path}/index")
