@@ -39,6 +39,8 @@ BUCKETS = 64
 QUIET = 60.0
 EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Batches write what changed, not a whole store each.
+CHANGES = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PAGES = "source string, page long, expected long, arrived timestamp, chunks array<string>, digest long, n int"
 DELTAS = "source string, pages long, chunks long, digests long, expected long"
@@ -149,12 +151,12 @@ def start(
     running = []
     for name, rows in steps:
         to = lambda rows=rows, name=name: rows().writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoints/{name}").option("path", f"{path}/{name}")
-        with settings(spark, {PROVIDER: ROCKS, EMPTY_BATCHES: str(not once).lower()}):
+        with settings(spark, {PROVIDER: ROCKS, CHANGES: "true", EMPTY_BATCHES: str(not once).lower()}):
             running.append((to().trigger(availableNow=True) if once else to()).start())
         if once:
             running[-1].awaitTermination()
     if once:
-        with settings(spark, {PROVIDER: ROCKS}):
+        with settings(spark, {PROVIDER: ROCKS, CHANGES: "true"}):
             to().trigger(once=True).start().awaitTermination()  # a batch without data, for timers
     return running
 
@@ -162,14 +164,14 @@ def start(
 @contextmanager
 def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
     """Settings for queries that begin meanwhile: a query keeps those that it began with."""
-    before = {name: spark.conf.get(name) for name in wanted}
+    before = {name: spark.conf.get(name, None) for name in wanted}
     for name, value in wanted.items():
         spark.conf.set(name, value)
     try:
         yield
     finally:
         for name, value in before.items():
-            spark.conf.set(name, value)
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def registered(spark: SparkSession, path: str) -> DataFrame:
