@@ -39,9 +39,11 @@ BUCKETS = 64
 QUIET = 60.0
 EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-#: Batches write what changed, not a whole store each.
-CHANGES = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Batches write what changed, not a whole store each; a store, of which there is one a partition, takes no disk before it needs it.
+STATE = {
+    PROVIDER: ROCKS, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 PAGES = "source string, page long, expected long, arrived timestamp, chunks array<string>, digest long, n int"
 DELTAS = "source string, pages long, chunks long, digests long, expected long"
 REGISTRY = "source string, revision long, n_pages long, n_chunks long, digests long, why string"
@@ -151,12 +153,12 @@ def start(
     running = []
     for name, rows in steps:
         to = lambda rows=rows, name=name: rows().writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoints/{name}").option("path", f"{path}/{name}")
-        with settings(spark, {PROVIDER: ROCKS, CHANGES: "true", EMPTY_BATCHES: str(not once).lower()}):
+        with settings(spark, STATE | {EMPTY_BATCHES: str(not once).lower()}):
             running.append((to().trigger(availableNow=True) if once else to()).start())
         if once:
             running[-1].awaitTermination()
     if once:
-        with settings(spark, {PROVIDER: ROCKS, CHANGES: "true"}):
+        with settings(spark, STATE):
             to().trigger(once=True).start().awaitTermination()  # a batch without data, for timers
     return running
 
