@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,3 +40,11 @@ def deleted(spark: SparkSession, folder: str, *names: str) -> None:
     for name in names:
         path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
         path.getFileSystem(conf).delete(path, True)
+
+
+def freed(spark: SparkSession) -> None:
+    """Have Spark remove the shuffle files that no plan needs any more: it does so as the driver's garbage is collected, Python's plans first."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)

@@ -84,3 +84,27 @@ def test_no_words(spark):
     for rows in ([], [(1, None), (2, "the of and")], [(1, "alone")]):
         got = vectors_of(learned.learned_vectors(frame(spark, rows), dim=4))
         assert {k: v.tolist() for k, v in got.items()} == {k: [0.0] * 4 for k, _ in rows}
+
+
+def test_counts_are_small_and_whole(spark, tmp_path):
+    """Several blocks of words: pairs as counted one by one, in few bytes each, and the product with random signs as Spark's hash gives them."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    size, window = 2 * learned.BLOCK + 100, 3
+    docs = [rng.zipf(1.3, 400) % (size + 1) - 1 for _ in range(300)]
+    df = spark.createDataFrame([(d.tolist(),) for d in docs], "codes array<int>").repartition(3)
+    want = Counter()
+    for d in docs:
+        for step in range(1, window + 1):
+            want.update((min(a, b), max(a, b)) for a, b in zip(d[:-step].tolist(), d[step:].tolist(), strict=True) if min(a, b) >= 0)
+    counts = learned.counts_of(df, size, window).cache()
+    got, held = {}, 0
+    for r in counts.collect():
+        keys, n = learned.unpacked(bytes(r.data), r.n)
+        held += len(r.data)
+        got |= {(r.own * learned.BLOCK + k // learned.BLOCK, r.other * learned.BLOCK + k % learned.BLOCK): c for k, c in zip(keys.tolist(), n.tolist(), strict=True)}
+    assert got == dict(want) and held < 6 * len(want)
+    ids = np.arange(-5, 5, dtype=np.int64) * 10**15
+    ours = spark.createDataFrame([(int(i),) for i in ids], "i long").select("i", *[(F.xxhash64("i", F.lit(c)) % 2 == 0).alias(f"c{c}") for c in range(3)]).collect()
+    assert {r.i: [1.0 if x else -1.0 for x in r[1:]] for r in ours} == dict(zip(ids.tolist(), learned.signs(ids, 3).tolist(), strict=True))
