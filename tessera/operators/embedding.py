@@ -53,9 +53,7 @@ def dense(places: list[np.ndarray], dim: int) -> np.ndarray:
     """Whole-number vectors (rows) of signed buckets."""
     owner = np.repeat(np.arange(len(places)), [len(p) for p in places])
     flat = np.concatenate(places).astype(np.int64) if len(places) else np.empty(0, np.int64)
-    out = np.zeros((len(places), dim))
-    np.add.at(out, (owner, np.abs(flat) - 1), np.sign(flat))
-    return out
+    return np.bincount(owner * dim + np.abs(flat) - 1, np.sign(flat), len(places) * dim).reshape(len(places), dim)
 
 
 def model_embeddings(rows: DataFrame, key: str, load: Callable[[], Encoder], text: str = "text") -> DataFrame:

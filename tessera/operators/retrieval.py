@@ -4,7 +4,8 @@ Each task scores its rows against one block of questions with a matrix product a
 question, so what is shuffled grows with tasks * questions * k and not with rows * questions. Zero and negative scores
 count, so every question gets min(k, n) rows. Blocks are cut by `BLOCK_QUESTIONS`; where there are several, each is a job
 of its own whose candidates are written, so a question set of any size is never in memory as a whole. A task keeps a
-running best k and never the candidates of all its rows.
+running best k and never the candidates of all its rows. Hashed vectors are first scored in single precision, and only pairs that can
+reach a question's best k so far are scored exactly; the work is still the product of questions and chunks.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ ROWS = 2048
 DIGITS = 9
 #: A task cuts its candidates to the best when it holds so many times as many.
 KEPT = 8
+#: Above what the rounding of single precision adds up to in a cosine; pairs that are scored exactly at once.
+SLACK, PAIRS = 1e-4, 2048
 
 
 def blocks(rows: DataFrame, key: str, size: int) -> tuple[int, Iterator[list]]:
@@ -51,8 +54,59 @@ def ranked(candidates: DataFrame, qid: str, key: str, k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def few_copies(m: np.ndarray, k: int) -> np.ndarray:
+    """The rows (in order) without those that have k equal ones before them."""
+    code = m.astype(np.int64) @ np.random.default_rng(1).integers(1, 1 << 62, m.shape[1])
+    order = np.argsort(code, kind="stable")
+    at = np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]])
+    sizes = np.diff(np.r_[at, len(order)])
+    late = np.arange(len(order)) - np.repeat(at, sizes) >= k
+    first = np.repeat(order[at], sizes)[late]
+    gone = order[late]
+    return np.setdiff1d(np.arange(len(m)), gone[(m[gone] == m[first]).all(axis=1)], assume_unique=True)
+
+
+def finder(q: np.ndarray, k: int):
+    """rows -> (questions, rows, scores) that hold the best k of all rows so far, of equal scores the first rows; to be called part by part."""
+    unit = lambda m, m2: (m / np.sqrt(np.where(m2 == 0, 1.0, m2))[:, None]).astype(np.float32)
+    q2 = (q * q).sum(axis=1)
+    said, silent = np.flatnonzero(q2), np.flatnonzero(q2 == 0)
+    narrow = unit(q[said], q2[said])
+    top = np.full((len(said), k), -np.inf)  # the best exact scores so far
+
+    def find(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        nonlocal top
+        few = few_copies(m, k)
+        m = m[few]
+        m2 = (m * m).sum(axis=1)
+        near = narrow @ unit(m, m2).T
+        least = top.min(axis=1) - SLACK
+        if len(m) > k and np.isinf(least).any():
+            least = np.maximum(least, np.partition(near, len(m) - k, axis=1)[:, len(m) - k] - 2 * SLACK)
+        a, r = np.nonzero(near >= least.astype(np.float32)[:, None])
+        s = np.empty(len(a))
+        for at in range(0, len(a), PAIRS):
+            own, row = said[a[at : at + PAIRS]], r[at : at + PAIRS]
+            s[at : at + PAIRS] = np.round(np.einsum("ij,ij->i", q[own], m[row]) / np.where(m2[row] == 0, 1.0, np.sqrt(q2[own] * m2[row])), DIGITS)
+        keep = s >= top.min(axis=1)[a]
+        a, r, s = a[keep], r[keep], s[keep]
+        order = np.lexsort((r, -s, a))
+        a, r, s = a[order], r[order], s[order]
+        place = np.arange(len(a)) - np.searchsorted(a, a)
+        a, r, s, place = (x[place < k] for x in (a, r, s, place))
+        new = np.full(top.shape, -np.inf)
+        new[a, place] = s
+        top = -np.sort(-np.hstack([top, new]), axis=1)[:, :k]
+        none = min(k, len(m))
+        q_found = np.r_[said[a], np.repeat(silent, none)]
+        return q_found, few[np.r_[r, np.tile(np.arange(none), len(silent))]], np.r_[s, np.zeros(none * len(silent))]
+
+    return find
+
+
 def scored(rows: DataFrame, key: str, vectors, questions: list[tuple], qid: str, qkind: str, score, k: int) -> DataFrame:
-    """Candidates (qid, key, score) of one block. vectors: batch -> matrix; score: (matrix, questions) -> scores."""
+    """Candidates (qid, key, score) of one block. vectors: batch -> matrix; score() gives a task's function of a matrix, with a row for each
+    question's candidates: (questions, rows, scores)."""
     kind = rows.schema[key].dataType.simpleString()
     ids = [q[0] for q in questions]
 
@@ -60,15 +114,27 @@ def scored(rows: DataFrame, key: str, vectors, questions: list[tuple], qid: str,
         frame = frame.sort_values(["q", "score", key], ascending=[True, False, True])
         return frame.groupby("q", sort=False).head(k)
 
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """ROWS rows each but for the last, as batches of long texts are small."""
+        waiting: list[pd.DataFrame] = []
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                waiting.append(batch.iloc[at : at + ROWS])
+                if sum(map(len, waiting)) >= ROWS:
+                    yield pd.concat(waiting)
+                    waiting = []
+        if waiting:
+            yield pd.concat(waiting)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         size = 0
-        for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                part = batch.iloc[at : at + ROWS].sort_values(key)
-                s = np.round(score(vectors(part)), DIGITS)  # questions x rows
-                q, r = np.nonzero(best_of(s, k))
-                held.append(pd.DataFrame({"q": q, key: part[key].to_numpy()[r], "score": s[q, r]}))
+        find = score()
+        for part in parts(batches):
+            if ids:
+                part = part.sort_values(key)
+                q, r, s = find(vectors(part))
+                held.append(pd.DataFrame({"q": q, key: part[key].to_numpy()[r], "score": s}))
                 size += len(q)
                 if size > KEPT * k * len(ids):
                     held = [best(pd.concat(held))]
@@ -113,16 +179,7 @@ def top_k_hashed(
     def prepare(block: list) -> np.ndarray:
         return dense([np.asarray(r["places"], np.int64) for r in block], dim)
 
-    def score_of(q: np.ndarray):
-        q2 = (q * q).sum(axis=1)
-
-        def score(m: np.ndarray) -> np.ndarray:
-            length = np.sqrt(q2[:, None] * (m * m).sum(axis=1)[None, :])
-            return (q @ m.T) / np.where(length == 0, 1.0, length)
-
-        return score
-
-    return top_k(rows, key, asked, qid, k, vectors, prepare, score_of)
+    return top_k(rows, key, asked, qid, k, vectors, prepare, lambda q: lambda: finder(q, k))
 
 
 def top_k_dense(rows: DataFrame, key: str, questions: DataFrame, qid: str, k: int = DEFAULTS.top_k, vector: str = "embedding") -> DataFrame:
@@ -140,14 +197,15 @@ def top_k_dense(rows: DataFrame, key: str, questions: DataFrame, qid: str, k: in
     def score_of(q: np.ndarray):
         q2 = np.array([total(x[None, :], x[None, :])[0, 0] for x in q])
 
-        def score(m: np.ndarray) -> np.ndarray:
+        def score(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             m2 = np.zeros(len(m))
             for j in range(m.shape[1]):
                 m2 += m[:, j] * m[:, j]
             length = np.sqrt(q2)[:, None] * np.sqrt(m2)[None, :]
-            return total(m, q) / np.where(length == 0, 1.0, length)
+            s = np.round(total(m, q) / np.where(length == 0, 1.0, length), DIGITS)
+            return (*(found := np.nonzero(best_of(s, k))), s[found])
 
-        return score
+        return lambda: score
 
     asked = questions.select(F.col(qid), F.col(vector).alias("vector"))
     return top_k(

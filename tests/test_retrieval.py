@@ -108,3 +108,22 @@ def test_context(spark):
 def test_ties_are_cut_to_k_in_every_batch():
     scores = np.array([[0.0, 0.0, 0.0, 0.0], [1.0, 0.0, 2.0, 1.0]])
     assert retrieval.best_of(scores, 2).tolist() == [[True, True, False, False], [True, False, True, False]]
+
+
+def test_screened_pairs_are_the_best_of_all():
+    """Part by part, with copies, rows and questions without words: as scoring every pair, and few pairs are handed on."""
+    rng = np.random.default_rng(7)
+    m = rng.integers(-2, 3, (900, 512)) * (rng.random((900, 512)) < 0.1)
+    m[rng.integers(0, 900, 400)] = m[5]
+    m[[3, 500]] = 0
+    q = np.vstack([m[[5, 9, 3]], rng.integers(-2, 3, (40, 512)) * (rng.random((40, 512)) < 0.05)]).astype(float)
+    length = np.sqrt((q * q).sum(axis=1)[:, None] * (m * m).sum(axis=1)[None, :])
+    s = np.round((q @ m.T) / np.where(length == 0, 1.0, length), retrieval.DIGITS)
+    for k, step in ((1, 300), (4, 128), (4, 3)):
+        find, found = retrieval.finder(q, k), []
+        for at in range(0, 900, step):
+            a, r, x = find(m[at : at + step].astype(float))
+            found += [(i, -y, at + j) for i, j, y in zip(a.tolist(), r.tolist(), x.tolist(), strict=True)]
+            assert len(a) <= k * len(q)
+        for i in range(len(q)):
+            assert sorted((y, j) for n, y, j in found if n == i)[:k] == sorted(zip((-s[i]).tolist(), range(900), strict=True))[:k]
