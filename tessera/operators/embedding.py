@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,9 @@ STOP_WORDS = (
     "this to was were what when where which who why will with does do did can"
 ).split()
 
+#: Rows whose vectors a task holds at once.
+VECTORS = 256
+
 #: texts -> one vector (all of the same length) each
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -41,12 +45,38 @@ def signed_buckets(text: Column, dim: int = DEFAULTS.embed_dim) -> Column:
 
 
 def hash_embed(rows: DataFrame, key: str, text: str = "text", dim: int = DEFAULTS.embed_dim) -> DataFrame:
-    """key, bucket, value (a whole number), norm2 (the squared length): the sparse vectors, zero buckets left out."""
-    places = rows.select(key, F.explode(signed_buckets(F.col(text), dim)).alias("p"))
-    value = F.sum(F.signum("p")).cast("long")
-    sums = places.groupBy(key, (F.abs("p") - 1).alias("bucket")).agg(value.alias("value")).where("value <> 0")
+    """key, bucket, value (a whole number), norm2 (the squared length): the sparse vectors, zero buckets left out.
+
+    A row's vector is made in its own task. Only rows whose keys are repeated are added up in a shuffle; keys that are null have no vector.
+    """
+    rows = rows.select(key, F.col(text).alias("text")).where(F.col(key).isNotNull())
+    repeated = rows.groupBy(key).count().where("count > 1").select(key)
+    if repeated.isEmpty():
+        return sparse(rows, key, dim)
+    sums = sparse(rows.join(repeated, key, "left_semi"), key, dim).groupBy(key, "bucket").agg(F.sum("value").alias("value")).where("value <> 0")
     norms = sums.groupBy(key).agg(F.sum(F.col("value") * F.col("value")).alias("norm2"))
-    return sums.join(norms, key).select(key, "bucket", "value", "norm2")
+    return sparse(rows.join(repeated, key, "left_anti"), key, dim).union(sums.join(norms, key).select(key, "bucket", "value", "norm2"))
+
+
+def sparse(rows: DataFrame, key: str, dim: int) -> DataFrame:
+    """key, bucket, value, norm2 of each row's own vector."""
+    placed = rows.select(key, signed_buckets(F.col("text"), dim).alias("places"))
+    kind = placed.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places = b.column("places")
+            owner = np.repeat(np.arange(b.num_rows), places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            flat = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            for at in range(0, b.num_rows, VECTORS):
+                end = min(at + VECTORS, b.num_rows)
+                own = slice(*np.searchsorted(owner, (at, end)))
+                v = np.bincount((owner[own] - at) * dim + np.abs(flat[own]) - 1, np.sign(flat[own]), (end - at) * dim).astype(np.int64).reshape(-1, dim)
+                row, bucket = np.nonzero(v)
+                columns = [b.column(key).take(pa.array(row + at)), pa.array(bucket, pa.int32()), *(pa.array(x) for x in (v[row, bucket], (v * v).sum(axis=1)[row]))]
+                yield pa.RecordBatch.from_arrays(columns, [key, "bucket", "value", "norm2"])
+
+    return placed.mapInArrow(run, f"`{key}` {kind}, bucket int, value long, norm2 long")
 
 
 def dense(places: list[np.ndarray], dim: int) -> np.ndarray:

@@ -127,3 +127,21 @@ def test_screened_pairs_are_the_best_of_all():
             assert len(a) <= k * len(q)
         for i in range(len(q)):
             assert sorted((y, j) for n, y, j in found if n == i)[:k] == sorted(zip((-s[i]).tolist(), range(900), strict=True))[:k]
+
+
+def test_sparse_vectors_of_single_keys_are_not_shuffled(spark):
+    """Repeated keys are added up, null keys have no vector, and rows with keys of their own stay in their tasks."""
+    texts = [*CHUNKS, ("c7", None), (None, "lost words"), ("c1", "Staff leave; thirty parrots."), ("c1", "sixteen parrots")]
+    rows = spark.createDataFrame(texts, "id string, text string").repartition(3)
+    single = embedding.hash_embed(rows.where("id <> 'c1'"), "id")
+    assert "Exchange hashpartitioning" not in single._jdf.queryExecution().toString()
+    for df, left in ((rows, texts), (rows.where("id <> 'c1'"), [t for t in texts if t[0] != "c1"])):
+        joined = {i: " ".join(t or "" for k, t in left if k == i) for i, _ in left if i}
+        found = embedding.hash_embed(df, "id").collect()
+        for i, text in joined.items():
+            v, want = np.zeros(512), plain_vector(text)
+            for r in found:
+                if r.id == i:
+                    v[r.bucket] = r.value / np.sqrt(r.norm2)
+            assert np.allclose(v, want)
+        assert {r.id for r in found} <= set(joined) and len({(r.id, r.bucket) for r in found}) == len(found)
