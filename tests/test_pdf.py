@@ -223,3 +223,34 @@ def test_the_sample_document(spark, tmp_path):
     for k, text in want.items():
         title, body = text.split("\n\n")
         assert got[k] == f"{title}\n\n{body}\n\nHarbour rules, page {k}"
+
+
+def test_lines_are_cut_and_read_at_once(monkeypatch):
+    """Lines as cut place by place, and less than one parsed object for each line that is shown."""
+    import io
+    import random
+
+    from tessera.sources import pdf_format, pdf_text, pdf_write
+
+    def plain(line):
+        out, begin, last = [], 0, 0
+        for cut in (*(m.start() for m in pdf_write.CUT.finditer(line)), len(line)):
+            if cut - begin > pdf_write.LINE and last > begin:
+                out.append(line[begin:last])
+                begin = last + 1
+            last = cut
+        return [x for x in (*out, line[begin:]) if x.strip()]
+
+    rng = random.Random(4)
+    for _ in range(300):
+        line = "".join(rng.choice(["a", "bcd-", " ", " ", "  ", "efghijk", "x" * rng.randint(1, 120)]) for _ in range(rng.randint(0, 60)))
+        assert pdf_write.wrapped(line) == plain(line)
+    text = "\n".join(f"line {k} of a text, and so on" for k in range(200))
+    out = io.BytesIO()
+    writer = pdf_write.PdfWriter(out)
+    writer.page(text, "1")
+    writer.close()
+    calls = []
+    monkeypatch.setattr(pdf_text, "parsed", lambda *a: calls.append(1) or pdf_format.parsed(*a))
+    found = list(pdf_text.pages(pdf_format.PdfFile(io.BytesIO(out.getvalue()), len(out.getvalue())), 0, 1))
+    assert [x[2] for x in found] == [[text]] and len(calls) < 200
