@@ -15,13 +15,14 @@ parts and no rows; other columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +30,10 @@ from tokenizers import Tokenizer
 
 from tessera.llm.common import as_bytes, only, open_fs, release, shuffle_partitions, stored, take_turn, work_dir
 
-#: A worker forgets its words beyond this many.
-CACHED_WORDS = 200_000
+#: Words that a worker remembers, their characters at most, and bytes of text that it takes at once: memory alone, ids are the same without.
+CACHED_WORDS = 400_000
+SHORT = 32
+RUN_BYTES = 8_000_000
 #: Bytes of text in a part, and documents of a part read at once.
 PART_BYTES = 256_000_000
 PIECE_DOCS = 20_000
@@ -46,14 +49,16 @@ def visible_bytes() -> dict[int, str]:
 
 
 class WordEncoder:
-    """Encodes texts piece by piece between ASCII white space, each distinct piece once.
+    """Encodes runs of texts by their pieces between ASCII white space, and each distinct word of these once.
 
     Sound where the tokenizer drops white space and never looks across it, as the normalizer and the
     pre-tokenizer of the word-end BPE files do; checked on opening, else whole texts are encoded. Pieces of plain
-    Latin letters, digits and signs go straight to the library's BPE model; all others through its whole encoder.
+    Latin letters, digits and signs are cut into words, and each new word goes to the library's BPE model; all other
+    pieces go through its whole encoder. Arrow splits texts and pieces, numbers what is distinct and joins the ids.
     """
 
-    PLAIN = regex.compile("[\x21-\x7e\xa1-\u024f]+")
+    #: The capital I with a dot is two characters in lower case.
+    ODD = "[^\x21-\x7e\xa1-\u012f\u0131-\u024f]"
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -71,10 +76,15 @@ class WordEncoder:
             and not any(c in x for x in added for c in " \t\n\v\f\r")
         )
         if self.by_piece:
-            self.words = regex.compile(before[0]["pattern"]["Regex"])
-        self.added = regex.compile("|".join(map(regex.escape, added)) or r"(?!)")
+            self.words = before[0]["pattern"]["Regex"]
+            try:
+                pc.match_substring_regex(pa.array([""]), self.words)
+            except pa.ArrowInvalid:  # a pattern that Arrow has no such matches for
+                self.by_piece = False
+        self.odd = "|".join([self.ODD, *map(re.escape, added)])
         self.visible = visible_bytes()
-        self.known: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.known: dict[str, bytes] = {}
 
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -84,42 +94,56 @@ class WordEncoder:
 
     def word(self, word: str) -> bytes:
         """One word of the pre-tokenizer, in lower case."""
-        key = word.encode()
-        if (found := self.known.get(key)) is None:
-            shown = word if word.isascii() else key.decode("latin-1").translate(self.visible)
-            found = self.known[key] = self.packed([t.id for t in self.tokenizer.model.tokenize(shown)])
-        return found
-
-    def learn(self, piece: bytes) -> None:
-        text = piece.decode()
-        if not self.PLAIN.fullmatch(text) or self.added.search(text):
-            self.known[piece] = self.packed(self.ids(text))
-            return
-        text = text.lower()
-        if text.isalpha():
-            self.known[piece] = self.word(text)
-        else:
-            self.known[piece] = b"".join([self.word(w) for w in self.words.findall(text)])
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.visible)
+        width = self.dtype.itemsize
+        return b"".join([t.id.to_bytes(width, "little") for t in self.model.tokenize(shown)])
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text, packed."""
         if not self.by_piece:
             yield from (self.packed(self.ids(t.decode())) for t in texts)
             return
+        held, size = [], 0
         for text in texts:
-            pieces = text.split()
-            known = self.known
-            try:
-                yield b"".join([known[p] for p in pieces])
-                continue
-            except KeyError:
-                pass
-            if len(known) > CACHED_WORDS:
-                known.clear()
-            for p in pieces:
-                if p not in known:
-                    self.learn(p)
-            yield b"".join([known[p] for p in pieces])
+            held.append(text)
+            size += len(text)
+            if size >= RUN_BYTES:
+                yield from self.run(held)
+                held, size = [], 0
+        if held:
+            yield from self.run(held)
+
+    def run(self, texts: list[bytes]) -> list[bytes]:
+        whole = pa.array(texts, pa.large_binary()).cast(pa.large_string())
+        return put_together(pc.ascii_split_whitespace(whole), self.pieces).to_numpy(zero_copy_only=False).tolist()
+
+    def pieces(self, pieces: pa.Array) -> pa.Array:
+        """The ids of each piece, packed."""
+        odd = pc.match_substring_regex(pieces, self.odd)
+        plain = pc.utf8_lower(pc.if_else(odd, "", pieces))
+        spaced = pc.replace_substring_regex(plain, self.words, r"\0 ")
+        ids = put_together(pc.ascii_split_whitespace(spaced), lambda words: self.remembered(words, self.word))
+        return pc.replace_with_mask(ids, odd, self.remembered(pieces.filter(odd), lambda piece: self.packed(self.ids(piece))))
+
+    def remembered(self, keys: pa.Array, make: Callable[[str], bytes]) -> pa.Array:
+        known, keys = self.known, keys.to_numpy(zero_copy_only=False).tolist()
+        if len(known) > CACHED_WORDS:  # what is not asked for now goes
+            known = self.known = {k: known[k] for k in keys if k in known}
+        found = []
+        for k in keys:
+            if (ids := known.get(k)) is None:
+                ids = make(k)
+                if len(k) <= SHORT:
+                    known[k] = ids
+            found.append(ids)
+        return pa.array(found, pa.large_binary())
+
+
+def put_together(lists: pa.Array, ids_of: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """The ids of each list of strings, which are looked up once for each distinct string."""
+    numbered = lists.flatten().dictionary_encode()
+    ids = ids_of(numbered.dictionary).take(numbered.indices)
+    return pc.binary_join(type(lists).from_arrays(lists.offsets, ids), pa.scalar(b"", pa.large_binary()))
 
 
 def encoder(path: str) -> WordEncoder:

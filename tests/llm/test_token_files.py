@@ -41,6 +41,32 @@ def test_a_full_cache_is_dropped(monkeypatch):
     assert got == [coder.ids(t) for t in texts]
 
 
+def test_a_word_is_merged_once_whatever_stands_around_it(monkeypatch):
+    coder = token_files.WordEncoder(WORDS)
+    merged, word = [], coder.word
+    monkeypatch.setattr(coder, "word", lambda w: merged.append(w) or word(w))
+    monkeypatch.setattr(token_files, "RUN_BYTES", 50)
+    texts = [f"Common, common. (COMMON) common! new{i:c}" for i in range(ord("a"), ord("z"))]
+    got = [np.frombuffer(x, coder.dtype).tolist() for x in coder.encode([t.encode() for t in texts])]
+    assert got == [coder.ids(t) for t in texts]
+    assert len(merged) == len(set(merged)) and "common" in merged
+
+
+def test_long_pieces_are_not_kept():
+    coder = token_files.WordEncoder(WORDS)
+    texts = [f"{'long' * 1000}{i} {'字' * 1000}{i} short" for i in range(5)]
+    got = [np.frombuffer(x, coder.dtype).tolist() for x in coder.encode([t.encode() for t in texts])]
+    assert got == [coder.ids(t) for t in texts]
+    assert max(map(len, coder.known)) <= 32 and "short" in coder.known
+
+
+def test_every_character_up_to_greek_is_encoded_like_in_whole_texts():
+    coder = token_files.WordEncoder(WORDS)
+    texts = ["", " ", " a  b ", *(f"{chr(c)} ab{chr(c)}C1'{chr(c)}S {chr(c)}\u030c" for c in range(0x400))]
+    got = [np.frombuffer(x, coder.dtype).tolist() for x in coder.encode([t.encode() for t in texts])]
+    assert got == [coder.ids(t) for t in texts]
+
+
 def test_files_hold_flat_ids_and_offsets(spark, docs):
     folder = work_dir(spark, "test-tokens")
     manifest = token_files.write_parts(docs, folder, WORDS, 2, parts=3).collect()
