@@ -4,33 +4,37 @@ Each task scores its rows against one block of questions with a matrix product a
 question, so what is shuffled grows with tasks * questions * k and not with rows * questions. Zero and negative scores
 count, so every question gets min(k, n) rows. Blocks are cut by `BLOCK_QUESTIONS`; where there are several, each is a job
 of its own whose candidates are written, so a question set of any size is never in memory as a whole. A task keeps a
-running best k and never the candidates of all its rows. Hashed vectors are first scored in single precision, and only pairs that can
-reach a question's best k so far are scored exactly; the work is still the product of questions and chunks.
+running best k and never the candidates of all its rows. Hashed vectors are screened (`screening`), and only pairs that can reach a question's
+best k so far are scored exactly. Where there are many questions, each distinct vector of a question is asked once, and of each distinct
+vector of a chunk the k first chunks are looked at; the work is still the product of distinct questions and chunks.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice, pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.config import DEFAULTS
-from tessera.operators.embedding import dense, signed_buckets
+from tessera.operators.embedding import VECTORS, dense, signed_buckets
+from tessera.operators.screening import DIGITS, Sparse, finder, sparse
 from tessera.tables import deleted, stored, work_dir
 
 BLOCK_QUESTIONS = 2000
 #: Rows scored at once by a task.
 ROWS = 2048
-DIGITS = 9
+#: Times as many rows at once, and questions in a block at most, where hashed questions are many; blocks in one job.
+MANY, TOGETHER = 16, 8
 #: A task cuts its candidates to the best when it holds so many times as many.
 KEPT = 8
-#: Above what the rounding of single precision adds up to in a cosine; pairs that are scored exactly at once.
-SLACK, PAIRS = 1e-4, 2048
 
 
 def blocks(rows: DataFrame, key: str, size: int) -> tuple[int, Iterator[list]]:
@@ -54,57 +58,7 @@ def ranked(candidates: DataFrame, qid: str, key: str, k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def few_copies(m: np.ndarray, k: int) -> np.ndarray:
-    """The rows (in order) without those that have k equal ones before them."""
-    code = m.astype(np.int64) @ np.random.default_rng(1).integers(1, 1 << 62, m.shape[1])
-    order = np.argsort(code, kind="stable")
-    at = np.flatnonzero(np.r_[True, code[order][1:] != code[order][:-1]])
-    sizes = np.diff(np.r_[at, len(order)])
-    late = np.arange(len(order)) - np.repeat(at, sizes) >= k
-    first = np.repeat(order[at], sizes)[late]
-    gone = order[late]
-    return np.setdiff1d(np.arange(len(m)), gone[(m[gone] == m[first]).all(axis=1)], assume_unique=True)
-
-
-def finder(q: np.ndarray, k: int):
-    """rows -> (questions, rows, scores) that hold the best k of all rows so far, of equal scores the first rows; to be called part by part."""
-    unit = lambda m, m2: (m / np.sqrt(np.where(m2 == 0, 1.0, m2))[:, None]).astype(np.float32)
-    q2 = (q * q).sum(axis=1)
-    said, silent = np.flatnonzero(q2), np.flatnonzero(q2 == 0)
-    narrow = unit(q[said], q2[said])
-    top = np.full((len(said), k), -np.inf)  # the best exact scores so far
-
-    def find(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        nonlocal top
-        few = few_copies(m, k)
-        m = m[few]
-        m2 = (m * m).sum(axis=1)
-        near = narrow @ unit(m, m2).T
-        least = top.min(axis=1) - SLACK
-        if len(m) > k and np.isinf(least).any():
-            least = np.maximum(least, np.partition(near, len(m) - k, axis=1)[:, len(m) - k] - 2 * SLACK)
-        a, r = np.nonzero(near >= least.astype(np.float32)[:, None])
-        s = np.empty(len(a))
-        for at in range(0, len(a), PAIRS):
-            own, row = said[a[at : at + PAIRS]], r[at : at + PAIRS]
-            s[at : at + PAIRS] = np.round(np.einsum("ij,ij->i", q[own], m[row]) / np.where(m2[row] == 0, 1.0, np.sqrt(q2[own] * m2[row])), DIGITS)
-        keep = s >= top.min(axis=1)[a]
-        a, r, s = a[keep], r[keep], s[keep]
-        order = np.lexsort((r, -s, a))
-        a, r, s = a[order], r[order], s[order]
-        place = np.arange(len(a)) - np.searchsorted(a, a)
-        a, r, s, place = (x[place < k] for x in (a, r, s, place))
-        new = np.full(top.shape, -np.inf)
-        new[a, place] = s
-        top = -np.sort(-np.hstack([top, new]), axis=1)[:, :k]
-        none = min(k, len(m))
-        q_found = np.r_[said[a], np.repeat(silent, none)]
-        return q_found, few[np.r_[r, np.tile(np.arange(none), len(silent))]], np.r_[s, np.zeros(none * len(silent))]
-
-    return find
-
-
-def scored(rows: DataFrame, key: str, vectors, questions: list[tuple], qid: str, qkind: str, score, k: int) -> DataFrame:
+def scored(rows: DataFrame, key: str, vectors, questions: list[tuple], qid: str, qkind: str, score, k: int, size: int) -> DataFrame:
     """Candidates (qid, key, score) of one block. vectors: batch -> matrix; score() gives a task's function of a matrix, with a row for each
     question's candidates: (questions, rows, scores)."""
     kind = rows.schema[key].dataType.simpleString()
@@ -115,12 +69,12 @@ def scored(rows: DataFrame, key: str, vectors, questions: list[tuple], qid: str,
         return frame.groupby("q", sort=False).head(k)
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """ROWS rows each but for the last, as batches of long texts are small."""
+        """About `size` rows each but for the last, as batches of long texts are small."""
         waiting: list[pd.DataFrame] = []
         for batch in batches:
-            for at in range(0, len(batch), ROWS):
-                waiting.append(batch.iloc[at : at + ROWS])
-                if sum(map(len, waiting)) >= ROWS:
+            for at in range(0, len(batch), size):
+                waiting.append(batch.iloc[at : at + size])
+                if sum(map(len, waiting)) >= size:
                     yield pd.concat(waiting)
                     waiting = []
         if waiting:
@@ -147,39 +101,85 @@ def scored(rows: DataFrame, key: str, vectors, questions: list[tuple], qid: str,
     return rows.mapInPandas(run, f"{qid} {qkind}, {key} {kind}, score double")
 
 
-def top_k(rows: DataFrame, key: str, questions: DataFrame, qid: str, k: int, vectors, prepare, score_of) -> DataFrame:
+def top_k(rows: DataFrame, key: str, questions: DataFrame, qid: str, k: int, vectors, prepare, score_of, block: int, size: int) -> DataFrame:
+    """block: questions in a block; size: rows scored at once."""
     qkind = questions.schema[qid].dataType.simpleString()
-    shares, parts = blocks(questions, qid, BLOCK_QUESTIONS)
+    shares, parts = blocks(questions, qid, block)
     folder = work_dir(rows.sparkSession, "top-k") if shares > 1 else ""
-    rows = stored(rows, folder, "vectors") if shares > 1 else rows  # else each block would make them anew
+    rows = stored(rows, folder, "vectors") if shares > 1 and size == ROWS else rows  # else each block would make them anew
     found = []
-    for n, block in enumerate(parts):
-        part = scored(rows, key, vectors, [(r[qid],) for r in block], qid, qkind, score_of(prepare(block)), k)
-        found.append(stored(part, folder, f"block-{n}") if shares > 1 else part)
+    for at in range(0, shares, TOGETHER):
+        blocks_at = islice(parts, TOGETHER)
+        part = reduce(DataFrame.union, [scored(rows, key, vectors, [(r[qid],) for r in b], qid, qkind, score_of(prepare(b)), k, size) for b in blocks_at])
+        found.append(stored(part, folder, f"block-{at}") if shares > 1 else part)
     best = ranked(reduce(DataFrame.union, found), qid, key, k).select(qid, "rank", key, "score")
     if shares > 1:
         best = stored(best, folder, "best")
-        deleted(rows.sparkSession, folder, "vectors", *[f"block-{n}" for n in range(shares)])
+        deleted(rows.sparkSession, folder, *["vectors"] * (size == ROWS), *[f"block-{at}" for at in range(0, shares, TOGETHER)])
     return best
 
 
 def top_k_hashed(
     chunks: DataFrame, key: str, questions: DataFrame, qid: str, k: int = DEFAULTS.top_k, dim: int = DEFAULTS.embed_dim
 ) -> DataFrame:
-    """qid, rank, key, score by hashed embeddings of the columns `text`.
+    """qid, rank, key, score by hashed embeddings of the columns `text`; a text that is null has no words.
 
     Vectors are whole numbers, so products and lengths are exact and the score is one division of exact values.
     """
-    rows = chunks.select(key, signed_buckets(F.col("text"), dim).alias("places"))
-    asked = questions.select(qid, signed_buckets(F.col("text"), dim).alias("places"))
+    placed = lambda df, name: df.select(name, F.coalesce(signed_buckets(F.col("text"), dim), F.array().cast("array<int>")).alias("places"))
+    rows, asked = placed(chunks, key), placed(questions, qid)
+
+    def matrix(places) -> np.ndarray:
+        return dense([np.asarray(p, np.int64) for p in places], dim)
+
+    def prepare(column: str, make):
+        return lambda block: sparse((make([r[column] for r in block[at : at + ROWS]]) for at in range(0, len(block), ROWS)), dim)
+
+    if asked.count() <= BLOCK_QUESTIONS:
+        found = prepare("places", matrix)
+        return top_k(rows, key, asked, qid, k, lambda batch: matrix(batch["places"]), found, lambda q: lambda: finder(q, k), BLOCK_QUESTIONS, ROWS)
+    folder = work_dir(chunks.sparkSession, "distinct")
+    asked = stored(packed(asked, qid, dim), folder, "asked")
+    once = stored(asked.groupBy("vector_id").agg(F.first("vector").alias("vector")), folder, "questions")
+    copies = F.row_number().over(W.partitionBy("vector_id").orderBy(key))
+    rows = stored(packed(rows, key, dim).withColumn("copy", copies).where(F.col("copy") <= k).select(key, "vector"), folder, "rows")
+    size = ROWS * MANY
+    rows = rows.coalesce(-(-rows.count() // size) or 1)  # sums over few rows are slow: tasks are made by blocks of questions too
+    block = min(BLOCK_QUESTIONS * MANY, max(BLOCK_QUESTIONS, -(-once.count() // TOGETHER)))
+    found = top_k(
+        rows, key, once, "vector_id", k, lambda batch: unpacked(batch["vector"].tolist(), dim), prepare("vector", lambda v: unpacked(v, dim)),
+        lambda q: lambda: finder(q, k, True), block, size,
+    )
+    best = stored(asked.join(found, "vector_id").select(qid, "rank", key, "score"), folder, "best")
+    deleted(chunks.sparkSession, folder, "asked", "questions", "rows")
+    return best
+
+
+def packed(rows: DataFrame, key: str, dim: int) -> DataFrame:
+    """key, vector, vector_id: the bytes of the vector's whole numbers, two each or four where they need them, and their digest."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vectors: list[bytes] = []
+            places = b.column("places")
+            ends = places.value_lengths().to_numpy(zero_copy_only=False).cumsum()
+            flat = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            for at in range(0, b.num_rows, VECTORS):
+                own = np.r_[ends[at - 1] if at else 0, ends[at : at + VECTORS]]
+                m = dense([flat[x:y] for x, y in pairwise(own.tolist())], dim)
+                short = np.abs(m).max(axis=1) < 1 << 15
+                vectors += [v.astype("<i2" if s else "<i4").tobytes() for v, s in zip(m, short.tolist(), strict=True)]
+            ids = [hashlib.sha256(v).digest() for v in vectors]
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array(vectors, pa.binary()), pa.array(ids, pa.binary())], [key, "vector", "vector_id"])
 
-    def vectors(batch: pd.DataFrame) -> np.ndarray:
-        return dense([np.asarray(p, np.int64) for p in batch["places"]], dim)
+    return rows.mapInArrow(run, f"`{key}` {kind}, vector binary, vector_id binary")
 
-    def prepare(block: list) -> np.ndarray:
-        return dense([np.asarray(r["places"], np.int64) for r in block], dim)
 
-    return top_k(rows, key, asked, qid, k, vectors, prepare, lambda q: lambda: finder(q, k))
+def unpacked(vectors: list[bytes], dim: int) -> np.ndarray:
+    if all(len(v) == 2 * dim for v in vectors):
+        return np.frombuffer(b"".join(vectors), "<i2").reshape(-1, dim)
+    return np.stack([np.frombuffer(v, "<i2" if len(v) == 2 * dim else "<i4").astype(np.int32) for v in vectors])
 
 
 def top_k_dense(rows: DataFrame, key: str, questions: DataFrame, qid: str, k: int = DEFAULTS.top_k, vector: str = "embedding") -> DataFrame:
@@ -210,7 +210,7 @@ def top_k_dense(rows: DataFrame, key: str, questions: DataFrame, qid: str, k: in
     asked = questions.select(F.col(qid), F.col(vector).alias("vector"))
     return top_k(
         rows.select(key, F.col(vector).alias("vector")), key, asked, qid, k, lambda b: stack(b["vector"].tolist()),
-        lambda block: stack([r["vector"] for r in block]), score_of,
+        lambda block: stack([r["vector"] for r in block]), score_of, BLOCK_QUESTIONS, ROWS,
     )
 
 

@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from tessera.operators import embedding, retrieval
+from tessera.operators import embedding, retrieval, screening
 
 CHUNKS = [
     ("c1", "Staff receive 25 days of annual leave."), ("c2", "Travel costs are refunded within thirty days."), ("c3", "the of and"),
@@ -145,3 +145,43 @@ def test_sparse_vectors_of_single_keys_are_not_shuffled(spark):
                     v[r.bucket] = r.value / np.sqrt(r.norm2)
             assert np.allclose(v, want)
         assert {r.id for r in found} <= set(joined) and len({(r.id, r.bucket) for r in found}) == len(found)
+
+
+def test_sums_of_columns_find_the_best_of_all(monkeypatch):
+    """Questions of few and many terms and none, rows with copies, large numbers and none: as scoring every pair."""
+    monkeypatch.setattr(screening, "LEAST_ROWS", 100)
+    monkeypatch.setattr(screening, "WAITING", 50)
+    rng = np.random.default_rng(8)
+    m = (rng.integers(-3, 4, (1200, 512)) * (rng.random((1200, 512)) < rng.choice([0.01, 0.1, 0.6], 1200)[:, None])).astype(np.int32)
+    m[rng.integers(0, 1200, 200)], m[[7, 700]], m[11, 3] = m[5], 0, 1 << 17
+    q = rng.integers(-2, 3, (60, 512)) * (rng.random((60, 512)) < rng.choice([0.003, 0.03, 0.5], 60)[:, None])
+    q[:5], q[5, :4] = np.vstack([m[[5, 11, 7, 300]], np.eye(512, dtype=int)[9] * 40]), [9, -8, 1, 2]
+    length = np.sqrt((q.astype(float) ** 2).sum(axis=1)[:, None] * (m.astype(float) ** 2).sum(axis=1)[None, :])
+    s = np.round((q.astype(float) @ m.T) / np.where(length == 0, 1.0, length), retrieval.DIGITS)
+    for k, step, distinct in ((1, 400, False), (1, 1200, True), (4, 300, True), (4, 1200, False)):
+        find, found = screening.finder(q, k, distinct), []
+        for at in range(0, 1200, step):
+            a, r, x = find(m[at : at + step])
+            found += [(i, -y, at + j) for i, j, y in zip(a.tolist(), r.tolist(), x.tolist(), strict=True)]
+        for i in range(len(q)):
+            assert sorted((y, j) for n, y, j in found if n == i)[:k] == sorted(zip((-s[i]).tolist(), range(1200), strict=True))[:k]
+
+
+def test_copies_are_looked_at_once(spark, monkeypatch):
+    """Of many questions each vector is asked once, of equal chunks k are looked at; texts that are null have no words."""
+    texts = [t for _, t in CHUNKS] + [None, "zebra " * 40000]
+    chunks = spark.createDataFrame([(f"{copy}-{i}", t) for copy in range(5) for i, t in enumerate(texts)], "id string, text string")
+    asked = [*(t for _, t in QUESTIONS), None, "thirty days of leave"]
+    questions = spark.createDataFrame([(10 * copy + i, t) for copy in range(3) for i, t in enumerate(asked)], "qid long, text string")
+    pick = lambda: sorted(tuple(r) for r in retrieval.top_k_hashed(chunks, "id", questions, "qid", 2).collect())
+    whole, sizes = pick(), {}
+
+    def noted(df, folder, name, write=retrieval.stored):
+        out = write(df, folder, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(retrieval, "stored", noted)
+    monkeypatch.setattr(retrieval, "BLOCK_QUESTIONS", 2)
+    assert pick() == whole and len(whole) == 2 * len(asked) * 3
+    assert sizes["questions"] == 5 and sizes["rows"] == 2 * 5  # "", null and stop words are one vector, and so are the two copies in CHUNKS
